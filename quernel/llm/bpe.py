@@ -1,27 +1,32 @@
 """BPE encoding and decoding of whole texts.
 
 A word's merges are found with a segment tree over the ranks of adjacent pairs: the root holds the leftmost lowest rank, and a merge
-changes three leaves, so a word of n symbols takes O(n log n) however long it is. Words repeat, so each worker keeps a bounded memo of them.
+changes three leaves, so a word of n symbols takes O(n log n) however long it is. Nodes have up to FAN children, whose minimum one call finds;
+words of up to FAN symbols are a single node. Words repeat, so each worker keeps a bounded memo of what stands between white space.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+NONE = 1 << 80
+FAN = 16
 #: Entries of a worker's memo; it is emptied when full.
-MEMO = 150_000
+MEMO = 500_000
 #: Below this code point, and for ASCII, Python's tables agree with those of the tokenizers library; other texts take its normalizer and splitter.
-PLAIN = regex.compile(r"[\x00-ԯ‐-‧]*")
+PLAIN = re.compile("[\x00-\x1b\x20-\x84\x86-\u052f\u2010-\u2027]*")
 
 
 def byte_letters() -> list[str]:
@@ -42,10 +47,11 @@ class WordBpe:
         self.content, self.end = content, model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        #: (left id, right id) -> (rank, id of the merged token)
-        self.ranks = {(self.vocab[a], self.vocab[b]): (i, self.vocab[a + b]) for i, (a, b) in reversed(list(enumerate(pairs)))}
+        #: left id << 20 | right id -> rank << 52 | id of the merged token; bits 20 to 51 are for the place
+        self.ranks = {self.vocab[a] << 20 | self.vocab[b]: i << 52 | self.vocab[a + b] for i, (a, b) in reversed(list(enumerate(pairs)))}
         self.special = {x["content"]: x["id"] for x in data["added_tokens"]}
-        self.names = {i: s for s, i in [*self.vocab.items(), *self.special.items()]}
+        known = {i: s for s, i in [*self.vocab.items(), *self.special.items()]}
+        self.names = [known.get(i) for i in range(max(known) + 1)]
         split = next(x for x in data["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.lexer = regex.compile(split["pattern"]["Regex"])
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -53,61 +59,55 @@ class WordBpe:
         self.inner = [self.vocab[c] for c in letters]
         self.last = [self.vocab[c + self.end] for c in letters]
         self.library = None
-        self.memo: dict[str, tuple[bytes, int, str]] = {}
+        self.memo: dict[str, bytes] = {}
 
     def merge(self, ids: list[int]) -> list[int]:
         """Applies merges until no pair has a rank: always the leftmost of the lowest rank."""
-        n, ranks = len(ids), self.ranks
-        if n == 1:
-            return ids
-        if n == 2:
-            found = ranks.get((ids[0], ids[1]))
-            return ids if found is None else [found[1]]
-        ids = list(ids)
-        width = 1 << (n - 2).bit_length()
-        none = 1 << 62
-        # a leaf's key holds rank and place, so that the least key is the leftmost lowest rank
-        tree = [none] * (2 * width)
-        for i in range(n - 1):
-            found = ranks.get((ids[i], ids[i + 1]))
-            if found is not None:
-                tree[width + i] = found[0] * n + i
-        for k in range(width - 1, 0, -1):
-            a, b = tree[2 * k], tree[2 * k + 1]
-            tree[k] = a if a < b else b
-        after, prior = list(range(1, n + 1)), list(range(-1, n - 1))
-
-        def put(i: int, key: int) -> None:
-            k = width + i
-            if tree[k] == key:
-                return
-            tree[k] = key
-            k >>= 1
-            while k:
-                a, b = tree[2 * k], tree[2 * k + 1]
-                low = a if a < b else b
-                if tree[k] == low:
-                    return
-                tree[k] = low
-                k >>= 1
-
-        while (key := tree[1]) < none:
-            i = key % n
-            j = after[i]
-            ids[i] = ranks[ids[i], ids[j]][1]
-            ids[j] = -1
+        n, get, none = len(ids), self.ranks.get, NONE
+        # a leaf's key is the pair's rank and the merged token
+        keys = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+        if n > FAN:
+            return self.merge_long(ids, keys)
+        while keys:  # one node: its minimum is the root
+            key = min(keys)
+            if key == none:
+                break
+            i = keys.index(key)
+            ids[i] = merged = key & 0xFFFFF
+            del ids[i + 1], keys[i]
+            if i < len(keys):
+                keys[i] = get(merged << 20 | ids[i + 1], none)
+            if i:
+                keys[i - 1] = get(ids[i - 1] << 20 | merged, none)
+        return ids
+
+    def merge_long(self, ids: list[int], keys: list[int]) -> list[int]:
+        """The same with levels of nodes. Keys also hold the place, so that the root names the leftmost; merged places stay as gaps."""
+        n, get, none = len(ids), self.ranks.get, NONE
+        keyed = lambda at, pair: none if (found := get(pair, none)) == none else found + (at << 20)
+        levels = [[k if k == none else k + (i << 20) for i, k in enumerate(keys)]]
+        while len(levels[-1]) > 1:
+            levels.append([min(levels[-1][i : i + FAN]) for i in range(0, len(levels[-1]), FAN)])
+        after, prior = [*range(1, n + 1)], [*range(-1, n - 1)]
+        while (key := levels[-1][0]) < none:
+            i = key >> 20 & 0xFFFFFFFF
+            j, merged = after[i], key & 0xFFFFF
+            ids[i], ids[j] = merged, -1
             after[i] = k = after[j]
-            if j < n - 1:
-                put(j, none)
+            changed = [(i, none)]
             if k < n:
                 prior[k] = i
-                found = ranks.get((ids[i], ids[k]))
-                put(i, none if found is None else found[0] * n + i)
-            else:
-                put(i, none)
+                changed = [(i, keyed(i, merged << 20 | ids[k])), (j, none)]
             if (p := prior[i]) >= 0:
-                found = ranks.get((ids[p], ids[i]))
-                put(p, none if found is None else found[0] * n + p)
+                changed.append((p, keyed(p, ids[p] << 20 | merged)))
+            for at, key in changed:
+                levels[0][at] = key
+                for level, above in zip(levels, levels[1:]):
+                    at //= FAN
+                    low = min(level[at * FAN : at * FAN + FAN])
+                    if above[at] == low:
+                        break
+                    above[at] = low
         return [x for x in ids if x >= 0]
 
     def word(self, word: str) -> list[int]:
@@ -115,12 +115,12 @@ class WordBpe:
         inner = self.inner
         return self.merge([*(inner[b] for b in raw[:-1]), self.last[raw[-1]]])
 
-    def words(self, text: str) -> list[str]:
-        """Normalizes a text without special tokens and splits it."""
-        if text.isascii():
-            return self.lexer.findall(text.lower())
+    def runs(self, text: str) -> list[str]:
+        """Normalizes a text without special tokens and splits it at white space, or into words where only the library's tables will do."""
         if PLAIN.fullmatch(text):
-            return self.lexer.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+            if not text.isascii():
+                text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            return text.lower().split()
         if self.library is None:
             from tokenizers import Tokenizer
 
@@ -128,6 +128,10 @@ class WordBpe:
         clean = self.library.normalizer.normalize_str(text)
         return [clean[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(clean)]
 
+    def words(self, run: str) -> list[str]:
+        """The words of a run; a word is its own only word."""
+        return [run] if run.isalpha() or not PLAIN.fullmatch(run) else self.lexer.findall(run)
+
     def parts(self, text: str) -> Iterator[tuple[str, bool]]:
         """The text between special tokens, and these themselves."""
         if self.cut is None or not any(s in text for s in self.special):
@@ -137,31 +141,32 @@ class WordBpe:
             if part:
                 yield part, k % 2 == 1
 
-    def packed(self, word: str) -> tuple[bytes, int, str]:
-        """A word's ids as little-endian bytes, their number, and what they decode to."""
-        ids = self.word(word)
+    def packed(self, run: str) -> bytes:
+        """A run's ids as little-endian bytes."""
+        words = self.words(run)
+        ids = self.word(run) if len(words) == 1 else [x for w in words for x in self.word(w)]
         if len(self.memo) >= MEMO:
             self.memo.clear()
-        out = struct.pack(f"<{len(ids)}I", *ids), len(ids), self.decode(ids)
-        if len(word) <= 64:
-            self.memo[word] = out
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(run) <= 64:
+            self.memo[run] = out
         return out
 
-    def encode(self, text: str) -> tuple[bytes, int, list[str]]:
-        """Ids as little-endian bytes, their number, and the words' decoded pieces."""
-        found: list[tuple[bytes, int, str]] = []
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        found: list[bytes] = []
         get = self.memo.get
         for part, special in self.parts(text):
             if special:
-                found.append((struct.pack("<I", self.special[part]), 1, part))
+                found.append(struct.pack("<I", self.special[part]))
             else:
-                found += [get(w) or self.packed(w) for w in self.words(part)]
-        return b"".join([x[0] for x in found]), sum([x[1] for x in found]), [x[2] for x in found]
+                found += [get(r) or self.packed(r) for r in self.runs(part)]
+        return b"".join(found)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids_le: bytes) -> str:
         """The file names no decoder: the tokens, word ends and all, with a space between. Unknown ids are left out."""
-        names = self.names
-        return " ".join([names[i] for i in ids if i in names])
+        names, n = self.names, len(self.names)
+        return " ".join([names[i] for i in np.frombuffer(ids_le, "<u4").tolist() if i < n and names[i] is not None])
 
 
 _loaded: dict[bytes, WordBpe] = {}
@@ -203,11 +208,10 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, decoded:
             start, size = 0, 0
             out: tuple[list, list, list] = ([], [], [])
             for i, x in enumerate(batch.column(at)):
-                raw, n, said = bpe.encode(x.as_py() or "")
-                out[0].append(n)
+                raw = bpe.encode(x.as_py() or "")
+                out[0].append(len(raw) // 4)
                 out[1].append(raw)
-                # decoded from the ids word by word: joining the words' pieces is what decoding all ids gives
-                out[2].append(" ".join(said) if decoded else None)
+                out[2].append(bpe.decode(raw) if decoded else None)
                 size += len(raw)
                 if size > 8 << 20 or i + 1 == batch.num_rows:  # bounded output batches, however long the texts
                     cut = batch.slice(start, i + 1 - start)

@@ -9,7 +9,6 @@ lies between its first and last space, and the run it leaves open. These maps co
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -23,8 +22,8 @@ from quernel.llm.bpe import MEMO, WordBpe, byte_letters, default_path, load, shi
 
 #: Code points of a chunk.
 CHUNK = 1 << 15
-#: States and pair tests kept by a worker; beyond it the compiled part is dropped and grows anew.
-STATES = 400_000
+#: Transitions and pair tests kept by a worker; beyond it the compiled part is dropped and grows anew.
+STEPS = 600_000
 RESET = regex.compile(r"[ \t\n\r]")
 
 
@@ -59,7 +58,7 @@ class Transducer:
         self.ends: dict[tuple[int, int], int] = {}
         self.states, self.numbers = [START], {START: 0}
         self.fits: dict[tuple[str | None, str], bool] = {}
-        self.words: dict[str, int] = {}
+        self.memo: dict[str, int] = {}
 
     def fit(self, left: str | None, token: str) -> bool:
         """Whether the encoding of left and token side by side is just these two."""
@@ -107,15 +106,19 @@ class Transducer:
 
     def word(self, word: str) -> int:
         raw = word.encode("utf-8", "surrogatepass")
-        if len(self.states) + len(self.fits) > 2 * STATES or len(self.words) > MEMO:
-            self.clear()
         state, total = 0, 0
         for byte in raw[:-1]:
             state, added = self.step(state, byte)
             total += added
-        total += self.finish(state, raw[-1])
-        if len(word) <= 64:
-            self.words[word] = total
+        return total + self.finish(state, raw[-1])
+
+    def read(self, run: str) -> int:
+        """Tokens of a run without white space; the path of a run seen before is known."""
+        if len(self.steps) + len(self.fits) > STEPS or len(self.memo) > MEMO:
+            self.clear()
+        total = sum([self.word(w) for w in self.bpe.words(run)])
+        if len(run) <= 64:
+            self.memo[run] = total
         return total
 
     def run(self, text: str) -> int:
@@ -125,9 +128,8 @@ class Transducer:
             if special:
                 total += 1
             else:
-                get = self.words.get
-                for w, n in Counter(self.bpe.words(part)).items():
-                    total += n * (get(w) or self.word(w))
+                get = self.memo.get
+                total += sum([get(r) or self.read(r) for r in self.bpe.runs(part)])
         return total
 
     def chunk(self, text: str) -> ChunkMap:
