@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from quernel.llm import mixing
 from quernel.llm.bpe import op3_bpe
 from quernel.llm.token_count import op5_token_counts
 
 QUERIES = {
     "op3_bpe": op3_bpe,
     "op5_token_counts": op5_token_counts,
+    "op6_mixing": mixing.op6_mixing,
+}
+SQL: dict[str, str] = {
+    "op6_mixing": mixing.SQL,
 }
-SQL: dict[str, str] = {}
