@@ -223,7 +223,7 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, decoded:
 
 def ids_array(ids_le):
     """The ids of a binary column as array<bigint>, by Spark's own functions."""
-    four = F.transform(F.sequence(F.lit(0), F.length(ids_le) / 4 - 1), lambda i: F.conv(F.hex(F.reverse(F.substring(ids_le, (i * 4 + 1).cast("int"), 4))), 16, 10).cast("long"))
+    four = F.transform(F.sequence(F.lit(0), (F.length(ids_le) / 4).cast("int") - 1), lambda i: F.conv(F.hex(F.reverse(F.substring(ids_le, (i * 4 + 1).cast("int"), 4))), 16, 10).cast("long"))
     return F.when(F.length(ids_le) > 0, four).otherwise(F.array().cast("array<bigint>"))
 
 

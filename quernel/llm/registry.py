@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from quernel.llm import mixing
+from quernel.llm import chat, mixing, pii
 from quernel.llm.bpe import op3_bpe
 from quernel.llm.token_count import op5_token_counts
 
 QUERIES = {
+    "op2_pii": pii.op2_pii,
     "op3_bpe": op3_bpe,
+    "op4_chat": chat.op4_chat,
     "op5_token_counts": op5_token_counts,
     "op6_mixing": mixing.op6_mixing,
 }
 SQL: dict[str, str] = {
+    "op4_chat": chat.SQL,
     "op6_mixing": mixing.SQL,
 }
