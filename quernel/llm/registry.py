@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernel.llm import chat, mixing, pii
+from quernel.llm import chat, line_dedup, mixing, pii
 from quernel.llm.bpe import op3_bpe
 from quernel.llm.token_count import op5_token_counts
 
@@ -12,8 +12,10 @@ QUERIES = {
     "op4_chat": chat.op4_chat,
     "op5_token_counts": op5_token_counts,
     "op6_mixing": mixing.op6_mixing,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
 }
 SQL: dict[str, str] = {
     "op4_chat": chat.SQL,
     "op6_mixing": mixing.SQL,
+    "op8_line_dedup": line_dedup.SQL,
 }
