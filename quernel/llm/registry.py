@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernel.llm import chat, line_dedup, mixing, pii
+from quernel.llm import chat, langid, line_dedup, mixing, pii
 from quernel.llm.bpe import op3_bpe
 from quernel.llm.token_count import op5_token_counts
 
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_mixing": mixing.op6_mixing,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op10_langid": langid.op10_langid,
 }
 SQL: dict[str, str] = {
     "op4_chat": chat.SQL,
