@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quernel.llm import chat, langid, line_dedup, mixing, pii
+from quernel.llm import chat, langid, line_dedup, mixing, pii, topk
 from quernel.llm.bpe import op3_bpe
 from quernel.llm.token_count import op5_token_counts
 
 QUERIES = {
+    "op1_topk": topk.op1_topk,
     "op2_pii": pii.op2_pii,
     "op3_bpe": op3_bpe,
     "op4_chat": chat.op4_chat,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_langid": langid.op10_langid,
 }
 SQL: dict[str, str] = {
+    "op1_topk": topk.SQL,
     "op4_chat": chat.SQL,
     "op6_mixing": mixing.SQL,
     "op8_line_dedup": line_dedup.SQL,
