@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernel.llm import chat, langid, line_dedup, mixing, near_dup, pii, topk
+from quernel.llm import chat, embed_dup, langid, line_dedup, mixing, near_dup, pii, topk
 from quernel.llm.bpe import op3_bpe
 from quernel.llm.token_count import op5_token_counts
 
@@ -15,6 +15,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_minhash_dedup": near_dup.op7_minhash_dedup,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_embedding_dedup": embed_dup.op9_embedding_dedup,
     "op10_langid": langid.op10_langid,
 }
 SQL: dict[str, str] = {
