@@ -29,6 +29,8 @@ KINDS = {
 }
 BASE = ("email", "ip", "card", "phone")
 THRESHOLD, CONTEXT_BONUS, CONTEXT_CHARS = 0.5, 0.3, 40
+#: Matches that one fold goes over.
+RUN = 128
 #: A text without this can't hold a match; tested before the pattern.
 NEEDS = {"email": "@", "phone": "+", "ssn": "-"}
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -83,11 +85,23 @@ def spans_of(kind: str, text: Column, matches: Column) -> Column:
         span = F.struct(F.lit(kind).alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"), F.least(scored, F.lit(1.0)).alias("score"))
         return F.struct(end.alias("at"), match_of(i).alias("before"), F.when(kept, F.concat(found["out"], F.array(span))).otherwise(found["out"]).alias("out"))
 
-    both = F.struct(pieces.alias("p"), matches.alias("m"))
-    pairs = F.arrays_zip(F.slice(both["p"], F.lit(1), F.size(matches)).alias("p"), matches.alias("m"))
     match_of, pieces_of = (lambda i: i["m"]), (lambda i: i["p"])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double>>").alias("out"))
-    return F.aggregate(pairs, start, step, lambda a: a["out"])
+    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double>>")
+    pairs = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(matches)).alias("p"), matches.alias("m"))
+
+    def chunks_of(all_: Column) -> Column:
+        # a fold that grows an array copies it each time, so it goes over RUN matches at most; where a chunk begins is summed up first
+        chunk = lambda c: F.slice(all_, c * RUN + 1, F.lit(RUN))
+        length = lambda c: F.aggregate(chunk(c), F.lit(0), lambda s, i: s + F.length(i["p"]) + F.length(i["m"]))
+        numbers = F.sequence(F.lit(0), F.ceil(F.size(all_) / RUN).cast("int") - 1)
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        starts = F.aggregate(F.transform(numbers, length), begin, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
+        before = lambda c: F.when(c > 0, F.get(all_, c * RUN - 1)["m"]).otherwise("")
+        each = lambda at, c: F.aggregate(chunk(c), F.struct(at.alias("at"), before(c).alias("before"), none.alias("out")), step, lambda a: a["out"])
+        return F.flatten(F.transform(starts, each))
+
+    # bound once: a lambda works its free expressions out again at each call
+    return F.flatten(F.transform(F.array(pairs), chunks_of))
 
 
 def find(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
