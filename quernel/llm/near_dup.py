@@ -4,8 +4,11 @@ A document is its set of word shingles; equal sets are one vertex. Every vertex
 are chosen at once, then one more at each level (a second with the probability that keeps the expected number of common paths of a pair at
 the threshold), by a hash of the path so far. Vertices that agree on the chosen tokens meet in a node. Nodes of up to LEAF vertices are compared
 exhaustively by sketches; larger ones branch again. A node still larger at the last level is compared with pivots: a vertex that is not close to
-an earlier pivot becomes one. Pairs whose sketches may reach the threshold are confirmed on full sets: first each vertex's best, then those that would
-still join two components, as only components are asked for. Groups of copies, however large, thus cost a few pairs a document.
+an earlier pivot becomes one. A node gives a spanning forest of the pairs whose sketches may reach the threshold, so a group of copies, however
+large, gives a few edges a document; what these connect is a cluster, and all links lie within clusters.
+
+Links are confirmed on full sets: first each vertex's best edge; then, in clusters that this leaves in several parts, all vertices of different
+parts, in blocks of bounded size whose intersections are matrix products. Pairs are never rows there; only links that join two parts leave a block.
 """
 
 from __future__ import annotations
@@ -20,10 +23,12 @@ from pyspark.sql import functions as F
 
 from quernel.llm.common import components, small, table
 
-MINS, LANES = 64, 32
+MINS, LANES = 64, 64
 TREES, FIRST, DEPTH, LEAF = 24, 3, 6, 48
 #: Lanes that agree from which a vertex belongs to a pivot and is no pivot itself.
-CLOSE = 29
+CLOSE = 60
+#: Vertices of a block, and columns of a matrix product.
+BLOCK, COLUMNS = 256, 8192
 
 _rng = np.random.default_rng(20240229)
 _odd = lambda n: _rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -77,7 +82,7 @@ def word_hashes(raw: bytes) -> np.ndarray:
         total = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(BYTE[b] * up[: len(b)], out=total[1:])
         out.append(mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64)))
-    return np.concatenate(out) if len(out) != 1 else out[0]
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -184,31 +189,47 @@ def least_lanes(threshold: float) -> int:
 
 
 def compare(rows: DataFrame, least: int, last: bool) -> DataFrame:
-    """rows (path, fp, sketch) -> (path, a, b, lanes): pairs to confirm, and with b null what belongs to nodes that must branch."""
+    """rows (path, fp, sketch) -> (path, a, b, lanes): a spanning forest of each node's close pairs, and with b null what belongs to nodes that must branch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, bytes, bytes | None, int]] = []
         path, ids, block, large = None, [], np.empty((LEAF, LANES), np.uint8), False
-        pivots, pivot_ids = np.empty((64, LANES), np.uint8), []
+        pivots, pivot_ids, parts = np.empty((64, LANES), np.uint8), [], []
+
+        def find(parent: list[int], x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
 
         def ended() -> None:
             if large or len(ids) < 2:
                 return
             x = block[: len(ids)]
             same = (x[:, None, :] == x[None, :, :]).sum(2)
-            for i, j in zip(*np.nonzero(np.triu(same >= least, 1))):
-                out.append((path, ids[i], ids[j], int(same[i, j])))
+            i, j = np.nonzero(np.triu(same >= least, 1))
+            parent = list(range(len(ids)))
+            for lanes, i, j in sorted(zip(same[i, j].tolist(), i.tolist(), j.tolist()), reverse=True):
+                if (u := find(parent, i)) != (v := find(parent, j)):
+                    parent[u] = v
+                    out.append((path, ids[i], ids[j], lanes))
 
         def pivot(fp: bytes, sketch: np.ndarray) -> None:
+            """Joins a vertex to its strongest pivot, and by it such pivots as nothing has joined so far."""
             nonlocal pivots
-            same = (pivots[: len(pivot_ids)] == sketch).sum(1)
-            for j in np.flatnonzero(same >= least):
-                out.append((path, pivot_ids[j], fp, int(same[j])))
+            n = len(pivot_ids)
+            same = (pivots[:n] == sketch).sum(1)
+            part = None
+            for j in sorted(np.flatnonzero(same >= least).tolist(), key=lambda j: -same[j]):
+                if (root := find(parts, j)) != part:
+                    out.append((path, pivot_ids[j], fp, int(same[j])))
+                    part = root if part is None else part
+                    parts[root] = part
             if not (same >= CLOSE).any():
-                if len(pivot_ids) == len(pivots):
+                if n == len(pivots):
                     pivots = np.concatenate((pivots, np.empty_like(pivots)))
-                pivots[len(pivot_ids)] = sketch
+                pivots[n] = sketch
                 pivot_ids.append(fp)
+                parts.append(n if part is None else part)
 
         def put(fp: bytes, sketch: np.ndarray) -> None:
             if last:
@@ -228,7 +249,7 @@ def compare(rows: DataFrame, least: int, last: bool) -> DataFrame:
             for p, fp, sketch in zip(paths, fps, sketches):
                 if p != path:
                     ended()
-                    path, ids, large, pivot_ids = p, [], False, []
+                    path, ids, large, pivot_ids, parts = p, [], False, [], []
                 if large:
                     put(fp, sketch)
                 elif len(ids) == LEAF:  # what has been held so far goes first
@@ -248,7 +269,7 @@ def compare(rows: DataFrame, least: int, last: bool) -> DataFrame:
 
 
 def candidates(vertices: DataFrame, threshold: float) -> DataFrame:
-    """vertices (fp, sig) as a table() -> distinct pairs a < b whose sketches may reach the threshold, with the lanes that agree."""
+    """vertices (fp, sig) as a table() -> distinct pairs a < b whose sketches may reach the threshold, with the lanes that agree: enough to connect all such pairs."""
     rows, pairs, least = descend(vertices), None, least_lanes(threshold)
     for depth in range(FIRST, DEPTH + 1):
         done = table(compare(rows, least, depth == DEPTH), "nodes")
@@ -286,6 +307,59 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def crossing(x: pa.StructArray, y: pa.StructArray, percent: int) -> Iterator[tuple[bytes, bytes]]:
+    """Links between vertices of x and y (fp, root, hashes) that have different roots, one for each two roots."""
+    sides = []
+    for s in (x, y):
+        sets = [np.frombuffer(h, np.uint64) for h in s.field("hashes").to_pylist()]
+        sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(a) for a in sets]), np.array([len(a) for a in sets])))
+    both = np.intersect1d(np.unique(sides[0][0]), np.unique(sides[1][0]))
+    common = np.zeros((len(x), len(y)), np.float32)
+    for k in range(0, len(both), COLUMNS):
+        part, dense = both[k : k + COLUMNS], []
+        for hashes, row, n in sides:
+            at = np.minimum(np.searchsorted(part, hashes), len(part) - 1)
+            hit = part[at] == hashes
+            m = np.zeros((len(n), len(part)), np.float32)
+            m[row[hit], at[hit]] = 1
+            dense.append(m)
+        common += dense[0] @ dense[1].T
+    union = sides[0][2][:, None] + sides[1][2][None, :] - common
+    known = {r: i for i, r in enumerate(dict.fromkeys(x.field("root").to_pylist() + y.field("root").to_pylist()))}
+    rx, ry = (np.array([known[r] for r in s.field("root").to_pylist()]) for s in (x, y))
+    i, j = np.nonzero((100 * common.astype(np.int64) >= percent * union.astype(np.int64)) & (rx[:, None] != ry[None, :]))
+    a, b, seen = x.field("fp"), y.field("fp"), set()
+    for u, v in zip(i.tolist(), j.tolist()):
+        key = (rx[u], ry[v]) if rx[u] < ry[v] else (ry[v], rx[u])
+        if key not in seen:
+            seen.add(key)
+            yield a[u].as_py(), b[v].as_py()
+
+
+def confirm_parts(clusters: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join parts (roots) of clusters; both (node, root). A large part has blocks of its own, which don't meet one another."""
+    own = clusters.select(F.col("node").alias("fp"), F.col("root").alias("cluster")).join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    own = table(own, "members")
+    several = own.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cluster")
+    parts = own.join(several, "cluster").groupBy("cluster", "root").agg(F.count("*").alias("n")).withColumn("part", F.when(F.col("n") * 2 >= BLOCK, F.col("root")))
+    rest = parts.where("part is null").groupBy("cluster").agg(F.sum("n").alias("rest"))
+    dealt = parts.join(rest, "cluster", "left").withColumn("blocks", F.ceil(F.when(F.col("part").isNull(), F.col("rest")).otherwise(F.col("n")) / BLOCK).cast("int"))
+    dealt = dealt.select(F.col("cluster").alias("c"), F.col("root").alias("r"), "part", "blocks")
+    member = own.join(dealt, (F.col("cluster") == F.col("c")) & (F.col("root") == F.col("r"))).join(sets, "fp")
+    bucket = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    blocks = table(member.groupBy("cluster", "part", bucket.alias("bucket")).agg(F.collect_list(F.struct("fp", "root", "hashes")).alias("items")).withColumn("id", F.monotonically_increasing_id()), "blocks")
+    ids = blocks.select("cluster", "part", "id")
+    meets = ids.select("cluster", F.col("part").alias("p"), F.col("id").alias("x")).join(ids.select("cluster", F.col("part").alias("q"), F.col("id").alias("y")), "cluster").where("x <= y AND NOT coalesce(p = q, false)").select("x", "y")
+    side = lambda c, items: blocks.select(F.col("id").alias(c), F.col("items").alias(items))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = [link for x, y in zip(batch.column(0), batch.column(1)) for link in crossing(x.values, y.values, percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([link[k] for link in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return meets.join(side("x", "xs"), "x").join(side("y", "ys"), "y").select("xs", "ys").mapInArrow(run, "a binary, b binary")
+
+
 def group(df: DataFrame, text: str = "text", k: int = 5, threshold: float = 0.8) -> DataFrame:
     """df (any columns) -> its columns but text, with n_shingles, fp and root: the fingerprint that stands for all sets reachable by links
     of 100 * intersection >= 100 * threshold * union, or null for an empty set, which is linked with nothing. Rows stay rows; an empty table stays empty."""
@@ -293,18 +367,14 @@ def group(df: DataFrame, text: str = "text", k: int = 5, threshold: float = 0.8)
     base = table(signatures(df, text, k), "signatures")
     vertices = table(base.where("fp is not null").groupBy("fp").agg(F.first("sig").alias("sig")), "vertices")
     pairs = candidates(vertices, threshold)
-    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    sets = full_sets(df, text, k, table(ends, "ends"))
-    # each vertex's best pair
+    clusters = table(components(pairs), "clusters")
+    sets = full_sets(df, text, k, clusters.select(F.col("node").alias("fp")))
+    # each vertex's best edge
     both = pairs.select(F.col("a").alias("v"), F.col("b").alias("u"), "lanes").unionByName(pairs.select(F.col("b").alias("v"), F.col("a").alias("u"), "lanes"))
     best = both.groupBy("v").agg(F.max(F.struct("lanes", "u")).alias("m")).select(F.least("v", "m.u").alias("a"), F.greatest("v", "m.u").alias("b")).distinct()
     links = table(confirm(best, sets, percent), "links")
     roots = table(components(links), "roots")
-    # of the others, those that would join two components, each two components by one pair at a time being enough only if it holds: all are confirmed
-    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    rest = pairs.join(best, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    rest = table(rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "rest")
-    more = table(confirm(rest, sets, percent), "links")
+    more = table(confirm_parts(clusters, roots, sets, percent), "links")
     if not more.isEmpty():
         roots = table(components(links.unionByName(more)), "roots")
     out = base.drop("sig").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
