@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +19,11 @@ def char_counts(df: DataFrame, text: str) -> DataFrame:
 
 
 class CharTokenizer:
-    """vocab: (token string, token_id int), as many rows as there are different characters: under 1.2 million whatever the corpus, so it may be broadcast."""
+    """vocab: (token string, token_id int), as many rows as there are different characters: under 1.2 million whatever the corpus, so the driver may hold it."""
 
     def __init__(self, vocab: DataFrame):
         self.vocab = vocab
+        self._tokens: list[str] | None = None
 
     @staticmethod
     def fit(df: DataFrame, text: str, order: str) -> CharTokenizer:
@@ -30,33 +33,43 @@ class CharTokenizer:
         first = seen.groupBy("token").agg(F.min(F.struct("o", "p")).alias("at"))
         return CharTokenizer(first.select("token", (F.row_number().over(Window.orderBy("at", "token")) - 1).alias("token_id")))
 
+    @property
+    def tokens(self) -> list[str]:
+        """By id; read once."""
+        if self._tokens is None:
+            self._tokens = [r["token"] for r in sorted(self.vocab.collect(), key=lambda r: r["token_id"])]
+        return self._tokens
+
     def encode(self, df: DataFrame, text: str, key: str, out: str = "ids") -> DataFrame:
-        """(key, out array<int>); characters that aren't in the vocabulary are left out. A map literal keeps texts whole: no explode, no shuffle."""
-        table = self._map("token", "token_id")
-        ids = F.filter(F.transform(split_chars(text), lambda c: F.element_at(F.col("__map"), c)), lambda i: i.isNotNull())
-        return df.select(F.col(key), F.col(text)).crossJoin(F.broadcast(table)).select(key, ids.alias(out))
+        """(key, out array<int>); characters that aren't in the vocabulary are left out.
+
+        Ids are looked up by code point in pages of 256, which the optimizer folds into a literal: texts stay whole, with no explode and no shuffle.
+        """
+        pages: dict[int, list[int | None]] = {}
+        for i, token in enumerate(self.tokens):
+            pages.setdefault(ord(token) >> 8, [None] * 256)[ord(token) & 255] = i
+        table = F.from_json(F.lit(json.dumps([pages.get(k) for k in range(max(pages, default=0) + 1)])), "array<array<int>>")
+        lookup = lambda c: F.get(F.get(table, F.shiftright(F.ascii(c), 8)), F.ascii(c).bitwiseAND(255))
+        ids = F.filter(F.transform(split_chars(text), lookup), lambda i: i.isNotNull())
+        return df.select(F.col(key), ids.alias(out))
 
     def decode(self, df: DataFrame, ids: str, key: str, out: str = "text") -> DataFrame:
         """(key, out); ids that aren't in the vocabulary are left out."""
-        table = self._map("token_id", "token")
-        text = F.array_join(F.filter(F.transform(F.col(ids), lambda i: F.element_at(F.col("__map"), i)), lambda c: c.isNotNull()), "")
-        return df.select(F.col(key), F.col(ids)).crossJoin(F.broadcast(table)).select(key, text.alias(out))
-
-    def _map(self, k: str, v: str) -> DataFrame:
-        return self.vocab.agg(F.map_from_entries(F.collect_list(F.struct(k, v))).alias("__map"))
+        table = F.from_json(F.lit(json.dumps(self.tokens)), "array<string>")
+        # joining leaves nulls out
+        return df.select(F.col(key), F.array_join(F.transform(F.col(ids), lambda i: F.get(table, i)), "").alias(out))
 
     @property
     def vocab_size(self) -> int:
-        return self.vocab.count()
+        return len(self.tokens)
 
     def token(self, token_id: int) -> str:
-        row = self.vocab.where(F.col("token_id") == token_id).first()
-        if row is None:
+        if not 0 <= token_id < len(self.tokens):
             raise IndexError("no such token")
-        return row["token"]
+        return self.tokens[token_id]
 
     def contains(self, token: str) -> bool:
-        return not self.vocab.where(F.col("token") == token).isEmpty()
+        return token in self.tokens
 
 
 def train_val_split(ids: Column | str) -> tuple[Column, Column]:
