@@ -44,7 +44,9 @@ def add(a: Column | str, b: Column | str) -> Column:
 def exponentials(v: Column | str, temperature: float = 1.0) -> Column:
     """exp((x - max) / temperature); a temperature of 0 or less counts as 1e-6."""
     c, t = _c(v), temperature if temperature > 0 else 1e-6
-    return F.transform(c, lambda x: F.exp((x - F.array_max(c)) / t))
+    # the largest is bound first: a lambda works its free expressions out again at each call
+    bound = F.array(F.struct(c.alias("v"), F.array_max(c).alias("m")))
+    return F.flatten(F.transform(bound, lambda b: F.transform(b["v"], lambda x: F.exp((x - b["m"]) / t))))
 
 
 def softmax(v: Column | str, temperature: float = 1.0) -> Column:
