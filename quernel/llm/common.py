@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,15 +51,51 @@ def size_of(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Links that one task joins up; bounds its memory.
+TASK_LINKS = 250_000
+
+
+def stars(edges: DataFrame, tasks: int) -> DataFrame:
+    """edges (u, v), a table() -> edges from each node to the smallest of its part, as far as a task sees it. No task reads many more than TASK_LINKS edges."""
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def find(x):
+            while (p := parent[x]) != x:
+                parent[x] = x = parent[p]
+            return x
+
+        kinds: list[pa.DataType] = []
+        for batch in batches:
+            kinds = [f.type for f in batch.schema]
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parent.setdefault(u, u)
+                parent.setdefault(v, v)
+                a, b = find(u), find(v)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        out = [(x, r) for x in parent if (r := find(x)) != x]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kinds[k]) for k in (0, 1)], names=["u", "v"])
+
+    return edges.coalesce(tasks).mapInArrow(run, names)
+
+
 def components(links: DataFrame, rounds: int = 64) -> DataFrame:
     """links (a, b), of any orderable type, as an undirected graph; returns (node, root): root is the smallest node reachable.
 
-    Alternates large-star and small-star steps until nothing changes. Each is a min per node, which Spark pre-aggregates, and a join by node that
-    adaptive execution may split where a node is hot. No step gathers a node's links in one place. No links: an empty result.
+    Each task first joins up its share of the links, TASK_LINKS at most. What remains of more than one share is alternated between large-star and
+    small-star steps, each a min per node, which Spark pre-aggregates, and a join by node that adaptive execution may split where a node is hot,
+    until one share holds it or nothing changes. No step gathers a node's links in one place. No links: an empty result.
     """
     edges = table(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    before = None
+    n, before = edges.count(), None
+    edges = table(stars(edges, max(1, -(-n // TASK_LINKS))), "cc")
     for _ in range(rounds):
+        if n <= TASK_LINKS:
+            break
         # large star: every larger neighbour of u, and u itself, moves to the smallest of u's neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -66,10 +104,12 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(low, "u")
         edges = table(near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "cc")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        n, now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
+        if n <= TASK_LINKS:
+            edges = table(stars(edges, 1), "cc")
     else:
         raise RuntimeError("components did not settle")
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
