@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quernel.llm.common import text_batches
+
 NONE = 1 << 80
 FAN = 16
 #: Entries of a worker's memo; it is emptied when full.
-MEMO = 500_000
+MEMO = 250_000
 #: Below this code point, and for ASCII, Python's tables agree with those of the tokenizers library; other texts take its normalizer and splitter.
 PLAIN = re.compile("[\x00-\x1b\x20-\x84\x86-\u052f\u2010-\u2027]*")
 
@@ -217,8 +219,9 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, decoded:
                     cut = batch.slice(start, i + 1 - start)
                     yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.string())], names=[f.name for f in schema])
                     start, size, out = i + 1, 0, ([], [], [])
+        bpe.memo.clear()  # a worker that is used again holds no memory of this task
 
-    return kept.mapInArrow(run, schema)
+    return text_batches(kept).mapInArrow(run, schema)
 
 
 def ids_array(ids_le):

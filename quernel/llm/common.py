@@ -27,6 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows of an Arrow batch of texts: what a Python worker and its executor hold at once.
+TEXT_ROWS = 1000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on makes no Arrow batches of more rows: with thousands of whole texts in each they'd fill a worker's memory."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def table(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, and survives the loss of executors.
 

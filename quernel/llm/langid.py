@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quernel.llm.common import text_batches
+
 TRAIN_DOCS, DOC_CHARS, TRAIN_CHARS = 60, 1500, 12_000
 PIECE = 512
 #: Pieces parsed together; bounds a worker's memory.
@@ -208,7 +210,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 langs, scores = own.predict(column.slice(k, 256).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.slice(k, 256).columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return text_batches(kept).mapInArrow(run, schema)
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

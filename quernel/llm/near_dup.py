@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm.common import components, small, table
+from quernel.llm.common import components, small, table, text_batches
 
 MINS, LANES = 64, 64
 TREES, FIRST, DEPTH, LEAF = 24, 3, 6, 48
@@ -133,7 +133,7 @@ def signatures(df: DataFrame, text: str, k: int) -> DataFrame:
             rest = [c for i, c in enumerate(batch.columns) if i != at]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], names=[*keys, "n_shingles", "fp", "sig"])
 
-    return df.select(*keys, text).mapInArrow(run, schema)
+    return text_batches(df).select(*keys, text).mapInArrow(run, schema)
 
 
 def unpack(column: pa.Array, dtype: type, width: int) -> np.ndarray:
@@ -291,7 +291,7 @@ def full_sets(df: DataFrame, text: str, k: int, wanted: DataFrame) -> DataFrame:
                 sets = [s for x in batch.column(0).slice(i, 128) if len(s := shingles(x.as_py(), k))]
                 yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "hashes"])
 
-    made = df.select(text).where(F.col(text).isNotNull()).mapInArrow(run, "fp binary, hashes binary")
+    made = text_batches(df).select(text).where(F.col(text).isNotNull()).mapInArrow(run, "fp binary, hashes binary")
     return table(made.join(small(wanted), "fp", "left_semi").groupBy("fp").agg(F.first("hashes").alias("hashes")), "sets")
 
 

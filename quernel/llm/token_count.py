@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernel.llm.bpe import MEMO, WordBpe, byte_letters, default_path, load, shipped
+from quernel.llm.common import text_batches
 
 #: Code points of a chunk.
 CHUNK = 1 << 15
@@ -191,8 +192,9 @@ def count_tokens(df: DataFrame, text: str = "text", path: str | None = None, lim
                 n_tokens.append(counter.count(said))
             rest = [c for i, c in enumerate(batch.columns) if i != at]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], names=[f.name for f in schema])
+        counter.clear()  # a worker that is used again holds no memory of this task
 
-    return kept.select(*keys, text).mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return text_batches(kept).select(*keys, text).mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
