@@ -3,7 +3,8 @@
 Equal vectors of a label are one vertex. Lists of each vertex's K best neighbours start from random hyperplane buckets and are refined by joining
 the neighbours, forward and backward, of each vertex with one another. Edges at the threshold, confirmed in double precision, give components.
 An audit compares a bounded sample of vertices with all; while it misses links, rounds with new hyperplanes go on. A list is saturated
-where a vertex may have more links than K: within a component every list is enlarged to all its members, compared block by block; only
+where a vertex may have more links than K: such vertices of a label are compared with one another stripe by stripe, as far as they are in several
+components, and what links two of these joins them. Within a component every list is enlarged to all its members, compared block by block; only
 counts leave the blocks, so a large group of near-copies costs no row for each of its pairs.
 """
 
@@ -23,6 +24,8 @@ ITERATIONS, ROUNDS, AUDIT, RECALL = 2, 4, 256, 0.999
 #: Vectors are searched as bytes; what may reach the threshold within their error is confirmed.
 MARGIN = 0.03
 REVERSE, BLOCK = 48, 512
+#: Bytes of vectors that go to all tasks at once, and rows that a task compares with them at once; they bound memory, not results.
+STRIPE, ROWS = 4 << 20, 1024
 
 
 def usable(vector: Column) -> Column:
@@ -172,6 +175,88 @@ def confirmed(lists: DataFrame, vertices: DataFrame, threshold: float) -> DataFr
     return near.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def rooted(vertices: DataFrame, roots: DataFrame) -> DataFrame:
+    """vertices with root, of a vertex without links itself."""
+    found = roots.select(F.col("node").alias("id"), "root")
+    return vertices.join(found, "id", "left").select("id", "group", "dim", "n", "raw", F.coalesce("root", "id").alias("root"))
+
+
+def against(members: DataFrame, picked: DataFrame, threshold: float) -> DataFrame:
+    """picked, a stripe of members, compared with all members of its groups: rows a, b are links between roots, as many as join up what a task sees of them;
+    rows without a are a task's counts: n links that it saw, same of them within a root.
+    """
+    known: dict[tuple[int, int], list] = {}
+    for i, g, d, raw, root in picked.select("id", "group", "dim", "raw", "root").toPandas().itertuples(index=False):
+        known.setdefault((int(g), int(d)), []).append((int(i), int(root), bytes(raw)))
+    shipped = members.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stripe = {k: (np.array([m[0] for m in x]), *np.unique([m[1] for m in x], return_inverse=True), np.frombuffer(b"".join(m[2] for m in x), np.float64).reshape(len(x), -1)) for k, x in shipped.value.items()}
+        parent: dict[int, int] = {}
+        seen = apart = 0
+
+        def find(x: int) -> int:
+            while (p := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent.setdefault(p, p)
+            return x
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                ids, groups, dims, own = (part.column(c).to_numpy() for c in (0, 1, 2, 4))
+                a, b = [], []
+                for g, d in set(zip(groups.tolist(), dims.tolist())) & stripe.keys():
+                    other, names, name, rows = stripe[g, d]
+                    at = np.flatnonzero((groups == g) & (dims == d))
+                    near = joined(part.column(3).take(pa.array(at)), np.float64) @ rows.T >= threshold
+                    near &= ids[at][:, None] != other[None, :]
+                    seen += int(near.sum())
+                    near &= own[at][:, None] != names[name][None, :]
+                    i, j = np.nonzero(near)
+                    apart += len(i)
+                    # one link for each two roots
+                    mine, code = np.unique(own[at], return_inverse=True)
+                    for x in np.unique(code[i] * len(names) + name[j], return_index=True)[1]:
+                        u, v = find(int(mine[code[i[x]]])), find(int(names[name[j[x]]]))
+                        if u != v:
+                            parent[max(u, v)] = min(u, v)
+                            a.append(ids[at[i[x]]])
+                            b.append(other[j[x]])
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64())], names=["a", "b", "n", "same"])
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (None, None, seen, seen - apart)], names=["a", "b", "n", "same"])
+
+    out = table(members.select("id", "group", "dim", "raw", "root").mapInArrow(run, "a long, b long, n long, same long"), "met")
+    shipped.unpersist()
+    return out
+
+
+def swept(members: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join up all roots of members, a table(), between which there is a link: all are compared, a stripe at a time."""
+    n, dim = members.agg(F.count("*"), F.max("dim")).first()
+    stripes = max(1, -(-n * 8 * (dim or 1) // STRIPE))
+    out = None
+    for k in range(stripes):
+        found = against(members, members.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(stripes)) == k), threshold)
+        out = found if out is None else out.unionByName(found)
+    return out.where("a is not null").select("a", "b")
+
+
+def beyond_lists(lists: DataFrame, vertices: DataFrame, roots: DataFrame, threshold: float) -> DataFrame | None:
+    """Links (a, b) between components that full lists may have had no place for; None where no two components of a group have such lists.
+
+    A list drops an edge only while it has K as good ones, so a link that both its ends have dropped is between two vertices whose lists are full of what may be links.
+    """
+    full = lists.groupBy("v").agg(F.count("*").alias("n"), F.min("sim").alias("low")).where((F.col("n") >= K) & (F.col("low") >= threshold - MARGIN)).select(F.col("v").alias("id"))
+    members = table(rooted(vertices.join(full, "id"), roots), "full")
+    several = members.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("group")
+    several = table(several, "several")
+    if several.isEmpty():
+        return None
+    return swept(table(members.join(several, "group").repartition(members.sparkSession.sparkContext.defaultParallelism), "full"), threshold)
+
+
 def audit(vertices: DataFrame, roots: DataFrame, threshold: float) -> float:
     """The share of a sample's links, found by comparing it with every vertex, whose ends have one root; 1 without links."""
     total = vertices.count()
@@ -249,6 +334,10 @@ def link(df: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vector:
             lists = refine(lists, vertices)
         links = table(confirmed(lists, vertices, threshold), "links") if round_ == 0 else table(confirmed(lists, vertices, threshold).unionByName(links).distinct(), "links")
         roots = table(components(links), "roots")
+        more = beyond_lists(lists, vertices, roots, threshold)
+        if more is not None:
+            links = table(links.unionByName(more).distinct(), "links")
+            roots = table(components(links), "roots")
         if audit(vertices, roots, threshold) >= RECALL:
             break
     counts = link_counts(vertices, roots, threshold)

@@ -65,3 +65,25 @@ def test_null_and_repeated_ids_and_empty(spark):
     got = embed_dup.link(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == [("3", 2, "3", True), ("3", 2, "3", True), ("None", 0, "None", True), ("None", 2, "3", False)]
     assert embed_dup.link(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def clumps(sizes, apart=0.31, label=1):
+    """Tight clumps around directions of a plane, each the given angle from the one before."""
+    rng = np.random.default_rng(11)
+    out = []
+    for c, size in enumerate(sizes):
+        center = np.zeros(16)
+        center[0], center[1] = np.cos(c * apart), np.sin(c * apart)
+        out += [(center + rng.standard_normal(16) * 0.001, label) for _ in range(size)]
+    return [(i, [float(x) for x in v], k, "") for i, (v, k) in enumerate(out)]
+
+
+def test_links_beyond_full_lists(spark, monkeypatch):
+    monkeypatch.setattr(embed_dup, "STRIPE", 16 * 8 * 10)  # several stripes
+    rows = clumps([12, 12]) + [(i + 24, v, 2, "") for i, v, *_ in clumps([13, 30, 12])]
+    got = {r.vec_id: r for r in embed_dup.link(spark.createDataFrame(rows, SCHEMA)).collect()}
+    links, _ = brute(rows)
+    assert links[:24] == [23] * 24
+    assert [got[i].n_links for i in range(len(rows))] == links
+    assert [got[i].component_id for i in range(len(rows))] == [0] * 24 + [24] * 55
+    assert sorted(i for i in got if got[i].kept) == [0, 24]
