@@ -2,7 +2,8 @@
 
 Equal vectors of a label are one vertex. Lists of each vertex's K best neighbours start from random hyperplane buckets and are refined by joining
 the neighbours, forward and backward, of each vertex with one another. Edges at the threshold, confirmed in double precision, give components.
-An audit compares a bounded sample of vertices with all; while it misses links, rounds with new hyperplanes go on. A list is saturated
+An audit compares a sample of vertices with all, which grows until it has seen LINKS links; while it misses links, rounds with new hyperplanes go on,
+and what still fails after ROUNDS is compared exactly, stripe by stripe. A list is saturated
 where a vertex may have more links than K: such vertices of a label are compared with one another stripe by stripe, as far as they are in several
 components, and what links two of these joins them. Within a component every list is enlarged to all its members, compared block by block; only
 counts leave the blocks, so a large group of near-copies costs no row for each of its pairs.
@@ -11,6 +12,7 @@ counts leave the blocks, so a large group of near-copies costs no row for each o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from quernel.llm.common import components, table
 
 K, TABLES, CHUNK, OVERLAP, PER_BUCKET = 10, 8, 96, 24, 5
-ITERATIONS, ROUNDS, AUDIT, RECALL = 2, 4, 256, 0.999
+ITERATIONS, ROUNDS, AUDIT, LINKS, RECALL = 2, 4, 256, 1000, 0.999
 #: Vectors are searched as bytes; what may reach the threshold within their error is confirmed.
 MARGIN = 0.03
 REVERSE, BLOCK = 48, 512
@@ -58,6 +60,11 @@ def as_bytes(vertices: DataFrame) -> DataFrame:
     return vertices.select("id", "label", "dim", "v", "copies").mapInArrow(run, f"id long, label {label}, dim int, copies long, q binary, raw binary")
 
 
+def planes_of(n: Column) -> Column:
+    """Hyperplanes of a bucket where a group has n vertices."""
+    return F.greatest(F.lit(0), F.least(F.lit(40), F.ceil(F.log2(F.greatest(n, F.lit(1)) / 32.0)))).cast("int")
+
+
 def buckets(vertices: DataFrame, round_: int) -> DataFrame:
     """vertices (id, label, dim, q, n of its label) -> for each table of hyperplanes: key long, place double (order within the bucket), id, q."""
 
@@ -257,33 +264,25 @@ def beyond_lists(lists: DataFrame, vertices: DataFrame, roots: DataFrame, thresh
     return swept(table(members.join(several, "group").repartition(members.sparkSession.sparkContext.defaultParallelism), "full"), threshold)
 
 
-def audit(vertices: DataFrame, roots: DataFrame, threshold: float) -> float:
-    """The share of a sample's links, found by comparing it with every vertex, whose ends have one root; 1 without links."""
-    total = vertices.count()
-    rate = min(1.0, 2.0 * AUDIT / max(1, total))
-    picked = vertices.where(F.shiftrightunsigned(F.xxhash64("id", F.lit(3)), 11) * F.lit(2.0**-53) < rate).select("id", "group", "dim", "raw").limit(3 * AUDIT).toPandas()
-    shipped = vertices.sparkSession.sparkContext.broadcast([(int(i), int(g), int(d), r) for i, g, d, r in picked.itertuples(index=False)])
+def audit(members: DataFrame, threshold: float) -> tuple[dict[int, float], list[DataFrame]]:
+    """members (rooted(), a table()) -> the recall of each size class of groups (they have as many hyperplanes), and the links (a, b) found between roots.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[tuple[int, int], tuple[list, list]] = {}
-        for i, g, d, r in shipped.value:
-            ids, rows = by.setdefault((g, d), ([], []))
-            ids.append(i)
-            rows.append(np.frombuffer(r, np.float64))
-        known = {k: (np.array(i), np.array(r)) for k, (i, r) in by.items()}
-        for batch in batches:
-            ids, groups, dims, raws = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_pylist()
-            for (g, d), (other, rows) in known.items():
-                at = np.flatnonzero((groups == g) & (dims == d))
-                if len(at):
-                    s = np.frombuffer(b"".join(raws[i] for i in at), np.float64).reshape(len(at), -1) @ rows.T
-                    i, j = np.nonzero((s >= threshold) & (ids[at][:, None] != other[None, :]))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at][i]), pa.array(other[j])], names=["a", "b"])
-
-    links = vertices.select("id", "group", "dim", "raw").mapInArrow(run, "a long, b long")
-    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    n, same = links.join(side("a"), "a", "left").join(side("b"), "b", "left").agg(F.count("*"), F.sum(F.when(F.col("a_root") == F.col("b_root"), 1).otherwise(0))).first()
-    return (same or 0) / n if n else 1.0
+    A class's sample is compared with all vertices of its groups and grows until it has shown LINKS links, or is the whole class, of which then no link is missing: recall 1.
+    """
+    place = F.shiftrightunsigned(F.xxhash64("id", F.lit(3)), 11) * F.lit(2.0**-53)
+    recall, missing = {}, []
+    for planes, n, dim in members.groupBy(planes_of(F.col("n")).alias("planes")).agg(F.count("*"), F.max("dim")).orderBy("planes").collect():
+        part = members.where(planes_of(F.col("n")) == planes)
+        low, rows, seen, same = 0.0, 2 * AUDIT, 0, 0
+        while low < 1 and seen < LINKS:
+            high = min(1.0, low + min(rows, max(1, STRIPE // (8 * dim))) / n)
+            found = against(part, part.where((place >= low) & (place < high)), threshold)
+            told = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("same"), F.lit(0))).first()
+            seen, same, low, rows = seen + told[0], same + told[1], high, rows * 8
+            if told[0] > told[1]:
+                missing.append(found.where("a is not null").select("a", "b"))
+        recall[planes] = 1.0 if low >= 1 or not seen else same / seen
+    return recall, missing
 
 
 def link_counts(vertices: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
@@ -326,7 +325,7 @@ def link(df: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vector:
     sizes = numbered.groupBy(F.col("label").alias("l"), F.col("dim").alias("d")).agg(F.count("*").alias("n"))
     vertices = as_bytes(numbered).join(sizes, (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d"))).drop("l", "d")
     vertices = table(vertices.withColumn("group", F.xxhash64(F.col("label").cast("string"), "dim")).drop("label"), "vertices")
-    lists = None
+    spark, lists = df.sparkSession, None
     for round_ in range(ROUNDS):
         found = first_lists(buckets(vertices, round_))
         lists = merged(found if lists is None else lists.unionByName(found))
@@ -338,7 +337,15 @@ def link(df: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vector:
         if more is not None:
             links = table(links.unionByName(more).distinct(), "links")
             roots = table(components(links), "roots")
-        if audit(vertices, roots, threshold) >= RECALL:
+        members = table(rooted(vertices, roots).repartition(spark.sparkContext.defaultParallelism), "rooted")
+        recall, missing = audit(members, threshold)
+        failed = [planes for planes, share in recall.items() if share < RECALL]
+        if failed and round_ == ROUNDS - 1:
+            missing.append(swept(members.where(planes_of(F.col("n")).isin(failed)), threshold))
+        if missing:
+            links = table(reduce(DataFrame.unionByName, missing, links).distinct(), "links")
+            roots = table(components(links), "roots")
+        if not failed:
             break
     counts = link_counts(vertices, roots, threshold)
     ids = numbered.select("fp", F.col("id").alias("node"), "copies").join(roots, "node", "left").join(counts.withColumnRenamed("id", "node"), "node", "left")

@@ -87,3 +87,26 @@ def test_links_beyond_full_lists(spark, monkeypatch):
     assert [got[i].n_links for i in range(len(rows))] == links
     assert [got[i].component_id for i in range(len(rows))] == [0] * 24 + [24] * 55
     assert sorted(i for i in got if got[i].kept) == [0, 24]
+
+
+def test_audit_repairs_what_the_search_misses(spark, monkeypatch):
+    """A search that finds next to nothing, sparse links, and a sample that sees none at first."""
+    monkeypatch.setattr(embed_dup, "AUDIT", 2)
+    monkeypatch.setattr(embed_dup, "first_lists", lambda placed: placed.sparkSession.createDataFrame([], embed_dup.EDGES))
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.standard_normal(16)], 1, "") for i in range(300)]
+    rows += [(300 + i, [x + 0.001 for x in rows[7 * i][1]], 1, "") for i in range(8)]
+    got = {r.vec_id: r for r in embed_dup.link(spark.createDataFrame(rows, SCHEMA)).collect()}
+    links, _ = brute(rows)
+    assert sum(links) >= 16
+    assert [got[i].n_links for i in range(len(rows))] == links
+    assert all(got[300 + i].component_id == got[7 * i].component_id and not got[300 + i].kept for i in range(8))
+
+
+def test_a_failed_audit_ends_in_an_exact_comparison(spark, monkeypatch):
+    monkeypatch.setattr(embed_dup, "first_lists", lambda placed: placed.sparkSession.createDataFrame([], embed_dup.EDGES))
+    monkeypatch.setattr(embed_dup, "ROUNDS", 1)
+    monkeypatch.setattr(embed_dup, "audit", lambda members, threshold: ({r[0]: 0.5 for r in members.select(embed_dup.planes_of(members.n)).distinct().collect()}, []))
+    rows = clumps([3, 4])
+    got = [r for r in embed_dup.link(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert {(r.n_links, r.component_id) for r in got} == {(6, 0)}
