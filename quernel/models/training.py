@@ -8,6 +8,7 @@ fit_groups() trains one model per group in one task each, for many small models.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -132,23 +133,40 @@ def predict_mlp(df: DataFrame, model: MLP, x: str = "x") -> DataFrame:
 
 
 def gpt_loss(model: GPT, f: pd.DataFrame) -> tuple[Tensor, int]:
+    """times: how often a chunk counts."""
     total = None
-    for x, y in zip(f.x, f.y):
-        one = model.loss(x, y)
+    for x, y, times in zip(f.x, f.y, f.times):
+        one = tape.mul(model.loss(x, y), float(times))
         total = one if total is None else tape.add(total, one)
-    return total, len(f)
+    return total, int(f.times.sum())
+
+
+def numbered(df: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """df with n_th long, from 0 without gaps in the order of by, and the persisted frame that it reads.
+
+    Rows are numbered within range partitions; offsets come from the partitions' counts, so no task sees all rows.
+    """
+    base = df.repartitionByRange(by).sortWithinPartitions(by).withColumn("__at", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    offsets, below = [], 0
+    for part, n in sorted(tuple(r) for r in base.groupBy(F.shiftright("__at", 33).alias("part")).count().collect()):
+        offsets.append((part, below))
+        below += n
+    first = F.broadcast(df.sparkSession.createDataFrame(offsets, "__part long, __below long"))
+    placed = base.join(first, F.shiftright("__at", 33) == F.col("__part"))
+    return placed.select(*df.columns, (F.col("__below") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).alias("n_th")), base
 
 
 def fit_gpt(chunks: DataFrame, model: GPT, steps: int, batch: int = 16, lr: float = 3e-4, weight_decay: float = 0.01, warmup: int = 0, clip: float = 1.0, seed: int = 1) -> list[float]:
-    """chunks (id long from 0, x, y array<int>): each step takes batch random chunks, averages their gradients, clips and steps. Returns the losses."""
+    """chunks (id long from 0 without gaps, x, y array<int>): each step draws batch chunks, one as often as it is drawn, averages their gradients, clips and steps. Returns the losses."""
     base = chunks.select("id", "x", "y").persist(StorageLevel.MEMORY_AND_DISK)
     optimizer, rng, losses = Adam(model.params(), lr, weight_decay=weight_decay), Rng(seed), []
     try:
         n = base.count()
         for step in range(steps):
             optimizer.set_lr(cosine_lr(step, steps, lr, warmup))
-            picked = sorted({int(rng.uniform() * n) for _ in range(batch)})
-            losses.append(gradient(base.where(F.col("id").isin(picked)), model, gpt_loss)[0])
+            picked = Counter(int(rng.uniform() * n) for _ in range(batch))
+            times = F.create_map(*[F.lit(x) for pair in sorted(picked.items()) for x in pair])
+            losses.append(gradient(base.where(F.col("id").isin(sorted(picked))).withColumn("times", times[F.col("id")]), model, gpt_loss)[0])
             clip_grad_norm(model.params(), clip)
             optimizer.step()
     finally:
@@ -203,4 +221,4 @@ def generate(prompts: DataFrame, model: GPT, n: int, config: SampleConfig, key:
     return prompts.select(key, ids).mapInPandas(run, f"`{key}` {kind}, ids array<int>")
 
 
-__all__ = ["GPT", "GPTConfig", "MLP", "fit_gpt", "fit_groups", "fit_mlp", "fit_mlp_batches", "generate", "gpt_forward", "gpt_losses", "gradient", "perplexity", "predict_mlp"]
+__all__ = ["GPT", "GPTConfig", "MLP", "fit_gpt", "fit_groups", "fit_mlp", "fit_mlp_batches", "generate", "gpt_forward", "gpt_losses", "gradient", "numbered", "perplexity", "predict_mlp"]

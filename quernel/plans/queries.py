@@ -606,11 +606,11 @@ def gpt_forward(spark, sf_dir):
 @query(None)
 def gpt_train(spark, sf_dir):
     """Three steps over numbered chunks."""
-    from quernel.models.training import fit_gpt
+    from quernel.models.training import fit_gpt, numbered
 
-    chunks = chunked(spark, sf_dir)
-    numbered = chunks.select(F.monotonically_increasing_id().alias("id"), "x", "y").coalesce(8)
-    losses = fit_gpt(numbered, small_gpt(), 3, batch=8, lr=1e-2)
+    chunks, base = numbered(chunked(spark, sf_dir), "id")
+    losses = fit_gpt(chunks.select(F.col("n_th").alias("id"), "x", "y"), small_gpt(), 3, batch=8, lr=1e-2)
+    base.unpersist()
     return spark.createDataFrame(list(enumerate(losses)), "step int, loss double")
 
 

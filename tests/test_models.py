@@ -7,7 +7,7 @@ from quernel.functions.rng import Rng, rings
 from quernel.models import nn, tape
 from quernel.models.networks import GPT, MLP, GPTConfig
 from quernel.models.tape import Tensor
-from quernel.models.training import fit_gpt, fit_groups, fit_mlp, fit_mlp_batches, generate, gpt_forward, gradient, mlp_loss, perplexity, predict_mlp
+from quernel.models.training import fit_gpt, fit_groups, fit_mlp, fit_mlp_batches, generate, gpt_forward, gpt_loss, gradient, mlp_loss, numbered, perplexity, predict_mlp
 from quernel.operators.decoding import SampleConfig
 
 
@@ -166,3 +166,34 @@ def test_gpt_over_frames(spark):
     assert out[0][:2] == [1, 2] and len(out[0]) == 11 and len(out[1]) == 10
     assert out == {r.id: r.ids for r in generate(prompts.repartition(2), model, 9, SampleConfig(0.8, 3, 0.9)).collect()}
     assert len(gpt_forward(prompts, model).first().last_logits) == 5
+
+
+def test_gpt_draws_from_all_partitions(spark, tmp_path, monkeypatch):
+    """Benchmark in many files: chunks are numbered without gaps, and each step's batch is full, a chunk as often as drawn."""
+    from quernel.models import training
+    from quernel.plans import queries
+
+    rows = [(i, "".join(chr(97 + (i * 7 + k * k) % 26) for k in range(40))) for i in range(12)]
+    spark.createDataFrame(rows, "item_id long, text string").repartition(6).write.parquet(f"{tmp_path}/benchmark.parquet")
+    chunks = queries.chunked(spark, str(tmp_path)).repartition(5)
+    out, base = numbered(chunks, "id")
+    got = out.select("id", "n_th").collect()
+    assert sorted(r.n_th for r in got) == list(range(chunks.count())) and [r.id for r in sorted(got, key=lambda r: r.n_th)] == sorted(r.id for r in got)
+    base.unpersist()
+    seen = []
+
+    def watched(df, model, loss):
+        out = gradient(df, model, loss)
+        seen.append((out[1], {r.id for r in df.select("id").collect()}))
+        return out
+
+    monkeypatch.setattr(training, "gradient", watched)
+    queries.QUERIES["gpt_train"](spark, str(tmp_path)).collect()
+    assert [n for n, _ in seen] == [8, 8, 8]
+    rng = Rng(1)
+    assert [ids for _, ids in seen] == [{int(rng.uniform() * len(got)) for _ in range(8)} for _ in range(3)]
+    two = spark.createDataFrame([(0, [1, 2], [2, 3], 3), (1, [4, 0], [0, 1], 1)], "id long, x array<int>, y array<int>, times int")
+    model = GPT(TINY, Rng(7))
+    mean, n = gradient(two, model, gpt_loss)
+    a, b = (float(model.loss(*xy).value[0, 0]) for xy in (([1, 2], [2, 3]), ([4, 0], [0, 1])))
+    assert n == 4 and mean == pytest.approx((3 * a + b) / 4)
