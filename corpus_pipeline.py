@@ -20,10 +20,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops each source's boilerplate lines; a document that was nothing else goes."""
-    clean = line_dedup.drop_lines(docs, "source")
-    kept = clean.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^ \t-\r]"))
-    return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Drops each source's boilerplate lines. Copies are one page here, and a document that was nothing else stays whole, so that near-dedup has each group's documents to choose from."""
+    clean = line_dedup.drop_lines(docs, "source", copies=False)
+    return clean.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,10 +39,12 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     return lines.join(totals, F.col("host").eqNullSafe(F.col("h"))).where(F.col("pages") > F.col("total") * ratio).select("host", "key", "pages", "total")
 
 
-def drop_lines(df: DataFrame, host: str | tuple, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_lines(df: DataFrame, host: str | tuple, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """df with text without its boilerplate lines, and n_lines, n_dropped (long); these replace columns of their names.
 
     A null host is a host of its own. A null text stays null, with 0 lines. Repeated rows count as pages of their own. An empty table stays empty.
+    Without copies, a host's equal texts count as one page, and a page that would lose all but blank lines stays whole: a group of copies that makes up
+    more than ratio of a host can't take its own lines away, and what is left of it is for the stage that removes copies.
     """
     names = df.columns
     said = F.col("__text")
@@ -52,13 +54,19 @@ def drop_lines(df: DataFrame, host: str | tuple, text: str = "text", ratio: floa
     mark = [F.xxhash64("__host", "__text").alias("m1"), F.xxhash64(F.lit(7), "__text", "__host").alias("m2")]
     pages = table(inner.where(said.isNotNull()).select(F.col("__host").alias("host"), *mark, keys.alias("keys")), "lines")
     empty = inner.where(said.isNull()).select(F.col("__host").alias("host"), F.array().cast("array<bigint>").alias("keys"))
-    found = table(boilerplate(pages.select("host", "keys").unionByName(empty), ratio, min_pages).select(F.col("host").alias("h"), "key"), "boilerplate")
+    counted = pages.select("host", "keys")
+    if not copies:
+        counted = pages.groupBy("host", "m1", "m2").agg(F.first("keys").alias("keys")).select("host", "keys")
+        empty = empty.distinct()
+    found = table(boilerplate(counted.unionByName(empty), ratio, min_pages).select(F.col("host").alias("h"), "key"), "boilerplate")
     hit = pages.select("host", "m1", "m2", F.explode("keys").alias("key")).join(small(found), "key")
     hit = hit.where(F.col("host").eqNullSafe(F.col("h"))).groupBy("m1", "m2").agg(F.collect_set("key").alias("drops"))
     drops = small(table(hit, "drops"), DROP_ROWS)
     joined = inner.withColumns({"__m1": mark[0], "__m2": mark[1]}).join(drops, (F.col("__m1") == F.col("m1")) & (F.col("__m2") == F.col("m2")), "left")
     kept = F.filter(lines_of(said), lambda x: ~F.coalesce(F.array_contains("drops", line_key(x)), F.lit(False)))
     lost = F.col("drops").isNotNull()
+    if not copies:
+        lost = lost & F.exists(kept, lambda x: line_key(x).isNotNull())
     clean = F.when(lost, F.array_join(kept, "\n")).otherwise(said)
     n_lines = F.coalesce(F.size(lines_of(said)), F.lit(0))
     n_lines = F.when(said.isNull(), 0).otherwise(n_lines).cast("long")

@@ -54,3 +54,20 @@ def test_empty(spark, tmp_path):
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_names(name):
     assert name.isidentifier()
+
+
+def test_large_groups_of_copies_keep_one(spark, tmp_path):
+    """Exact and near copies over a tenth of a source: one of each group is left with its lines; a footer of different pages still goes."""
+    text = lambda rng: "\n".join(" ".join(rng.choice(WORDS["en"]) + str(rng.randrange(999)) for _ in range(20)) for _ in range(4))
+    rng = random.Random(4)
+    exact, near = text(rng), text(rng).split("\n")
+    rows = [(i, text(rng) + "\nShared footer.", "en", "a", 0) for i in range(28)]
+    rows += [(100 + i, exact, "en", "a", 0) for i in range(6)]
+    rows += [(200 + i, "\n".join(near) + "\n" * i, "en", "a", 0) for i in range(6)]  # their texts differ, their lines don't
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clean = corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()
+    assert len(clean) == len(rows) and not any("Shared footer." in r.text for r in clean)
+    assert {r.text for r in clean if 100 <= r.doc_id < 200} == {exact}
+    assert {r.text.strip() for r in clean if r.doc_id >= 200} == {"\n".join(near)}
+    left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(clean), str(tmp_path)).collect()
+    assert sorted(r.doc_id // 100 for r in left) == [0] * 28 + [1, 2]
