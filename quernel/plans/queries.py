@@ -583,10 +583,12 @@ def mlp_predict(spark, sf_dir):
 
 
 def chunked(spark, sf_dir, width: int = 16) -> DataFrame:
-    """Contexts of the benchmark's texts as character ids modulo 64."""
+    """All contexts of the benchmark's texts as character ids modulo 64; a text too short for a full one is one context, if it has two characters."""
     items = read(spark, sf_dir, "benchmark").where("text <> ''")
-    ids = F.transform(split_chars("text"), lambda c: F.ascii(c) % 64)
-    w = items.select("item_id", F.explode(F.filter(windows(ids, width), lambda w: w["start"] % width == 0)).alias("w"))
+    items = items.repartition(spark.sparkContext.defaultParallelism, "item_id").select("item_id", F.transform(split_chars("text"), lambda c: F.ascii(c) % 64).alias("ids"))
+    n = F.size("ids")
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.slice("ids", F.lit(1), n - 1).alias("x"), F.slice("ids", F.lit(2), n - 1).alias("y")))
+    w = items.where(n > 1).select("item_id", F.explode(F.when(n > width, windows("ids", width)).otherwise(whole)).alias("w"))
     return w.select((F.col("item_id") * 10000 + F.col("w.start")).alias("id"), F.col("w.x").alias("x"), F.col("w.y").alias("y"))
 
 
@@ -616,9 +618,10 @@ def gpt_train(spark, sf_dir):
 
 @query(None)
 def gpt_generate(spark, sf_dir):
+    """Whole texts as prompts; the model sees the last ids of each."""
     from quernel.models.training import generate
 
-    prompts = read(spark, sf_dir, "benchmark").where("length(text) >= 12").select("item_id", F.transform(F.slice(split_chars("text"), 1, 12), lambda c: F.ascii(c) % 64).alias("ids"))
+    prompts = read(spark, sf_dir, "benchmark").where("text <> ''").select("item_id", F.transform(split_chars("text"), lambda c: F.ascii(c) % 64).alias("ids"))
     return generate(prompts, small_gpt(), 8, decoding.SampleConfig(0.8, 40, 0.9), "item_id")
 
 

@@ -197,3 +197,20 @@ def test_gpt_draws_from_all_partitions(spark, tmp_path, monkeypatch):
     mean, n = gradient(two, model, gpt_loss)
     a, b = (float(model.loss(*xy).value[0, 0]) for xy in (([1, 2], [2, 3]), ([4, 0], [0, 1])))
     assert n == 4 and mean == pytest.approx((3 * a + b) / 4)
+
+
+def test_gpt_queries_take_whole_texts(spark, tmp_path):
+    from quernel.plans import queries
+
+    texts = ["ab", "short text", "x" * 16, "seventeen letters", "a longer text of more than two windows", "z", ""]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {}
+    for i, t in enumerate(texts):
+        c = [ord(x) % 64 for x in t]
+        for s in range(max(1, len(c) - 16) if len(c) > 1 else 0):
+            want[i * 10000 + s] = (c[s : s + 16][: len(c) - 1 - s], c[s + 1 : s + 17])
+    got = {r.id: (r.x, r.y) for r in queries.chunked(spark, str(tmp_path)).collect()}
+    assert got == want
+    assert {r.id for r in queries.QUERIES["gpt_forward"](spark, str(tmp_path)).collect()} == set(want)
+    out = {r.item_id: r.ids for r in queries.QUERIES["gpt_generate"](spark, str(tmp_path)).collect()}
+    assert {i: x[:-8] for i, x in out.items()} == {i: [ord(c) % 64 for c in t] for i, t in enumerate(texts) if t}
