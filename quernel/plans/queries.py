@@ -202,10 +202,11 @@ def mat_times_thin(spark, sf_dir):
 
 @query("WITH c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS k FROM customer) SELECT c_custkey, (k // 128)::BIGINT AS batch FROM c WHERE k // 128 < (SELECT count(*) // 128 FROM c)")
 def minibatch_assign(spark, sf_dir):
-    """Batches of consecutive rows, without a last one that isn't full; keys are dense from the smallest, so no window is needed."""
-    customers = read(spark, sf_dir, "customer")
-    low, n = customers.agg(F.min("c_custkey"), F.count("*")).first()
-    return customers.select("c_custkey", batch_of(F.col("c_custkey") - low, 128).alias("batch")).where(F.col("batch") < n // 128)
+    """Batches of consecutive rows in the order of keys, without a last one that isn't full; rows are numbered by range partitions, so no window is needed."""
+    from quernel.models.training import numbered
+
+    customers, base = numbered(read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    return customers.select("c_custkey", batch_of("n_th", 128).alias("batch")).where(F.col("batch") < base.count() // 128)
 
 
 # Linear systems: normal equations of price by quantity for each flag

@@ -262,3 +262,12 @@ def test_column_forms(spark):
     assert row[0] == [0, 0, 2] and row[1] == pytest.approx((x - x.mean()) / np.sqrt(x.var() + 1e-5))
     assert row[2] == pytest.approx([0.5 * v * (1 + math.erf(v / math.sqrt(2))) for v in x]) and row[3] == [1.5, 2]
     assert row[4] == pytest.approx(-math.log(np.exp(2) / np.exp(x).sum()))
+
+
+def test_minibatches_of_keys_with_gaps(spark, tmp_path):
+    from quernel.plans import queries
+
+    keys = sorted([i * 5 for i in range(250)] + [35] * 20)
+    spark.createDataFrame([(k,) for k in reversed(keys)], "c_custkey long").repartition(5).write.parquet(f"{tmp_path}/customer.parquet")
+    got = sorted((r.batch, r.c_custkey) for r in queries.QUERIES["minibatch_assign"](spark, str(tmp_path)).collect())
+    assert got == [(k // 128, key) for k, key in enumerate(keys[:256])]
