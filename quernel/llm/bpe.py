@@ -197,7 +197,7 @@ def default_path() -> str:
 def encode(df: DataFrame, text: str = "text", path: str | None = None, decoded: bool = True) -> DataFrame:
     """Adds n_tokens long, ids_le binary (little-endian unsigned 32-bit ids) and decoded string to df; they replace columns of these names.
 
-    Null and empty texts give no ids and an empty decoded text. Rows are neither joined nor shuffled, so repeated rows and keys don't matter.
+    Null and empty texts give no ids and an empty decoded text. Rows are neither joined nor shuffled, so repeated rows and ties don't matter. An empty table stays empty.
     """
     content = shipped(df.sparkSession, path or default_path())
     kept = df.drop("n_tokens", "ids_le", "decoded")
@@ -219,7 +219,6 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, decoded:
                     cut = batch.slice(start, i + 1 - start)
                     yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.string())], names=[f.name for f in schema])
                     start, size, out = i + 1, 0, ([], [], [])
-        bpe.memo.clear()  # a worker that is used again holds no memory of this task
 
     return text_batches(kept).mapInArrow(run, schema)
 

@@ -23,8 +23,11 @@ from quernel.llm.common import text_batches
 
 #: Code points of a chunk.
 CHUNK = 1 << 15
-#: Transitions and pair tests kept by a worker; beyond it the compiled part is dropped and grows anew.
-STEPS = 600_000
+#: Transitions and pair tests kept by a worker, and roughly the bytes of its states; beyond either the compiled part is dropped and grows anew.
+#: They stay from task to task, as the memo of runs does, which is emptied by itself.
+STEPS, STATE_BYTES = 600_000, 96 << 20
+#: A transition is its next state's number << SHIFT, and the tokens it adds, plus BIAS.
+SHIFT, BIAS = 20, 1 << 19
 RESET = regex.compile(r"[ \t\n\r]")
 
 
@@ -52,14 +55,15 @@ class Transducer:
         self.value = {c: b for b, c in enumerate(self.letters)}
         # a token that its own letters don't merge to never appears
         self.prefixes = {t[:k] for t in bpe.vocab for k in range(1, len(t.removesuffix(bpe.end)) + 1)}
+        self.memo: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.steps: dict[tuple[int, int], tuple[int, int]] = {}
-        self.ends: dict[tuple[int, int], int] = {}
-        self.states, self.numbers = [START], {START: 0}
+        #: by state << 8 | byte
+        self.steps: dict[int, int] = {}
+        self.ends: dict[int, int] = {}
+        self.states, self.numbers, self.state_bytes = [START], {START: 0}, 0
         self.fits: dict[tuple[str | None, str], bool] = {}
-        self.memo: dict[str, int] = {}
 
     def fit(self, left: str | None, token: str) -> bool:
         """Whether the encoding of left and token side by side is just these two."""
@@ -81,44 +85,48 @@ class Transducer:
                 return token, 1 - since
         raise AssertionError("every letter is a token")
 
-    def step(self, state: int, byte: int) -> tuple[int, int]:
-        found = self.steps.get((state, byte))
-        if found is None:
-            s, letter = self.states[state], self.letters[byte]
-            token, added = self.last(s, letter, "")
-            text = s.suffix + letter
-            tail = [*((t, n + added) for t, n in s.tail), (token, 0)]
-            k = 0
-            while k < len(text) and text[k:] not in self.prefixes:
-                k += 1
-            new = State(text[k:], tuple(tail[k:]))
-            number = self.numbers.get(new)
-            if number is None:
-                number = self.numbers[new] = len(self.states)
-                self.states.append(new)
-            found = self.steps[state, byte] = number, added
+    def step(self, key: int) -> int:
+        """The transition of a state << 8 | byte that no word has taken so far."""
+        s, letter = self.states[key >> 8], self.letters[key & 255]
+        token, added = self.last(s, letter, "")
+        text = s.suffix + letter
+        tail = [*((t, n + added) for t, n in s.tail), (token, 0)]
+        k = 0
+        while k < len(text) and text[k:] not in self.prefixes:
+            k += 1
+        new = State(text[k:], tuple(tail[k:]))
+        number = self.numbers.get(new)
+        if number is None:
+            number = self.numbers[new] = len(self.states)
+            self.states.append(new)
+            self.state_bytes += 400 + 100 * len(new.tail)
+        found = self.steps[key] = number << SHIFT | added + BIAS
         return found
 
-    def finish(self, state: int, byte: int) -> int:
-        found = self.ends.get((state, byte))
-        if found is None:
-            found = self.ends[state, byte] = self.last(self.states[state], self.letters[byte], self.bpe.end)[1]
+    def finish(self, key: int) -> int:
+        found = self.ends[key] = self.last(self.states[key >> 8], self.letters[key & 255], self.bpe.end)[1]
         return found
 
     def word(self, word: str) -> int:
         raw = word.encode("utf-8", "surrogatepass")
-        state, total = 0, 0
+        state, total, get = 0, 0, self.steps.get
         for byte in raw[:-1]:
-            state, added = self.step(state, byte)
-            total += added
-        return total + self.finish(state, raw[-1])
+            key = state << 8 | byte
+            if (found := get(key)) is None:
+                found = self.step(key)
+            state = found >> SHIFT
+            total += (found & (1 << SHIFT) - 1) - BIAS
+        key = state << 8 | raw[-1]
+        return total + (found if (found := self.ends.get(key)) is not None else self.finish(key))
 
     def read(self, run: str) -> int:
         """Tokens of a run without white space; the path of a run seen before is known."""
-        if len(self.steps) + len(self.fits) > STEPS or len(self.memo) > MEMO:
+        if len(self.steps) + len(self.ends) + len(self.fits) > STEPS or self.state_bytes > STATE_BYTES:
             self.clear()
         total = sum([self.word(w) for w in self.bpe.words(run)])
         if len(run) <= 64:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
             self.memo[run] = total
         return total
 
@@ -156,9 +164,8 @@ class Transducer:
         return ChunkMap("".join(head), closed, tokens, "".join(tail))
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
-        if len(text) <= chunk:
-            return self.run(text)
-        maps = [self.chunk(text[i : i + chunk]) for i in range(0, len(text), chunk)]
+        """Tokens of a text of any length: the maps of its chunks, composed."""
+        maps = [self.chunk(text[i : i + chunk]) for i in range(0, max(1, len(text)), chunk)]
         while len(maps) > 1:  # levels of the scan; only the map of the whole text is needed
             maps = [self.compose(maps[i : i + 16]) for i in range(0, len(maps), 16)]
         whole = self.compose(maps)
@@ -175,7 +182,10 @@ def compiled(bpe: WordBpe) -> Transducer:
 
 
 def count_tokens(df: DataFrame, text: str = "text", path: str | None = None, limit: int = 2048) -> DataFrame:
-    """Adds n_bytes, n_tokens (long) and over_limit (boolean) to df; they replace columns of these names. Null and empty texts count 0."""
+    """Adds n_bytes, n_tokens (long) and over_limit (boolean) to df; they replace columns of these names.
+
+    Null and empty texts count 0. Rows are neither joined nor shuffled, so repeated rows and ties don't matter. An empty table stays empty.
+    """
     content = shipped(df.sparkSession, path or default_path())
     kept = df.drop("n_bytes", "n_tokens", "over_limit")
     keys = [c for c in kept.columns if c != text]
@@ -192,7 +202,6 @@ def count_tokens(df: DataFrame, text: str = "text", path: str | None = None, lim
                 n_tokens.append(counter.count(said))
             rest = [c for i, c in enumerate(batch.columns) if i != at]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], names=[f.name for f in schema])
-        counter.clear()  # a worker that is used again holds no memory of this task
 
     return text_batches(kept).select(*keys, text).mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
 
