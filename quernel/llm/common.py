@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,14 +20,21 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. It is set here only where the session has none, as in tests."""
+    """The folder that the driver and all executors share. Only a local session, as in tests, may go without: it gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quernel-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Hadoop's settings for writing tables where the shared folder is a local one: without them the executor's JVM forks a process for the rights of each file,
+#: of its checksum file and of both again, beside which it counts twice while it forks. Other file systems have no such rights and take no notice.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 #: Rows of an Arrow batch of texts: what a Python worker and its executor hold at once.
 TEXT_ROWS = 1000
 
@@ -46,7 +54,7 @@ def table(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**PLAIN_FILES).parquet(path)
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)

@@ -28,7 +28,7 @@ def lines_of(text: Column) -> Column:
 
 def line_key(line: Column) -> Column:
     """Null for a blank line."""
-    bare = F.regexp_replace(line, r"^[ \t-\r]+|[ \t-\r]+$", "")
+    bare = F.btrim(line, F.lit(" \t\n\v\f\r"))
     return F.when(bare != "", F.xxhash64(bare))
 
 

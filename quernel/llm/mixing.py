@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernel.llm.common import size_of, table
+from quernel.llm.common import WORD, size_of, table
 
 #: Bits of the hash, and how many each histogram resolves.
 HASH_BITS, STEP_BITS, STEPS = 60, 8, 3
@@ -85,25 +85,32 @@ def decide(docs: DataFrame, found: DataFrame, source: str = "source") -> DataFra
 def mix(docs: DataFrame, seed: int = 17, max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """Documents (doc_id, text, source, n_chars, any other columns) as the mix has them: a row for each repetition, the fractional one cut to its words.
 
-    Null texts have no words and are taken only with their source's whole repetitions. An empty table gives an empty one.
+    Null texts and texts without words are taken only with their source's whole repetitions. Repeated rows are rows of their own; of equal ids, whose hashes tie,
+    each gets its share by size of what their cut leaves. Long texts are split into words only where a source's cut falls into them. An empty table gives an empty one.
     """
-    narrow = lambda df: df.withColumns({"size": size_of("text"), "h": seeded(seed, "doc_id")})
     columns = docs.columns
-    renamed = docs.toDF(*columns)
-    sized = table(narrow(renamed.select("doc_id", "text", "source")).drop("text"), "sizes")
-    plans = plan(sized, seed=seed, max_epochs=max_epochs, weights=weights)
-    other = {c: f"__{c}" for c in columns if c not in ("doc_id", "text", "source", "n_chars")}
-    chosen = decide(narrow(renamed.withColumnsRenamed(other)), plans)
-    copies = F.sequence(F.lit(1), (F.col("whole") + F.when(F.col("extra") > 0, 1).otherwise(0)).cast("int"))
-    taken = chosen.where((F.col("whole") > 0) | (F.col("extra") > 0)).withColumn("copy", F.explode(copies))
-    partial = (F.col("copy") > F.col("whole")) & (F.col("extra") < F.col("size"))
-    starts = F.split("text", r"(?<=[ \t-\r])(?=[^ \t-\r])")
-    lead = F.when(F.col("text").rlike(r"^[ \t-\r]"), 1).otherwise(0)
-    cut = F.array_join(F.slice(starts, F.lit(1), (F.col("extra") + lead).cast("int")), "")
-    taken = taken.withColumn("text", F.when(partial, cut).otherwise(F.col("text")))
+    renamed = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    at = {name: f"c{i}" for i, name in enumerate(columns)}
+    text, h = F.col(at["text"]), seeded(seed, at["doc_id"])
+    sized = table(renamed.select(F.col(at["source"]).alias("source"), size_of(text).alias("size"), h.alias("h")), "sizes")
+    plans = plan(sized, seed=seed, max_epochs=max_epochs, weights=weights).select(F.col("source").alias("mix_source"), "whole", "cut", "part", "part_size")
+    found = renamed.withColumn("h", h).join(plans, F.col(at["source"]).eqNullSafe(F.col("mix_source")))
+    # words of the fractional repetition: -1 for all of them; they are counted only of the texts at a cut
+    edge = F.col("h") == F.col("cut")
+    found = found.withColumn("own", F.when(edge, size_of(text)))
+    words = F.expr("(part * own) div part_size")
+    words = F.when(F.col("h") < F.col("cut"), F.when(text.rlike(WORD), -1)).when(edge & (F.col("own") > 0), F.when(words == F.col("own"), -1).otherwise(words))
+    found = found.withColumn("words", F.coalesce(words, F.lit(0)).cast("int"))
+    copies = F.sequence(F.lit(1), (F.col("whole") + F.when(F.col("words") != 0, 1).otherwise(0)).cast("int"))
+    taken = found.where((F.col("whole") > 0) | (F.col("words") != 0)).withColumn("copy", F.explode(copies))
+    partial = (F.col("copy") > F.col("whole")) & (F.col("words") > 0)
+    starts = F.split(text, r"(?<=[ \t-\r])(?=[^ \t-\r])")
+    lead = F.when(text.rlike(r"^[ \t-\r]"), 1).otherwise(0)
+    cut = F.array_join(F.slice(starts, F.lit(1), F.col("words") + lead), "")
+    out = {"text": F.when(partial, cut).otherwise(text)}
     if "n_chars" in columns:
-        taken = taken.withColumn("n_chars", F.when(partial, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return taken.select(*[F.col(other.get(c, c)).alias(c) for c in columns])
+        out["n_chars"] = F.when(partial, F.length(cut).cast("long")).otherwise(F.col(at["n_chars"]))
+    return taken.select(*[out.get(c, F.col(at[c])).alias(c) for c in columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
