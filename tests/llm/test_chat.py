@@ -1,5 +1,8 @@
+import hashlib
 import random
 
+import duckdb
+
 from quernel.llm import chat
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -9,7 +12,8 @@ def brute(rows):
     convs = {}
     for c, t, r, x in rows:
         if c is not None:
-            convs.setdefault(c, []).append((t is not None, t or 0, r or "", x or ""))
+            digest = hashlib.md5(f"<|{r or ''}|>\n{x or ''}<|end|>\n".encode()).digest()
+            convs.setdefault(c, []).append((t is not None, t or 0, digest, r or "", x or ""))
     said = {c: tuple((r, x) for *_, r, x in sorted(v)) for c, v in convs.items()}
     out = {}
     for c, v in said.items():
@@ -35,3 +39,17 @@ def test_empty_and_long(spark):
     long = [(1, t, "user", "y" * 1000) for t in range(300)] + [(2, t, "user", "y" * 1000) for t in range(299)]
     out = chat.render(spark.createDataFrame(long, SCHEMA)).collect()
     assert [(r.conv_id, r.n_turns) for r in out] == [(1, 300)]
+
+
+def test_tied_turns_as_in_sql(spark, tmp_path):
+    """Turns that tie, have no number or repeat: the order is the brute force's and the SQL's."""
+    rng = random.Random(9)
+    rows = []
+    for c in range(200):
+        rows += [(c, rng.choice([None, 0, 1, 1, 2]), rng.choice(["user", "assistant", None]), rng.choice(["a", "b", "é", "\U0001f600", "", None])) for _ in range(rng.randint(1, 5))]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")
+    out = {r.conv_id: (r.n_turns, r.n_chars, r.rendered) for r in chat.op4_chat(spark, str(tmp_path)).collect()}
+    assert {c: x[2] for c, x in out.items()} == brute(rows)
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+        assert out == {c: tuple(x) for c, *x in db.execute(chat.SQL).fetchall()}
