@@ -25,8 +25,10 @@ from quernel.llm.common import text_batches
 
 NONE = 1 << 80
 FAN = 16
-#: Entries of a worker's memo; it is emptied when full.
-MEMO = 250_000
+#: Bytes of a worker's memo, roughly; it is emptied when full.
+MEMO = 32 << 20
+#: Bytes of ids of an output batch; decoded texts are about six times as long in memory.
+OUT_BYTES = 2 << 20
 #: Below this code point, and for ASCII, Python's tables agree with those of the tokenizers library; other texts take its normalizer and splitter.
 PLAIN = re.compile("[\x00-\x1b\x20-\x84\x86-\u052f\u2010-\u2027]*")
 
@@ -46,7 +48,9 @@ class WordBpe:
         model = data["model"]
         if model["type"] != "BPE" or not model.get("end_of_word_suffix"):
             raise ValueError("a BPE file with an end-of-word suffix is needed")
-        self.content, self.end = content, model["end_of_word_suffix"]
+        self.end = model["end_of_word_suffix"]
+        #: the file without its vocabulary, for the library's normalizer and splitter
+        self.rules = json.dumps({**data, "added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}})
         self.vocab: dict[str, int] = model["vocab"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         #: left id << 20 | right id -> rank << 52 | id of the merged token; bits 20 to 51 are for the place
@@ -62,6 +66,7 @@ class WordBpe:
         self.last = [self.vocab[c + self.end] for c in letters]
         self.library = None
         self.memo: dict[str, bytes] = {}
+        self.memo_bytes = 0
 
     def merge(self, ids: list[int]) -> list[int]:
         """Applies merges until no pair has a rank: always the leftmost of the lowest rank."""
@@ -126,7 +131,7 @@ class WordBpe:
         if self.library is None:
             from tokenizers import Tokenizer
 
-            self.library = Tokenizer.from_str(self.content.decode())
+            self.library = Tokenizer.from_str(self.rules)
         clean = self.library.normalizer.normalize_str(text)
         return [clean[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(clean)]
 
@@ -147,11 +152,13 @@ class WordBpe:
         """A run's ids as little-endian bytes."""
         words = self.words(run)
         ids = self.word(run) if len(words) == 1 else [x for w in words for x in self.word(w)]
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
         out = struct.pack(f"<{len(ids)}I", *ids)
         if len(run) <= 64:
+            if self.memo_bytes > MEMO:
+                self.memo.clear()
+                self.memo_bytes = 0
             self.memo[run] = out
+            self.memo_bytes += 190 + len(run) + len(out)
         return out
 
     def encode(self, text: str) -> bytes:
@@ -215,7 +222,7 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, decoded:
                 out[1].append(raw)
                 out[2].append(bpe.decode(raw) if decoded else None)
                 size += len(raw)
-                if size > 8 << 20 or i + 1 == batch.num_rows:  # bounded output batches, however long the texts
+                if size > OUT_BYTES or i + 1 == batch.num_rows:  # bounded output batches, however long the texts
                     cut = batch.slice(start, i + 1 - start)
                     yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.string())], names=[f.name for f in schema])
                     start, size, out = i + 1, 0, ([], [], [])

@@ -56,6 +56,7 @@ class Transducer:
         # a token that its own letters don't merge to never appears
         self.prefixes = {t[:k] for t in bpe.vocab for k in range(1, len(t.removesuffix(bpe.end)) + 1)}
         self.memo: dict[str, int] = {}
+        self.memo_bytes = 0
         self.clear()
 
     def clear(self) -> None:
@@ -125,9 +126,11 @@ class Transducer:
             self.clear()
         total = sum([self.word(w) for w in self.bpe.words(run)])
         if len(run) <= 64:
-            if len(self.memo) >= MEMO:
+            if self.memo_bytes > MEMO:
                 self.memo.clear()
+                self.memo_bytes = 0
             self.memo[run] = total
+            self.memo_bytes += 150 + len(run)
         return total
 
     def run(self, text: str) -> int:
