@@ -37,15 +37,18 @@ def filtered(probabilities: DataFrame, key: str, top_k: int = 0, top_p: float =
 
 
 def draw(kept: DataFrame, key: str, u: DataFrame) -> DataFrame:
-    """kept (key, token, rank, p), u (key, u) -> (key, token): the first, in the order of rank, whose running sum reaches u; the last if rounding leaves none."""
-    run = F.sum("p").over(Window.partitionBy(key).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    reached = kept.withColumn("cdf", run).join(u, key)
-    first = F.min(F.when(F.col("cdf") >= F.col("u"), F.struct("rank", "token")))
-    return reached.groupBy(key).agg(F.coalesce(first, F.max(F.struct("rank", "token"))).alias("t")).select(key, F.col("t.token").alias("token"))
+    """kept (key, token, rank, p), u (key, u, last) -> (key, token): the first, in the order of token, whose running sum reaches u; last, the vocabulary's last
+    token, if rounding leaves none. A token that isn't kept has p = 0, so a u of 0 takes token 0."""
+    run = F.sum("p").over(Window.partitionBy(key).orderBy("token").rowsBetween(Window.unboundedPreceding, 0))
+    reached = kept.withColumn("cdf", run).join(u.select(key, "u", "last"), key)
+    first = F.coalesce(F.min(F.when(F.col("cdf") >= F.col("u"), F.col("token"))), F.max("last"))
+    return reached.groupBy(key).agg(F.when(F.max("u") <= 0, 0).otherwise(first).alias("token"))
 
 
 def sample(df: DataFrame, logits: str, key: str, config: SampleConfig, u: DataFrame) -> DataFrame:
-    return draw(filtered(token_probabilities(df, logits, key, config.temperature), key, config.top_k, config.top_p), key, u)
+    """u (key, u) -> (key, token)"""
+    last = u.join(df.select(key, (F.size(logits) - 1).alias("last")), key)
+    return draw(filtered(token_probabilities(df, logits, key, config.temperature), key, config.top_k, config.top_p), key, last)
 
 
 def sample_one(logits: np.ndarray, config: SampleConfig, rng: Rng) -> int:
@@ -61,7 +64,6 @@ def sample_one(logits: np.ndarray, config: SampleConfig, rng: Rng) -> int:
     if config.top_p < 1:
         keep &= before < config.top_p
     keep[0] = True
-    chosen = order[keep]
-    cdf = np.cumsum(p[chosen] / p[chosen].sum())
-    at = int(np.searchsorted(cdf, rng.uniform()))
-    return int(chosen[min(at, len(chosen) - 1)])
+    p[order[~keep]] = 0.0
+    # running sums by token, as they are drawn
+    return min(int(np.searchsorted(np.cumsum(p / p.sum()), rng.uniform())), len(p) - 1)

@@ -467,9 +467,9 @@ def topk_topp(spark, sf_dir):
     return kept_tokens(spark, sf_dir).select("vec_id", "token", "rank", F.round("p", 6).alias("p"))
 
 
-@query(f"WITH {KEPT}, c AS (SELECT *, sum(p) OVER (PARTITION BY vec_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS cdf FROM kept) SELECT vec_id, arg_min(token, rank)::INTEGER AS token FROM c WHERE cdf >= (vec_id * 7919 % 1000) / 1000.5 GROUP BY vec_id")
+@query(f"WITH {KEPT}, c AS (SELECT *, (vec_id * 7919 % 1000) / 1000.5 AS u, sum(p) OVER (PARTITION BY vec_id ORDER BY token ROWS UNBOUNDED PRECEDING) AS cdf FROM kept), n AS (SELECT vec_id, len(v) AS n FROM v) SELECT vec_id, (CASE WHEN max(u) <= 0 THEN 0 ELSE coalesce(min(token) FILTER (WHERE cdf >= u), max(n) - 1) END)::INTEGER AS token FROM c JOIN n USING (vec_id) GROUP BY vec_id")
 def inverse_cdf(spark, sf_dir):
-    u = read(spark, sf_dir, "embeddings").select("vec_id", ((F.col("vec_id") * 7919 % 1000) / 1000.5).alias("u"))
+    u = vectors(spark, sf_dir).select("vec_id", ((F.col("vec_id") * 7919 % 1000) / 1000.5).alias("u"), (F.size("v") - 1).alias("last"))
     return decoding.draw(kept_tokens(spark, sf_dir), "vec_id", u)
 
 

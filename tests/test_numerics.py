@@ -242,9 +242,29 @@ def test_filter_and_draw(spark, k, top_p):
         got.setdefault(r.id, {})[r.token] = r.p
     for i, z in enumerate(rows):
         assert got[i] == pytest.approx(brute_filter(z, k, top_p))
-    u = spark.createDataFrame([(0, 0.0), (1, 0.999999999), (2, 1.0)], "id long, u double")
+    u = spark.createDataFrame([(0, 0.0, 3), (1, 0.5, 3), (2, 1.5, 3)], "id long, u double, last int")
     drawn = {r.id: r.token for r in decoding.draw(kept, "id", u).collect()}
-    assert drawn[0] == 1 and drawn[1] in got[1] and drawn[2] in got[2]
+    sums = np.cumsum([got[1].get(t, 0.0) for t in range(4)])
+    assert drawn == {0: 0, 1: int(np.searchsorted(sums, 0.5)), 2: 3}
+
+
+def test_draw_by_token(spark):
+    """By hand: 0.2, 0.5, 0.3 in the order of tokens reach 0.2, 0.7, 1; without the first, renormalised, 0, 0.625, 1."""
+    u = {0: 0.1, 1: 0.6, 2: 0.75, 3: 0.2}
+    df = spark.createDataFrame([(i, [math.log(p) for p in (0.2, 0.5, 0.3)]) for i in u], "id long, z array<double>")
+    us = spark.createDataFrame(list(u.items()), "id long, u double")
+
+    class At:
+        def __init__(self, x):
+            self.x = x
+
+        def uniform(self):
+            return self.x
+
+    for config, want in ((decoding.SampleConfig(), {0: 0, 1: 1, 2: 2, 3: 0}), (decoding.SampleConfig(top_k=2), {0: 1, 1: 1, 2: 2, 3: 1})):
+        us_near = us.withColumn("u", F.col("u") - 1e-9)
+        assert {r.id: r.token for r in decoding.sample(df, "z", "id", config, us_near).collect()} == want
+        assert {i: decoding.sample_one([math.log(p) for p in (0.2, 0.5, 0.3)], config, At(x - 1e-9)) for i, x in u.items()} == want
 
 
 def test_sample_one():
