@@ -38,7 +38,7 @@ class Tensor:
                 seen.add(id(node))
                 todo.append((node, True))
                 todo += [(x, False) for x in node.inputs]
-        self.grad[0, 0] += 1
+        self.grad[0, 0] = 1
         for node in reversed(order):
             if node.back is not None:
                 for x, g in zip(node.inputs, node.back(node.grad)):
