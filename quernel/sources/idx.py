@@ -40,8 +40,16 @@ def labels(content: bytes) -> np.ndarray:
 
 
 def read(spark: SparkSession, image_path: str, label_path: str, max_items: int = 0) -> DataFrame:
-    """(id long, image array<double>, label int); max_items 0: all. Spark reads the files, so any store will do; a file is one row, as the format has no splits."""
-    one = lambda path, name: spark.read.format("binaryFile").load(path).selectExpr(f"content AS {name}")
+    """(id long, image array<double>, label int); max_items 0: all. Spark reads the files, so any store will do; a file is one row, as the format has no splits.
+    Each path names one file: which labels belong to which images isn't in the files.
+    """
+
+    def one(path: str, name: str) -> DataFrame:
+        found = spark.read.format("binaryFile").load(path)
+        if len(found.inputFiles()) != 1:
+            raise ValueError(f"{path} isn't one file")
+        return found.selectExpr(f"content AS {name}")
+
     both = one(image_path, "x").crossJoin(one(label_path, "y"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
