@@ -28,8 +28,10 @@ class CharTokenizer:
     @staticmethod
     def fit(df: DataFrame, text: str, order: str) -> CharTokenizer:
         """Each character's first place by (order, position), found by a min per character before the one small sort."""
-        # a document's first place of a character is all that matters of it
-        seen = df.select(F.col(order).alias("o"), F.posexplode(split_chars(text)).alias("p", "token"))
+        # a document's first place of a character is all that matters of it: a row per character and document
+        chars = df.select(F.col(order).alias("o"), split_chars(text).alias("c"))
+        placed = F.transform(F.array_distinct("c"), lambda x: F.struct(F.array_position("c", x).alias("p"), x.alias("token")))
+        seen = chars.select("o", F.inline(placed))
         first = seen.groupBy("token").agg(F.min(F.struct("o", "p")).alias("at"))
         return CharTokenizer(first.select("token", (F.row_number().over(Window.orderBy("at", "token")) - 1).alias("token_id")))
 
