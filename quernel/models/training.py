@@ -8,6 +8,7 @@ fit_groups() trains one model per group in one task each, for many small models.
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -24,8 +25,10 @@ from quernel.models.nn import Adam, clip_grad_norm, cosine_lr
 from quernel.models.tape import Tensor
 from quernel.operators.decoding import SampleConfig, sample_one
 
-#: Arrays of one partial result: the loss's sum, the rows, then the gradient of each parameter, flat.
-PARTIAL = "loss double, n long, grad array<double>"
+#: One partial result: the partition, the loss's sum, the rows, then the gradient of each parameter, flat.
+PARTIAL = "part int, loss double, n long, grad array<double>"
+#: Tasks that add up partial results.
+FAN = 8
 
 
 def flat(params: list[Tensor]) -> np.ndarray:
@@ -40,22 +43,36 @@ def unflat(params: list[Tensor], grad: np.ndarray) -> None:
 
 
 def gradient(df: DataFrame, model, loss_sum: Callable[[object, pd.DataFrame], tuple[Tensor, int]]) -> tuple[float, int]:
-    """Sets the gradients of model's parameters to those of the mean loss over df; returns that mean and the number of rows. One vector a partition reaches the driver."""
+    """Sets the gradients of model's parameters to those of the mean loss over df; returns that mean and the number of rows.
+
+    Partitions' sums are added up in FAN tasks, in the order of partitions, so that reruns agree; FAN vectors at most reach the driver, however many partitions df has.
+    """
     shipped = df.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, total, rows = shipped.value, 0.0, 0
+        own, total, rows, part = shipped.value, 0.0, 0, 0
         for p in own.params():
             p.zero_grad()
         for f in frames:
             if len(f):
                 loss, n = loss_sum(own, f)
                 loss.backward()
-                total, rows = total + float(loss.value[0, 0]), rows + n
+                total, rows, part = total + float(loss.value[0, 0]), rows + n, int(f["__part"].iloc[0])
         if rows:
-            yield pd.DataFrame({"loss": [total], "n": [rows], "grad": [flat(own.params())]})
+            yield pd.DataFrame({"part": [part], "loss": [total], "n": [rows], "grad": [flat(own.params())]})
 
-    parts = df.mapInPandas(run, PARTIAL).collect()
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, rows, grad, part = 0.0, 0, None, 0
+        for f in frames:
+            for p, loss, n, g in zip(f.part, f.loss, f.n, f.grad):
+                total, rows, part = total + loss, rows + n, int(p)
+                grad = np.array(g) if grad is None else grad + g
+        if grad is not None:
+            yield pd.DataFrame({"part": [part], "loss": [total], "n": [rows], "grad": [grad]})
+
+    sums = df.withColumn("__part", F.spark_partition_id()).mapInPandas(run, PARTIAL)
+    added = sums.repartition(FAN, F.pmod("part", F.lit(FAN))).sortWithinPartitions("part").mapInPandas(add, PARTIAL)
+    parts = sorted(added.collect(), key=lambda r: r["part"])
     shipped.unpersist()
     n = sum(r["n"] for r in parts)
     if not n:
@@ -83,19 +100,43 @@ def fit_mlp(df: DataFrame, model: MLP, epochs: int, lr: float = 0.01) -> list[fl
 
 
 def fit_mlp_batches(df: DataFrame, model: MLP, epochs: int, batch: int, lr: float = 1e-3) -> list[float]:
-    """df (id long from 0, x, label): mini-batches in the order of id, the last dropped if it isn't full; a job a batch. Returns each epoch's mean loss."""
-    base = df.select("id", "x", "label").persist(StorageLevel.MEMORY_AND_DISK)
-    optimizer, out = Adam(model.params(), lr), []
-    try:
-        whole = base.count() // batch
-        for _ in range(epochs):
-            losses = []
-            for b in range(whole):
-                losses.append(gradient(base.where((F.col("id") >= b * batch) & (F.col("id") < (b + 1) * batch)), model, mlp_loss)[0])
-                optimizer.step()
-            out.append(float(np.mean(losses)))
-    finally:
-        base.unpersist()
+    """df (id, x, label): mini-batches in the order of id, the last dropped if it isn't full. Returns each epoch's mean loss, nan without a full batch.
+
+    Each batch starts from the weights that the one before has left, so an epoch is a chain: one task takes the rows in order, sorted on disk where they don't fit
+    memory, and holds a batch and a model; only model and optimizer come back. An epoch is a job. For steps that many tasks share: fit_mlp.
+    """
+    state: tuple[MLP, Adam] = (model, Adam(model.params(), lr))
+    context, out = df.sparkSession.sparkContext, []
+    for _ in range(epochs):
+        shipped = context.broadcast(pickle.dumps(state))
+
+        def run(frames: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
+            own, optimizer = pickle.loads(shipped.value)
+            x, y, losses = np.zeros((0, 0)), np.zeros(0, np.int64), []
+            for f in frames:
+                if not len(f):
+                    continue
+                more, labels = np.stack(f.x.to_numpy()), f.label.to_numpy()
+                x, y = (np.concatenate((x, more)), np.concatenate((y, labels))) if len(x) else (more, labels)
+                whole = len(x) // batch * batch
+                for k in range(0, whole, batch):
+                    optimizer.zero_grad()
+                    loss = tape.cross_entropy(own.forward(Tensor(x[k : k + batch])), y[k : k + batch])
+                    loss.backward()
+                    optimizer.step()
+                    losses.append(float(loss.value[0, 0]))
+                x, y = x[whole:], y[whole:]
+            yield pd.DataFrame({"state": [pickle.dumps((own, optimizer))], "loss": [float(np.mean(losses)) if losses else math.nan]})
+
+        ordered = df.select("id", "x", "label").repartition(1).sortWithinPartitions("id")
+        row = ordered.mapInPandas(run, "state binary, loss double").first()
+        shipped.unpersist()
+        # an empty table may have no task at all
+        if row is not None:
+            state = pickle.loads(row["state"])
+        out.append(row["loss"] if row is not None else math.nan)
+    for p, q in zip(model.params(), state[0].params()):
+        p.value[...] = q.value
     return out
 
 
@@ -162,7 +203,7 @@ def fit_gpt(chunks: DataFrame, model: GPT, steps: int, batch: int = 16, lr: floa
     optimizer, rng, losses = Adam(model.params(), lr, weight_decay=weight_decay), Rng(seed), []
     try:
         n = base.count()
-        for step in range(steps):
+        for step in range(1, steps + 1):
             optimizer.set_lr(cosine_lr(step, steps, lr, warmup))
             picked = Counter(int(rng.uniform() * n) for _ in range(batch))
             times = F.create_map(*[F.lit(x) for pair in sorted(picked.items()) for x in pair])

@@ -555,32 +555,41 @@ def windowed_moments(spark, sf_dir):
 
 
 def points(spark, sf_dir) -> DataFrame:
-    return vectors(spark, sf_dir).where("label is not null").select("vec_id", F.slice("v", 1, 8).alias("x"), (F.col("label") % 2).alias("label"))
+    return vectors(spark, sf_dir).where("label is not null").select("vec_id", F.col("v").alias("x"), (F.col("label") % 2).alias("label"))
 
 
 @query(None)
 def mlp_train(spark, sf_dir):
-    """Data-parallel training on the vectors' first components: each epoch's loss."""
+    """Data-parallel training on whole vectors: each epoch's loss."""
     from quernel.models.training import MLP, fit_mlp
 
-    losses = fit_mlp(points(spark, sf_dir), MLP(8, 8, 2, rng.Rng(1)), 5)
+    losses = fit_mlp(points(spark, sf_dir), MLP(64, 8, 2, rng.Rng(1)), 5)
+    return spark.createDataFrame(list(enumerate(losses)), "epoch int, loss double")
+
+
+@query(None)
+def mlp_minibatch(spark, sf_dir):
+    """Mini-batches of 100 in the order of vec_id: each epoch's mean loss."""
+    from quernel.models.training import MLP, fit_mlp_batches
+
+    losses = fit_mlp_batches(points(spark, sf_dir).withColumnRenamed("vec_id", "id"), MLP(64, 16, 2, rng.Rng(1)), 3, 100)
     return spark.createDataFrame(list(enumerate(losses)), "epoch int, loss double")
 
 
 @query(None)
 def mlp_train_groups(spark, sf_dir):
-    """A model for each label's parity."""
+    """A model for each label modulo 4."""
     from quernel.models.training import fit_groups
 
-    rows = vectors(spark, sf_dir).where("label is not null").select((F.col("label") % 4).alias("part"), F.slice("v", 1, 8).alias("x"), (F.col("v")[8] > 0).cast("int").alias("label"))
-    return fit_groups(rows, "part", 8, 8, 2, 20)
+    rows = vectors(spark, sf_dir).where("label is not null").select((F.col("label") % 4).alias("part"), F.col("v").alias("x"), F.shiftright("label", 2).bitwiseAND(1).alias("label"))
+    return fit_groups(rows, "part", 64, 8, 2, 20)
 
 
 @query(None)
 def mlp_predict(spark, sf_dir):
     from quernel.models.training import MLP, predict_mlp
 
-    return predict_mlp(points(spark, sf_dir), MLP(8, 8, 2, rng.Rng(1))).select("vec_id", "prediction")
+    return predict_mlp(points(spark, sf_dir), MLP(64, 8, 2, rng.Rng(1))).select("vec_id", "prediction")
 
 
 def chunked(spark, sf_dir, width: int = 16) -> DataFrame:

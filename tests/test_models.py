@@ -154,6 +154,31 @@ def test_training(spark):
     df.unpersist()
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_mini_batches_equal_a_loop(spark, parts):
+    """Over any number of partitions as over one array, whatever the order of rows; the last, short batch is dropped."""
+    draws = np.random.default_rng(3)
+    x, y = draws.normal(size=(57, 3)), draws.integers(0, 2, 57)
+    rows = [(int(i), x[i].tolist(), int(y[i])) for i in draws.permutation(57)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, label int").repartition(parts)
+    got, want = MLP(3, 4, 2, Rng(2)), MLP(3, 4, 2, Rng(2))
+    losses = fit_mlp_batches(df, got, 2, 10, lr=0.05)
+    optimizer, means = nn.Adam(want.params(), 0.05), []
+    for _ in range(2):
+        each = []
+        for k in range(0, 50, 10):
+            optimizer.zero_grad()
+            loss = tape.cross_entropy(want.forward(Tensor(x[k : k + 10])), y[k : k + 10])
+            loss.backward()
+            optimizer.step()
+            each.append(float(loss.value[0, 0]))
+        means.append(np.mean(each))
+    assert losses == pytest.approx(means)
+    for p, q in zip(got.params(), want.params()):
+        assert np.allclose(p.value, q.value)
+    assert math.isnan(fit_mlp_batches(df.limit(0), got, 1, 10)[0])
+
+
 def test_gpt_over_frames(spark):
     chunks = spark.createDataFrame([(i, [1, 2, 3, 4, 0, 1], [2, 3, 4, 0, 1, 2]) for i in range(4)], "id long, x array<int>, y array<int>").coalesce(2)
     model = GPT(TINY, Rng(7))
