@@ -1,9 +1,9 @@
 """Language identification by cross-parsing: a suffix automaton of each language's text parses a document into longest matches, and the
 language that needs the fewest phrases, against what its own texts need, wins.
 
-Learned on a bounded sample: of each language up to TRAIN_DOCS different texts with the smallest hashes, DOC_CHARS code points of each, of which
-TRAIN_CHARS letters and spaces make the automaton and the rest, up to as many, measure the phrases that the language itself needs.
-All automata stand in one table of next states, with a bit for a phrase's end; workers parse many pieces of texts in lockstep, whole texts in pieces of PIECE letters.
+Learned on a bounded sample: of each language up to TRAIN_DOCS different texts with the smallest hashes, DOC_CHARS code points of each. The first half of a
+language's letters and spaces, up to TRAIN_CHARS, makes its automaton, and the rest, up to as many, measures the phrases that the language itself needs.
+All automata stand in one table of next states, with a bit for a phrase's start; workers parse many pieces of texts in lockstep. Pieces don't bound matches.
 """
 
 from __future__ import annotations
@@ -99,28 +99,23 @@ class Model:
         #: symbol of each code point
         self.symbol = np.where(low > 0, np.where(known[low] > 0, known[low], OTHER), SPACE).astype(np.uint16)
         self.symbols, self.langs, self.roots, parts, at = FIRST + len(seen), [], [], [], 0
-        held: dict[str, list[np.ndarray]] = {}
-        for lang, ts in texts.items():
-            joined, rest = [], []
-            for t in samples[lang]:
-                s = self.read(t)
-                (joined if sum(map(len, joined)) < train_chars else rest).append(s)
-            text = np.concatenate(joined)[:train_chars] if joined else np.zeros(0, np.uint16)
-            if not (text >= OTHER).any():
+        held: list[np.ndarray] = []
+        for lang in texts:
+            own = [r for r in map(self.read, samples[lang]) if (r >= OTHER).any()]
+            if not own:
                 continue
-            automaton = Automaton(text.tolist())
+            text = np.concatenate(own)
+            # half of it at most, but one letter at least
+            cut = max(min(train_chars, (len(text) + 1) // 2), int(np.argmax(text >= OTHER)) + 1)
+            automaton = Automaton(text[:cut].tolist())
             parts.append(automaton.table(self.symbols, at))
             self.langs.append(lang)
             self.roots.append(at * self.symbols)
             at += len(automaton.next)
-            held[lang] = rest[:TRAIN_DOCS]
+            held.append(text[cut : cut + train_chars])
         self.table = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        #: phrases a symbol that the language's own other texts need; 1 throughout where a language has no other text
-        self.need = np.ones(len(self.langs))
-        if self.langs and all(sum(map(len, held[x])) >= PIECE for x in self.langs):
-            for k, lang in enumerate(self.langs):
-                counts = self.phrases(held[lang])
-                self.need[k] = counts[:, k].sum() / sum(map(len, held[lang]))
+        #: phrases a symbol that each language's own other text needs, one of each added: 1 where nothing is left to measure
+        self.need = np.array([(self.phrases([rest])[0, k] + 1) / (len(rest) + 1) for k, rest in enumerate(held)])
 
     def read(self, text: str) -> np.ndarray:
         """Symbols of a text, runs of what is no letter as one space."""
@@ -130,31 +125,48 @@ class Model:
         return s
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Longest-match phrases of each text in each language."""
+        """Longest-match phrases of each whole text in each language.
+
+        Pieces of a text are parsed side by side, each from the root first; a piece that the one before leaves in another state is parsed again from that state,
+        until no state changes. So matches run on over the ends of pieces, and the counts are those of one parse from front to back, whatever the pieces.
+        """
         out = np.zeros((len(texts), len(self.langs)), np.int64)
-        pieces, owner = [], []
+        roots = np.array(self.roots, np.int32)
+        pieces, owner, goes_on = [], [], []
+        carry = roots
 
-        def parse() -> None:
-            block = np.zeros((len(pieces), PIECE), np.int32)
+        def parse() -> np.ndarray:
+            block = np.zeros((len(pieces), max(map(len, pieces))), np.int32)
             for i, p in enumerate(pieces):
                 block[i, : len(p)] = p
-            block = np.ascontiguousarray(block[:, : max(map(len, pieces))].T)
-            state = np.repeat(np.array(self.roots, np.int32)[:, None], len(pieces), 1)
-            count = np.zeros_like(state)
-            for row in block:
-                found = self.table[state + row]
-                count += found & 1
-                state = found >> 1
+            block = np.ascontiguousarray(block.T)
+            entry = np.repeat(roots[:, None], len(pieces), 1)
+            if goes_on[0]:
+                entry[:, 0] = carry
+            left, count, todo = entry.copy(), np.zeros_like(entry), np.arange(len(pieces))
+            while len(todo):
+                state = entry[:, todo]
+                tally = np.zeros_like(state)
+                for row in block[:, todo]:
+                    found = self.table[state + row]
+                    tally += found & 1
+                    state = found >> 1
+                left[:, todo], count[:, todo] = state, tally
+                after = np.where(goes_on[1:], left[:, :-1], entry[:, 1:])
+                todo = 1 + np.flatnonzero((after != entry[:, 1:]).any(0))
+                entry[:, 1:] = after
             np.add.at(out, np.array(owner), count.T)
-            pieces.clear()
-            owner.clear()
+            for x in (pieces, owner, goes_on):
+                x.clear()
+            return left[:, -1]
 
         for i, s in enumerate(texts):
             for k in range(0, len(s), PIECE):
                 pieces.append(s[k : k + PIECE])
                 owner.append(i)
+                goes_on.append(k > 0)
                 if len(pieces) == BATCH_PIECES:
-                    parse()
+                    carry = parse()
         if pieces:
             parse()
         return out
@@ -197,7 +209,10 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", train_docs: int
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds lang_pred string and score double to df; they replace columns of these names. Null texts and texts without a letter: und, 0."""
+    """Adds lang_pred string and score double to df; they replace columns of these names. Null and empty texts and texts without a letter: und, 0.
+
+    Texts are parsed whole, however long. Languages that tie: the first by name. Repeated rows get equal predictions; an empty table stays empty.
+    """
     shipped = df.sparkSession.sparkContext.broadcast(pickle.dumps(model, protocol=5))  # its size is bound by the sample
     kept = df.drop("lang_pred", "score")
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

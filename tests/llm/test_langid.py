@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from quernel.llm import langid
 
@@ -23,21 +24,40 @@ def slow_phrases(train, text):
     return n
 
 
-def test_automaton_parses_as_search_does():
+def slow_model(model, samples, most):
+    """Training strings and needs, by plain search."""
+    trains, needs = [], []
+    for lang in model.langs:
+        text = "".join(map(chr, np.concatenate([model.read(t) for t in samples[lang]])))
+        cut = min(most, (len(text) + 1) // 2)
+        trains.append(text[:cut])
+        rest = text[cut : cut + most]
+        needs.append((slow_phrases(trains[-1], rest) + 1) / (len(rest) + 1))
+    return trains, needs
+
+
+@pytest.mark.parametrize(("piece", "batch"), [(512, 4096), (7, 4096), (7, 5), (1, 3)])
+def test_predictions_as_by_search(monkeypatch, piece, batch):
+    """Phrases, languages and scores equal those of a plain parse of whole texts, wherever pieces and batches of them end; a language with little text too."""
+    monkeypatch.setattr(langid, "PIECE", piece)
+    monkeypatch.setattr(langid, "BATCH_PIECES", batch)
     rng = random.Random(3)
-    samples = {lang: [make(rng, lang, 60) for _ in range(4)] for lang in WORDS}
+    samples = {lang: [make(rng, lang, 60) for _ in range(4)] for lang in ("en", "de")} | {"fr": [make(rng, "fr", 3)]}
     model = langid.Model(samples, train_chars=700)
-    trains = []
-    for lang in model.langs:
-        joined = np.concatenate([model.read(t) for t in samples[lang]])[:700]
-        trains.append("".join(map(chr, joined)))
-    for lang in WORDS:
-        text = model.read(make(rng, lang, 40) + " Ж 12 x")
-        text = text[: langid.PIECE]
-        want = [slow_phrases(t, "".join(map(chr, text))) for t in trains]
-        got = model.phrases([text])[0].tolist()
-        # a phrase is counted when it ends; the first begins with the root and the last may be open
-        assert [abs(a - b) <= 1 for a, b in zip(got, want)] == [True] * 3
+    trains, needs = slow_model(model, samples, 700)
+    assert model.need.tolist() == pytest.approx(needs)
+    texts = [make(rng, lang, n) + " Ж 12 x" for lang in WORDS for n in (1, 40, 200)] + ["a", samples["en"][0] * 3]
+    want = [[slow_phrases(t, "".join(map(chr, model.read(x)))) for t in trains] for x in texts]
+    assert model.phrases([model.read(x) for x in texts]).tolist() == want
+    langs, scores = model.predict(texts)
+    for x, lang, score in zip(want, langs, scores):
+        rates = sorted((a / b, k) for k, (a, b) in enumerate(zip(x, needs)))
+        assert lang == model.langs[rates[0][1]] and score == pytest.approx(rates[1][0] / (rates[0][0] + rates[1][0]))
+
+
+def test_ties_go_to_the_first_name():
+    model = langid.Model({"b": ["same words here"], "a": ["same words here"]})
+    assert model.predict(["same words", None, "", "7"]) == (["a", "und", "und", "und"], [0.5, 0.0, 0.0, 0.0])
 
 
 def docs(spark, n=240):
