@@ -136,7 +136,7 @@ class Model:
         carry = roots
 
         def parse() -> np.ndarray:
-            block = np.zeros((len(pieces), max(map(len, pieces))), np.int32)
+            block = np.zeros((len(pieces), max(map(len, pieces))), np.uint16)
             for i, p in enumerate(pieces):
                 block[i, : len(p)] = p
             block = np.ascontiguousarray(block.T)
@@ -147,7 +147,7 @@ class Model:
             while len(todo):
                 state = entry[:, todo]
                 tally = np.zeros_like(state)
-                for row in block[:, todo]:
+                for row in block if len(todo) == len(pieces) else block[:, todo]:
                     found = self.table[state + row]
                     tally += found & 1
                     state = found >> 1
