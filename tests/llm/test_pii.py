@@ -55,6 +55,10 @@ TEXTS = [
     "1." * 6_000,
     "+1" + "-" * 5_000,
     "x@y.zz " * 2_000,
+    "the key 24be64439e3e49cf46b2d7c90f3602a3d0b907ff is my token; " + "-" * 60 + " api_key: aaaaaaaaaaaaaaaaaaaaaaaaaaaa1",
+    "no word beside 24be64439e3e49cf46b2d7c90f3602a3d0b907ff",
+    "token of commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff",
+    "my bank: DE89370400440532013000" + "." * 50 + "tracking DE89370400440532013000",
 ]
 
 
@@ -95,6 +99,17 @@ def test_checks_and_context(spark):
     assert all(s.score == pytest.approx(1.0) for s in found[4] if s.kind == "card" and s.start < 40)
 
 
+def test_context_on_both_sides_raises_and_lowers(spark):
+    found = rows(spark, TEXTS[-4:])
+    extra = [[(s.kind, s.start, s.end) for s in found[i] if s.kind not in pii.BASE] for i in range(4)]
+    assert extra == [[("secret", 8, 48)], [], [], [("iban", 9, 31)]]
+
+
+def test_a_column_like_the_operators_own_stays(spark):
+    frame = spark.createDataFrame([("a@b.c", "x", "y")], "text string, __email string, ___ip string")
+    assert [tuple(r)[:3] for r in pii.find(frame).collect()] == [("a@b.c", "x", "y")]
+
+
 def test_digest(spark, tmp_path):
     text = "write to me@host.org or +49 30 1234567"
     spark.createDataFrame([(1, text), (1, text), (None, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
