@@ -360,3 +360,14 @@ def link(df: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vector:
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at a cosine of 0.93."""
     return link(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+SQL = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x,
+ coalesce(label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS fine FROM embeddings),
+l AS MATERIALIZED (SELECT a.rid AS a, b.rid AS b FROM v a JOIN v b ON a.label = b.label AND len(a.x) = len(b.x) AND a.rid <> b.rid WHERE a.fine AND b.fine AND list_cosine_similarity(a.x, b.x) >= 0.93),
+r AS (SELECT rid AS node, rid AS other FROM v UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.other),
+c AS (SELECT r.node AS rid, min(v.vec_id) AS component_id FROM r JOIN v ON v.rid = r.other GROUP BY r.node),
+n AS (SELECT a AS rid, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""

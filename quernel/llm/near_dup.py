@@ -413,3 +413,14 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = grouped.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = grouped.join(ids, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT rid, doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM d),
+e AS MATERIALIZED (SELECT rid, len(s) AS n, unnest(s) AS x FROM s),
+l AS MATERIALIZED (SELECT a.rid AS a, b.rid AS b FROM e a JOIN e b ON a.x = b.x AND a.rid < b.rid GROUP BY a.rid, b.rid, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r AS (SELECT rid AS node, rid AS other FROM s UNION SELECT r.node, m.v FROM r JOIN (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l) m ON m.u = r.other),
+c AS (SELECT r.node AS rid, min(s.doc_id) AS component_id FROM r JOIN s ON s.rid = r.other GROUP BY r.node)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM s JOIN c USING (rid)
+"""

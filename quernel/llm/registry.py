@@ -22,5 +22,7 @@ SQL: dict[str, str] = {
     "op1_topk": topk.SQL,
     "op4_chat": chat.SQL,
     "op6_mixing": mixing.SQL,
+    "op7_minhash_dedup": near_dup.SQL,
     "op8_line_dedup": line_dedup.SQL,
+    "op9_embedding_dedup": embed_dup.SQL,
 }
