@@ -535,7 +535,15 @@ def rng_bernoulli(spark, sf_dir):
     return rng.frame(spark, N_RANDOM, "bernoulli", SEED, p=0.3)
 
 
-@query(None)
+#: A draw takes as many uniforms as its product needs to fall to exp(-4); k counts the factors beyond the first.
+POISSON = f"""RECURSIVE p AS (SELECT 0 AS id, -1 AS k, 1.0::DOUBLE AS product, {SEED}::UHUGEINT AS s UNION ALL
+ SELECT CASE WHEN product > exp(-4.0) THEN id ELSE id + 1 END, CASE WHEN product > exp(-4.0) THEN k + 1 ELSE 0 END, CASE WHEN product > exp(-4.0) THEN product ELSE 1.0 END
+  * (((n * 2685821657736338717::UHUGEINT % 18446744073709551616::UHUGEINT) >> 11)::DOUBLE / 9007199254740992.0::DOUBLE), n
+ FROM (SELECT id, k, product, xor(b, b >> 27) AS n FROM (SELECT id, k, product, xor(a, (a * 33554432) % 18446744073709551616::UHUGEINT) AS b
+  FROM (SELECT id, k, product, xor(s, s >> 12) AS a FROM p WHERE id < {N_RANDOM}))))"""
+
+
+@query(f"WITH {POISSON} SELECT id::BIGINT AS id, max(k)::DOUBLE AS value FROM p WHERE id < {N_RANDOM} GROUP BY id")
 def rng_poisson(spark, sf_dir):
     return rng.frame(spark, N_RANDOM, "poisson", SEED, rate=4.0)
 
@@ -585,7 +593,22 @@ def mlp_train_groups(spark, sf_dir):
     return fit_groups(rows, "part", 64, 8, 2, 20)
 
 
-@query(None)
+def normals(seed: int, n: int, extra: str = "") -> str:
+    """SQL: z (id, z), the first n (even) standard normals of the stream of a seed; extra: further tables."""
+    return f"""RECURSIVE s0 AS (SELECT -1 AS id, {seed}::UHUGEINT AS s UNION ALL SELECT id + 1, xor(b, b >> 27) FROM
+ (SELECT id, xor(a, (a * 33554432) % 18446744073709551616::UHUGEINT) AS b FROM (SELECT id, xor(s, s >> 12) AS a FROM s0 WHERE id < {n - 1}))),
+u AS (SELECT id, ((s * 2685821657736338717::UHUGEINT % 18446744073709551616::UHUGEINT) >> 11)::DOUBLE / 9007199254740992.0::DOUBLE AS u FROM s0 WHERE id >= 0),
+z AS MATERIALIZED (SELECT a.id + k AS id, sqrt(-2 * ln(a.u)) * CASE WHEN k = 0 THEN cos(2 * pi() * b.u) ELSE sin(2 * pi() * b.u) END AS z FROM u a JOIN u b ON b.id = a.id + 1, range(2) r(k) WHERE a.id % 2 = 0){extra}"""
+
+
+#: 64 inputs, 8 hidden, 2 outputs; weights row by row, biases 0.
+PERCEPTRON = normals(1, 64 * 8 + 8 * 2, f""", {V},
+x AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS i FROM v WHERE label IS NOT NULL),
+h AS (SELECT vec_id, id % 8 AS j, greatest(sum(x * z * sqrt(2.0 / 64)), 0) AS h FROM x JOIN z ON id // 8 = i AND id < 512 GROUP BY vec_id, id % 8),
+o AS (SELECT vec_id, id % 2 AS c, sum(h * z * sqrt(2.0 / 8)) AS o FROM h JOIN z ON (id - 512) // 2 = j AND id >= 512 GROUP BY vec_id, id % 2)""")
+
+
+@query(f"WITH {PERCEPTRON} SELECT vec_id, arg_max(c, (o, -c))::INTEGER AS prediction FROM o GROUP BY vec_id")
 def mlp_predict(spark, sf_dir):
     from quernel.models.training import MLP, predict_mlp
 
