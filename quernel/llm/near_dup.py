@@ -3,8 +3,8 @@
 A document is its set of word shingles; equal sets are one vertex. Every vertex descends TREES independent trees: from the root FIRST minwise tokens
 are chosen at once, then one more at each level (a second with the probability that keeps the expected number of common paths of a pair at
 the threshold), by a hash of the path so far. Vertices that agree on the chosen tokens meet in a node. Nodes of up to LEAF vertices are compared
-exhaustively by sketches; larger ones branch again. A node still larger at the last level is compared with pivots: a vertex that is not close to
-an earlier pivot becomes one. A node gives a spanning forest of the pairs whose sketches may reach the threshold, so a group of copies, however
+exhaustively by sketches; larger ones branch again. A node still larger at the last level is compared with pivots, a share of its vertices at a time:
+a vertex that is not close to an earlier pivot becomes one, and the pivots of all shares are compared with one another. A node gives a spanning forest of the pairs whose sketches may reach the threshold, so a group of copies, however
 large, gives a few edges a document; what these connect is a cluster, and all links lie within clusters.
 
 Links are confirmed on full sets: first each vertex's best edge; then, in clusters that this leaves in several parts, all vertices of different
@@ -14,7 +14,7 @@ parts, in blocks of bounded size whose intersections are matrix products. Pairs
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,8 @@ TREES, FIRST, DEPTH, LEAF = 24, 3, 6, 48
 CLOSE = 60
 #: Vertices of a block, and columns of a matrix product.
 BLOCK, COLUMNS = 256, 8192
+#: Vertices of a share of a node that branches no more.
+SHARE = 1024
 
 _rng = np.random.default_rng(20240229)
 _odd = lambda n: _rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -188,97 +190,125 @@ def least_lanes(threshold: float) -> int:
     return max(1, int(LANES * threshold - 5 * (LANES * threshold * (1 - threshold)) ** 0.5))
 
 
-def compare(rows: DataFrame, least: int, last: bool) -> DataFrame:
-    """rows (path, fp, sketch) -> (path, a, b, lanes): a spanning forest of each node's close pairs, and with b null what belongs to nodes that must branch."""
+def nodes_of(rows: DataFrame, keys: tuple[str, ...], work: Callable[[tuple, list[bytes], np.ndarray], Iterator[tuple]]) -> DataFrame:
+    """rows (keys, fp, sketch) -> what work makes of each node: (path, a, b, lanes), or with b null (path, a, sketch) of what goes on. A task holds one node at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, bytes, bytes | None, int]] = []
-        path, ids, block, large = None, [], np.empty((LEAF, LANES), np.uint8), False
-        pivots, pivot_ids, parts = np.empty((64, LANES), np.uint8), [], []
-
-        def find(parent: list[int], x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        def ended() -> None:
-            if large or len(ids) < 2:
-                return
-            x = block[: len(ids)]
-            same = (x[:, None, :] == x[None, :, :]).sum(2)
-            i, j = np.nonzero(np.triu(same >= least, 1))
-            parent = list(range(len(ids)))
-            for lanes, i, j in sorted(zip(same[i, j].tolist(), i.tolist(), j.tolist()), reverse=True):
-                if (u := find(parent, i)) != (v := find(parent, j)):
-                    parent[u] = v
-                    out.append((path, ids[i], ids[j], lanes))
-
-        def pivot(fp: bytes, sketch: np.ndarray) -> None:
-            """Joins a vertex to its strongest pivot, and by it such pivots as nothing has joined so far."""
-            nonlocal pivots
-            n = len(pivot_ids)
-            same = (pivots[:n] == sketch).sum(1)
-            part = None
-            for j in sorted(np.flatnonzero(same >= least).tolist(), key=lambda j: -same[j]):
-                if (root := find(parts, j)) != part:
-                    out.append((path, pivot_ids[j], fp, int(same[j])))
-                    part = root if part is None else part
-                    parts[root] = part
-            if not (same >= CLOSE).any():
-                if n == len(pivots):
-                    pivots = np.concatenate((pivots, np.empty_like(pivots)))
-                pivots[n] = sketch
-                pivot_ids.append(fp)
-                parts.append(n if part is None else part)
-
-        def put(fp: bytes, sketch: np.ndarray) -> None:
-            if last:
-                pivot(fp, sketch)
-            else:
-                out.append((path, fp, None, 0))
+        out, key, ids, sketches = [], None, [], []
 
         def flushed() -> pa.RecordBatch:
-            columns = list(zip(*out)) or [(), (), (), ()]
+            columns = list(zip(*out)) or [()] * 5
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.int32()))], names=["path", "a", "b", "lanes"])
+            types = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["path", "a", "b", "lanes", "sketch"])
+
+        def ended() -> None:
+            if len(ids) > 1:
+                out.extend(work(key, ids, np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, LANES)))
+            elif ids and len(keys) > 1:  # alone in its share, not in its node
+                out.append((key[0], ids[0], None, 0, sketches[0]))
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            paths, fps, sketches = batch.column(0).to_pylist(), batch.column(1).to_pylist(), unpack(batch.column(2), np.uint8, LANES)
-            for p, fp, sketch in zip(paths, fps, sketches):
-                if p != path:
+            at = [batch.column(i).to_pylist() for i in range(len(keys))]
+            for *found, fp, sketch in zip(*at, batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist()):
+                if (found := tuple(found)) != key:
                     ended()
-                    path, ids, large, pivot_ids, parts = p, [], False, [], []
-                if large:
-                    put(fp, sketch)
-                elif len(ids) == LEAF:  # what has been held so far goes first
-                    large = True
-                    for i, x in enumerate(ids):
-                        put(x, block[i].copy())
-                    put(fp, sketch)
-                else:
-                    block[len(ids)] = sketch
-                    ids.append(fp)
-                if len(out) >= 20_000:
-                    yield flushed()
+                    key, ids, sketches = found, [], []
+                    if len(out) >= 20_000:
+                        yield flushed()
+                ids.append(fp)
+                sketches.append(sketch)
         ended()
         yield flushed()
 
-    return rows.repartition("path").sortWithinPartitions("path", "fp").mapInArrow(run, "path long, a binary, b binary, lanes int")
+    dealt = rows.select(*keys, "fp", "sketch").repartition(*keys).sortWithinPartitions(*keys, "fp")
+    return dealt.mapInArrow(run, "path long, a binary, b binary, lanes int, sketch binary")
+
+
+def compare(rows: DataFrame, least: int) -> DataFrame:
+    """Nodes of up to LEAF vertices: the strongest spanning forest of each one's close pairs."""
+
+    def find(parent: list[int], x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def work(key: tuple, ids: list[bytes], x: np.ndarray) -> Iterator[tuple]:
+        same = (x[:, None, :] == x[None, :, :]).sum(2)
+        i, j = np.nonzero(np.triu(same >= least, 1))
+        parent = list(range(len(ids)))
+        for lanes, i, j in sorted(zip(same[i, j].tolist(), i.tolist(), j.tolist()), reverse=True):
+            if (u := find(parent, i)) != (v := find(parent, j)):
+                parent[u] = v
+                yield key[0], ids[i], ids[j], lanes, None
+
+    return nodes_of(rows, ("path",), work)
+
+
+def forest(path: int, ids: list[bytes], x: np.ndarray, least: int, close: int) -> Iterator[tuple]:
+    """Vertices in their order against pivots: each joins the strongest close pivot of every part that there is, and is a pivot unless close lanes agree with one.
+    Edges, then the pivots."""
+    pivots, part = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
+    n = 0
+    for i in range(len(ids)):
+        same = (x[pivots[:n]] == x[i]).sum(1)
+        near = np.flatnonzero(same >= least)
+        near = near[np.argsort(-same[near], kind="stable")]
+        parts, first = np.unique(part[near], return_index=True)
+        for j in near[np.sort(first)].tolist():
+            yield path, ids[pivots[j]], ids[i], int(same[j]), None
+        joined = int(parts[0]) if len(parts) else i
+        if len(parts) > 1:
+            part[:n][np.isin(part[:n], parts)] = joined
+        if not len(near) or same[near[0]] < close:
+            pivots[n], part[n] = i, joined
+            n += 1
+    for i in pivots[:n].tolist():
+        yield path, ids[i], None, 0, x[i].tobytes()
+
+
+def pivoted(rows: DataFrame, large: DataFrame, least: int) -> DataFrame:
+    """rows (path, fp, sketch) of nodes that branch no more; large (path, n): their sizes. (path, a, b, lanes) as compare() gives them.
+
+    A node is dealt to shares of about SHARE vertices, each of which finds its own pivots; these meet, share by share, in cells of their own.
+    So no task holds more than two shares of a node, however many copies it has.
+    """
+    shares = lambda n: F.ceil(F.col(n) / SHARE).cast("int")
+    salted = rows.join(small(large), "path").select("path", F.pmod(F.xxhash64("fp"), shares("n")).alias("salt"), "fp", "sketch")
+    done = table(nodes_of(salted, ("path", "salt"), lambda key, ids, x: forest(key[0], ids, x, least, CLOSE)), "shares")
+    edges = done.where("b is not null").drop("sketch")
+    split = table(large.where(F.col("n") > SHARE).select("path"), "split")
+    if split.isEmpty():
+        return edges
+    pivots = done.where("b is null").select("path", F.col("a").alias("fp"), "sketch").join(small(split), "path", "left_semi")
+    left = table(pivots.groupBy("path").agg(F.count("*").alias("m")), "left")
+    placed = pivots.join(small(left), "path").withColumn("blocks", shares("m")).withColumn("own", F.pmod(F.xxhash64(F.lit(1), "fp"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = placed.withColumn("other", other).select("path", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "sketch")
+    met = table(nodes_of(cells, ("path", "i", "j"), lambda key, ids, x: forest(key[0], ids, x, least, LANES + 1)), "pivots")
+    return edges.unionByName(met.where("b is not null").drop("sketch"))
 
 
 def candidates(vertices: DataFrame, threshold: float) -> DataFrame:
-    """vertices (fp, sig) as a table() -> distinct pairs a < b whose sketches may reach the threshold, with the lanes that agree: enough to connect all such pairs."""
+    """vertices (fp, sig) as a table() -> distinct pairs a < b whose sketches may reach the threshold, with the lanes that agree: enough to connect all such pairs.
+
+    Sizes of nodes are counted first, which Spark pre-aggregates: a node that is to branch isn't brought together.
+    """
     rows, pairs, least = descend(vertices), None, least_lanes(threshold)
     for depth in range(FIRST, DEPTH + 1):
-        done = table(compare(rows, least, depth == DEPTH), "nodes")
-        found = done.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "lanes").where("a <> b")
+        sizes = rows.groupBy("path").agg(F.count("*").alias("n"))
+        large = table(sizes.where(F.col("n") > LEAF), "large")
+        crowd = small(large.select("path"))
+        found = table(compare(rows.join(crowd, "path", "left_anti"), least), "nodes").drop("sketch")
         pairs = found if pairs is None else pairs.unionByName(found)
-        deeper = done.where("b is null").select("path", F.col("a").alias("fp"))
-        if depth == DEPTH or deeper.isEmpty():
+        if large.isEmpty():
+            break
+        rest = rows.join(crowd, "path", "left_semi")
+        if depth == DEPTH:
+            pairs = pairs.unionByName(pivoted(rest, large, least))
             break
-        rows = branch(deeper.join(vertices.select("fp", "sig"), "fp"), threshold)
+        rows = table(branch(rest.select("path", "fp").join(vertices.select("fp", "sig"), "fp"), threshold), "branches")
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "lanes")
     return table(pairs.groupBy("a", "b").agg(F.max("lanes").alias("lanes")), "pairs")
 
 

@@ -127,3 +127,22 @@ def test_components(spark, share, monkeypatch):
     got = {r.node: r.root for r in near_dup.components(links).collect()}
     assert got == {**dict.fromkeys((1, 2, 3, 4), 1), 8: 8, 9: 8, **dict.fromkeys(range(100, 141), 100), **dict.fromkeys(range(200, 251), 200)}
     assert near_dup.components(links.limit(0)).count() == 0
+
+
+def test_shares_of_a_node_are_joined_up(spark, tmp_path, monkeypatch):
+    """A node of several groups, dealt to many shares: the components are those of brute force."""
+    monkeypatch.setattr(near_dup, "SHARE", 16)
+    monkeypatch.setattr(near_dup, "LEAF", 4)
+    rng = random.Random(3)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(100)]
+        for i in range(70):
+            words = list(base)
+            words[rng.randrange(100)] = f"x{i}"
+            rows.append((g * 1000 + i, " ".join(words)))
+    _, found = brute(rows, 2)
+    low = {}
+    for (i, _), c in zip(rows, found):
+        low[c] = min(low.get(c, i), i)
+    assert {r.doc_id: r.component_id for r in query(spark, tmp_path, rows)} == {i: low[c] for (i, _), c in zip(rows, found)}
