@@ -203,10 +203,8 @@ def nodes_of(rows: DataFrame, keys: tuple[str, ...], work: Callable[[tuple, list
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["path", "a", "b", "lanes", "sketch"])
 
         def ended() -> None:
-            if len(ids) > 1:
+            if ids:
                 out.extend(work(key, ids, np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, LANES)))
-            elif ids and len(keys) > 1:  # alone in its share, not in its node
-                out.append((key[0], ids[0], None, 0, sketches[0]))
 
         for batch in batches:
             at = [batch.column(i).to_pylist() for i in range(len(keys))]
@@ -226,7 +224,7 @@ def nodes_of(rows: DataFrame, keys: tuple[str, ...], work: Callable[[tuple, list
 
 
 def compare(rows: DataFrame, least: int) -> DataFrame:
-    """Nodes of up to LEAF vertices: the strongest spanning forest of each one's close pairs."""
+    """rows (path, salt, fp, sketch): the strongest spanning forest of each node's close pairs. Vertices with a salt other than 0 are dealt by it, and go on."""
 
     def find(parent: list[int], x: int) -> int:
         while parent[x] != x:
@@ -234,6 +232,11 @@ def compare(rows: DataFrame, least: int) -> DataFrame:
         return x
 
     def work(key: tuple, ids: list[bytes], x: np.ndarray) -> Iterator[tuple]:
+        if key[1]:
+            yield from ((key[0], fp, None, 0, sketch.tobytes()) for fp, sketch in zip(ids, x))
+            return
+        if len(ids) < 2:
+            return
         same = (x[:, None, :] == x[None, :, :]).sum(2)
         i, j = np.nonzero(np.triu(same >= least, 1))
         parent = list(range(len(ids)))
@@ -242,7 +245,7 @@ def compare(rows: DataFrame, least: int) -> DataFrame:
                 parent[u] = v
                 yield key[0], ids[i], ids[j], lanes, None
 
-    return nodes_of(rows, ("path",), work)
+    return nodes_of(rows, ("path", "salt"), work)
 
 
 def forest(path: int, ids: list[bytes], x: np.ndarray, least: int, close: int) -> Iterator[tuple]:
@@ -292,18 +295,19 @@ def pivoted(rows: DataFrame, large: DataFrame, least: int) -> DataFrame:
 def candidates(vertices: DataFrame, threshold: float) -> DataFrame:
     """vertices (fp, sig) as a table() -> distinct pairs a < b whose sketches may reach the threshold, with the lanes that agree: enough to connect all such pairs.
 
-    Sizes of nodes are counted first, which Spark pre-aggregates: a node that is to branch isn't brought together.
+    Sizes of nodes are counted first, which Spark pre-aggregates: the vertices of a node that is to branch are dealt one by one.
     """
     rows, pairs, least = descend(vertices), None, least_lanes(threshold)
     for depth in range(FIRST, DEPTH + 1):
         sizes = rows.groupBy("path").agg(F.count("*").alias("n"))
         large = table(sizes.where(F.col("n") > LEAF), "large")
-        crowd = small(large.select("path"))
-        found = table(compare(rows.join(crowd, "path", "left_anti"), least), "nodes").drop("sketch")
+        salt = F.when(F.col("n").isNull(), 0).otherwise(F.xxhash64("fp").bitwiseOR(F.lit(1).cast("long")))
+        done = table(compare(rows.join(small(large), "path", "left").withColumn("salt", salt), least), "nodes")
+        found = done.where("b is not null").drop("sketch")
         pairs = found if pairs is None else pairs.unionByName(found)
         if large.isEmpty():
             break
-        rest = rows.join(crowd, "path", "left_semi")
+        rest = done.where("b is null").select("path", F.col("a").alias("fp"), "sketch")
         if depth == DEPTH:
             pairs = pairs.unionByName(pivoted(rest, large, least))
             break
