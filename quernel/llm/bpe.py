@@ -123,11 +123,17 @@ class WordBpe:
         return self.merge([*(inner[b] for b in raw[:-1]), self.last[raw[-1]]])
 
     def runs(self, text: str) -> list[str]:
-        """Normalizes a text without special tokens and splits it at white space, or into words where only the library's tables will do."""
+        """Normalizes a text without special tokens and splits it at white space, or into words where only the library's tables will do.
+
+        Composing letters and their marks, or lower case, can lead out of PLAIN; such a text takes the library's way from its start, so runs of
+        more than one word are always PLAIN.
+        """
         if PLAIN.fullmatch(text):
-            if not text.isascii():
-                text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            return text.lower().split()
+            if text.isascii():
+                return text.lower().split()
+            clean = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            if PLAIN.fullmatch(clean):
+                return clean.split()
         if self.library is None:
             from tokenizers import Tokenizer
 
@@ -136,7 +142,7 @@ class WordBpe:
         return [clean[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(clean)]
 
     def words(self, run: str) -> list[str]:
-        """The words of a run; a word is its own only word."""
+        """The words of a run from runs(); a word is its own only word."""
         return [run] if run.isalpha() or not PLAIN.fullmatch(run) else self.lexer.findall(run)
 
     def parts(self, text: str) -> Iterator[tuple[str, bool]]:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import unicodedata
 
 import pytest
 from tokenizers import Tokenizer
@@ -23,6 +24,36 @@ def library():
     return Tokenizer.from_file(bpe.default_path())
 
 
+def marked_texts(n):
+    """Letters with combining marks beside digits, punctuation and special tokens, composed, decomposed and mixed; lower case that leaves the plain range."""
+    rng = random.Random(7)
+    bits = ["<|endoftext|>", "2", "19", "!", "'s", "'LL", " ", "\n", "\x1c", "\x85", "–", "²"]
+    fixed = ["bạn2", "Cảm ơn bạn, tôi đến.", "Ḥasan's", "Ⱥ2", "ȾȾ!"]
+    texts = [unicodedata.normalize(form, t) for t in fixed for form in ("NFC", "NFD")]
+    for _ in range(n):
+        text = "".join(
+            rng.choice("aeiouyAEIOUbdhsnHSDĥạẞȺİſΣσΑЙßơƯ漢é한") + "".join(chr(rng.randint(0x300, 0x36F)) for _ in range(rng.choice([0, 0, 1, 1, 2]))) if rng.random() < 0.6 else rng.choice(bits)
+            for _ in range(rng.randint(1, 25))
+        )
+        form = rng.choice(["NFC", "NFD", None])
+        texts.append(unicodedata.normalize(form, text) if form else text)
+    return texts
+
+
+def test_marks_as_the_library(library):
+    own = bpe.WordBpe(open(bpe.default_path(), "rb").read())
+    counter = token_count.Transducer(own)
+    texts = marked_texts(20_000)
+    for text, e in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert own.encode(text) == struct.pack(f"<{len(e.ids)}I", *e.ids), ascii(text)
+        assert counter.count(text) == len(e.ids) == counter.count(text, 5), ascii(text)
+
+
+def test_empty_table(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert bpe.encode(none).count() == 0 and token_count.count_tokens(none).count() == 0
+
+
 def some_texts():
     rng = random.Random(1)
     return TEXTS + ["".join(rng.choice("aabcdeth'é😀<|>12 \n\t.,endoftext") for _ in range(rng.randint(1, 200))) for _ in range(800)]
