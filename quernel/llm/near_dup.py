@@ -36,13 +36,16 @@ _rng = np.random.default_rng(20240229)
 _odd = lambda n: _rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 MUL, ADD = _odd(MINS), _odd(MINS)
 WORD_MUL = _odd(64)
-BYTE = _odd(256)
-BYTE[65:91] = BYTE[97:123]  # A-Z as a-z
+#: A letter's digit: its byte, A-Z as a-z, and one so that none is zero.
+DIGIT = np.arange(1, 257, dtype=np.uint64)
+DIGIT[65:91] = DIGIT[97:123]
 GAP = np.zeros(256, bool)
 GAP[[9, 10, 11, 12, 13, 32]] = True
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: Prime moduli and a base for each. Modulo a power of two, long regular words (Thue-Morse) would collide whatever the base.
+FIELDS = [(2**31 - 1, 1_157_920_891), (2**31 - 19, 1_838_215_453)]
 PIECE = 1 << 20
+#: Digits times powers that can be summed before a remainder is needed.
+SUMMED = 1 << 24
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,15 +56,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-_powers = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
+_powers = [[np.ones(1, np.uint64), np.ones(1, np.uint64)] for _ in FIELDS]
 
 
-def powers(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((BASE, INVERSE)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=np.uint64)
+def powers(n: int) -> list[list[np.ndarray]]:
+    """For each field n or more powers of its base, and of the base's inverse."""
+    for (modulus, base), found in zip(FIELDS, _powers):
+        for k, x in enumerate((base, pow(base, -1, modulus))):
+            while len(p := found[k]) < n:
+                found[k] = np.concatenate((p, p * np.uint64(pow(x, len(p), modulus)) % np.uint64(modulus)))
     return _powers
 
 
@@ -80,10 +83,13 @@ def word_hashes(raw: bytes) -> np.ndarray:
         if not len(edges):
             continue
         start, stop = edges[::2], edges[1::2]
-        up, down = powers(len(b))
-        total = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(BYTE[b] * up[: len(b)], out=total[1:])
-        out.append(mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64)))
+        digits, found = DIGIT[b], mix((stop - start).astype(np.uint64))
+        for (modulus, _), (up, down) in zip(FIELDS, powers(len(b))):
+            p, terms = np.uint64(modulus), digits * up[: len(b)]
+            total = np.zeros(len(b) + 1, np.uint64)
+            np.cumsum(terms if len(b) <= SUMMED else terms % p, out=total[1:])
+            found = mix(found ^ (total[stop] - total[start]) % p * down[start] % p)
+        out.append(found)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 

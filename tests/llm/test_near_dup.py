@@ -146,3 +146,18 @@ def test_shares_of_a_node_are_joined_up(spark, tmp_path, monkeypatch):
     for (i, _), c in zip(rows, found):
         low[c] = min(low.get(c, i), i)
     assert {r.doc_id: r.component_id for r in query(spark, tmp_path, rows)} == {i: low[c] for (i, _), c in zip(rows, found)}
+
+
+def test_thue_morse_words_differ(spark, tmp_path):
+    signs = ["".join("ba"[bin(i).count("1") % 2 ^ side] for i in range(4096)) for side in (0, 1)]
+    rows = [(side, f"{signs[side][:n]} {signs[side][:n]}") for side in (0, 1) for n in (4096,)]
+    assert len(set(near_dup.word_hashes(" ".join(s[:n] for s in signs for n in (256, 1024, 4096)).encode()).tolist())) == 6
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r.doc_id, r.component_id, r.kept) for r in near_dup.op7_minhash_dedup(spark, str(tmp_path)).collect()} == {(0, 0, True), (1, 1, True)}
+
+
+def test_words_longer_than_the_sums(monkeypatch):
+    texts = [b"abcdefgh" * 9, b"ab cd", b"x" * 70 + b" y"]
+    want = [near_dup.word_hashes(t).tolist() for t in texts]
+    monkeypatch.setattr(near_dup, "SUMMED", 16)
+    assert [near_dup.word_hashes(t).tolist() for t in texts] == want
