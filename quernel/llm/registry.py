@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernel.llm import chat, embed_dup, langid, line_dedup, mixing, near_dup, pii, topk
+from quernel.llm import chat, embed_dup, langid, line_dedup, mixing, near_dup, pii, quality, topk, whitening
 from quernel.llm.bpe import op3_bpe
 from quernel.llm.token_count import op5_token_counts
 
@@ -17,6 +17,8 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_embedding_dedup": embed_dup.op9_embedding_dedup,
     "op10_langid": langid.op10_langid,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_quality": quality.op13_quality,
 }
 SQL: dict[str, str] = {
     "op1_topk": topk.SQL,
@@ -25,4 +27,5 @@ SQL: dict[str, str] = {
     "op7_minhash_dedup": near_dup.SQL,
     "op8_line_dedup": line_dedup.SQL,
     "op9_embedding_dedup": embed_dup.SQL,
+    "op13_quality": quality.SQL,
 }
