@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernel.llm import chat, embed_dup, langid, line_dedup, mixing, near_dup, pii, quality, topk, whitening
+from quernel.llm import chat, embed_dup, langid, line_dedup, mixing, near_dup, pii, quality, repair, topk, whitening
 from quernel.llm.bpe import op3_bpe
 from quernel.llm.token_count import op5_token_counts
 
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_embedding_dedup": embed_dup.op9_embedding_dedup,
     "op10_langid": langid.op10_langid,
+    "op11_repair": repair.op11_repair,
     "op12_whitening": whitening.op12_whitening,
     "op13_quality": quality.op13_quality,
 }
