@@ -147,8 +147,9 @@ def mat_full(spark, sf_dir):
 
 @query(f"WITH {V}, e AS (SELECT vec_id, unnest(v) AS v, generate_subscripts(v, 1) - 1 AS i FROM v) SELECT i::BIGINT AS i, vec_id AS j, round(v, 6) + 0.0 AS v FROM e")
 def mat_transpose(spark, sf_dir):
-    cells = matrix(spark, sf_dir).cells()
-    return cells.select(F.col("j").alias("i"), F.col("i").alias("j"), (F.round("v", 6) + 0.0).alias("v"))
+    """By blocks; rows are numbered by vec_id."""
+    df = vectors(spark, sf_dir).select(F.col("vec_id").alias("row_id"), "v")
+    return as_cells(Mat(df, df.agg(F.max("row_id") + 1).first()[0] or 0, 64).T)
 
 
 @query(matrix_sql("list_transform(v, lambda x: x * 2.5)"))
