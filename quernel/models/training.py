@@ -99,47 +99,100 @@ def fit_mlp(df: DataFrame, model: MLP, epochs: int, lr: float = 0.01) -> list[fl
     return losses
 
 
-def fit_mlp_batches(df: DataFrame, model: MLP, epochs: int, batch: int, lr: float = 1e-3) -> list[float]:
-    """df (id, x, label): mini-batches in the order of id, the last dropped if it isn't full. Returns each epoch's mean loss, nan without a full batch.
+def packed(model, optimizer: Adam) -> np.ndarray:
+    """Parameters and the optimizer's moments, one after the other."""
+    return np.concatenate([x.ravel() for x in [*(p.value for p in model.params()), *optimizer.m, *optimizer.v]])
 
-    Each batch starts from the weights that the one before has left, so an epoch is a chain: one task takes the rows in order, sorted on disk where they don't fit
-    memory, and holds a batch and a model; only model and optimizer come back. An epoch is a job. For steps that many tasks share: fit_mlp.
+
+def unpack(model, optimizer: Adam, flat_state: np.ndarray) -> None:
+    at = 0
+    for x in [*(p.value for p in model.params()), *optimizer.m, *optimizer.v]:
+        x[...] = flat_state[at : at + x.size].reshape(x.shape)
+        at += x.size
+
+
+#: What a shard comes back with: its batches, the sum of their losses, and its state times its batches.
+SHARD = "shard long, batches long, loss double, state array<double>"
+#: Sums over shards, the first of them, and the most batches of one.
+SUM = "shard long, most long, batches long, loss double, state array<double>"
+
+
+def fit_mlp_batches(df: DataFrame, model: MLP, epochs: int, batch: int, lr: float = 1e-3, shards: int = 1, batches: int = 64) -> list[float]:
+    """df (id, x, label): mini-batches of consecutive rows in the order of id, the last of an epoch dropped if it isn't full. Returns each epoch's mean loss, nan without a full batch.
+
+    Local SGD with averaging: a round deals shards * batches batches, those of a shard being consecutive. Every shard starts from the same weights and Adam moments and goes through its
+    batches one after the other, in a task of its own; then states are averaged, weighted by the batches taken, and the next round begins. The optimizer's clock goes on by the
+    most batches that a shard took. With one shard this is the serial loop. What the result depends on is shards and batches, never the number of partitions or executors; a lost task is run again
+    from its round's start. Rows are numbered once and kept in order, so that a round reads its own; a task holds a batch and a state, and FAN sums of states reach the driver.
     """
-    state: tuple[MLP, Adam] = (model, Adam(model.params(), lr))
-    context, out = df.sparkSession.sparkContext, []
-    for _ in range(epochs):
-        shipped = context.broadcast(pickle.dumps(state))
-
-        def run(frames: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
-            own, optimizer = pickle.loads(shipped.value)
-            x, y, losses = np.zeros((0, 0)), np.zeros(0, np.int64), []
-            for f in frames:
-                if not len(f):
-                    continue
-                more, labels = np.stack(f.x.to_numpy()), f.label.to_numpy()
-                x, y = (np.concatenate((x, more)), np.concatenate((y, labels))) if len(x) else (more, labels)
-                whole = len(x) // batch * batch
-                for k in range(0, whole, batch):
-                    optimizer.zero_grad()
-                    loss = tape.cross_entropy(own.forward(Tensor(x[k : k + batch])), y[k : k + batch])
-                    loss.backward()
-                    optimizer.step()
-                    losses.append(float(loss.value[0, 0]))
-                x, y = x[whole:], y[whole:]
-            yield pd.DataFrame({"state": [pickle.dumps((own, optimizer))], "loss": [float(np.mean(losses)) if losses else math.nan]})
-
-        ordered = df.select("id", "x", "label").repartition(1).sortWithinPartitions("id")
-        row = ordered.mapInPandas(run, "state binary, loss double").first()
-        shipped.unpersist()
-        # an empty table may have no task at all
-        if row is not None:
-            state = pickle.loads(row["state"])
-        out.append(row["loss"] if row is not None else math.nan)
-    for p, q in zip(model.params(), state[0].params()):
-        p.value[...] = q.value
+    ordered, base = numbered(df.select("id", "x", "label"), "id")
+    context, optimizer, out = df.sparkSession.sparkContext, Adam(model.params(), lr), []
+    whole = base.count() // batch
+    number = F.floor(F.col("n_th") / batch)
+    dealt = ordered.where(number < whole).select(F.floor(number / (shards * batches)).alias("round"), F.pmod(F.floor(number / batches), F.lit(shards)).alias("shard"), "n_th", "x", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for _ in range(epochs):
+            losses = []
+            for k in range(-(-whole // (shards * batches))):
+                losses.append(_round(context, dealt.where(F.col("round") == k).drop("round"), model, optimizer, batch, shards))
+            out.append(sum(x for x, _ in losses) / whole if whole else math.nan)
+    finally:
+        dealt.unpersist()
+        base.unpersist()
     return out
 
 
+def _round(context, df: DataFrame, model: MLP, optimizer: Adam, batch: int, shards: int) -> tuple[float, int]:
+    """One round over df (shard, n_th, x, label): sets model and optimizer to the average of the shards; the sum of losses, and the batches."""
+    shipped = context.broadcast(pickle.dumps((model, optimizer.lr, optimizer.t, packed(model, optimizer))))
+
+    def start() -> tuple[MLP, Adam]:
+        own, rate, t, flat_state = pickle.loads(shipped.value)
+        adam = Adam(own.params(), rate)
+        adam.t = t
+        unpack(own, adam, flat_state)
+        return own, adam
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, own, adam, x, y, taken, lost = None, None, None, [], [], 0, 0.0
+        for f in frames:
+            for s, row, label in zip(f.shard, f.x, f.label):
+                if s != shard:
+                    if taken:
+                        yield pd.DataFrame({"shard": [shard], "batches": [taken], "loss": [lost], "state": [packed(own, adam) * taken]})
+                    shard, (own, adam), x, y, taken, lost = s, start(), [], [], 0, 0.0
+                x.append(row)
+                y.append(label)
+                if len(x) == batch:
+                    adam.zero_grad()
+                    loss = tape.cross_entropy(own.forward(Tensor(np.stack(x))), np.array(y))
+                    loss.backward()
+                    adam.step()
+                    x, y, taken, lost = [], [], taken + 1, lost + float(loss.value[0, 0])
+        if taken:
+            yield pd.DataFrame({"shard": [shard], "batches": [taken], "loss": [lost], "state": [packed(own, adam) * taken]})
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, most, taken, lost, state = None, 0, 0, 0.0, None
+        for f in frames:
+            for r in f.itertuples(index=False):
+                first, most, taken, lost = r.shard if first is None else first, max(most, r.batches), taken + r.batches, lost + r.loss
+                state = np.array(r.state) if state is None else state + r.state
+        if first is not None:
+            yield pd.DataFrame({"shard": [first], "most": [most], "batches": [taken], "loss": [lost], "state": [state]})
+
+    done = df.repartition(shards, "shard").sortWithinPartitions("shard", "n_th").mapInPandas(run, SHARD)
+    # in the order of shards, so that reruns agree
+    few = min(FAN, shards)
+    sums = done.repartition(few, F.pmod("shard", F.lit(few))).sortWithinPartitions("shard").mapInPandas(add, SUM).collect()
+    shipped.unpersist()
+    sums.sort(key=lambda r: r["shard"])
+    n = sum(r["batches"] for r in sums)
+    unpack(model, optimizer, sum(np.array(r["state"]) for r in sums) / n)
+    optimizer.t += max(r["most"] for r in sums)
+    return sum(r["loss"] for r in sums), n
+
+
 def fit_groups(df: DataFrame, key: str, inputs: int, hidden: int, outputs: int, epochs: int, lr: float = 0.01, seed: int = 1) -> DataFrame:
     """One small perceptron a group, trained in one task on all of its rows: (key, n long, first_loss, last_loss, accuracy double). A group must fit a task's memory."""
     kind = df.schema[key].dataType.simpleString()

@@ -578,10 +578,10 @@ def mlp_train(spark, sf_dir):
 
 @query(None)
 def mlp_minibatch(spark, sf_dir):
-    """Mini-batches of 100 in the order of vec_id: each epoch's mean loss."""
+    """Mini-batches of 50 in the order of vec_id, in rounds of four shards of two batches: each epoch's mean loss."""
     from quernel.models.training import MLP, fit_mlp_batches
 
-    losses = fit_mlp_batches(points(spark, sf_dir).withColumnRenamed("vec_id", "id"), MLP(64, 16, 2, rng.Rng(1)), 3, 100)
+    losses = fit_mlp_batches(points(spark, sf_dir).withColumnRenamed("vec_id", "id"), MLP(64, 16, 2, rng.Rng(1)), 3, 50, shards=4, batches=2)
     return spark.createDataFrame(list(enumerate(losses)), "epoch int, loss double")
 
 

@@ -1,3 +1,4 @@
+import copy
 import math
 
 import numpy as np
@@ -179,6 +180,42 @@ def test_mini_batches_equal_a_loop(spark, parts):
     assert math.isnan(fit_mlp_batches(df.limit(0), got, 1, 10)[0])
 
 
+@pytest.mark.parametrize("parts, shards, batches", [(1, 3, 2), (6, 3, 2), (4, 2, 1), (5, 4, 50)])
+def test_shards_equal_a_serial_simulation(spark, parts, shards, batches):
+    """Rounds of shards x batches batches; every shard from the same state, then the average by batches taken."""
+    draws = np.random.default_rng(9)
+    x, y = draws.normal(size=(83, 3)), draws.integers(0, 2, 83)
+    rows = [(int(i) * 10, x[i].tolist(), int(y[i])) for i in draws.permutation(83)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, label int").repartition(parts)
+    got, want = MLP(3, 4, 2, Rng(2)), MLP(3, 4, 2, Rng(2))
+    losses = fit_mlp_batches(df, got, 2, 5, lr=0.05, shards=shards, batches=batches)
+    state = nn.Adam(want.params(), 0.05)
+    means = []
+    for _ in range(2):
+        each = []
+        for start in range(0, 16, shards * batches):
+            ends, taken = [], []
+            for s in range(shards):
+                own, adam = copy.deepcopy((want, state))
+                adam.params = own.params()
+                mine = range(start + s * batches, min(start + (s + 1) * batches, 16))
+                for k in mine:
+                    adam.zero_grad()
+                    loss = tape.cross_entropy(own.forward(Tensor(x[k * 5 : k * 5 + 5])), y[k * 5 : k * 5 + 5])
+                    loss.backward()
+                    adam.step()
+                    each.append(float(loss.value[0, 0]))
+                ends.append([*(p.value for p in own.params()), *adam.m, *adam.v])
+                taken.append(len(mine))
+            for target, *parts_ in zip([*(p.value for p in want.params()), *state.m, *state.v], *ends):
+                target[...] = sum(t * p for t, p in zip(taken, parts_)) / sum(taken)
+            state.t += max(taken)
+        means.append(np.mean(each))
+    assert losses == pytest.approx(means, rel=1e-9)
+    for p, q in zip(got.params(), want.params()):
+        assert np.abs(p.value - q.value).max() < 1e-9
+
+
 def test_gpt_over_frames(spark):
     chunks = spark.createDataFrame([(i, [1, 2, 3, 4, 0, 1], [2, 3, 4, 0, 1, 2]) for i in range(4)], "id long, x array<int>, y array<int>").coalesce(2)
     model = GPT(TINY, Rng(7))
