@@ -10,8 +10,9 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
+from quernel.functions.neural import erf_array
+
 LOG_EPS = 1e-12
-_erf = np.vectorize(math.erf, otypes=[float])
 
 
 class Tensor:
@@ -78,7 +79,7 @@ def relu(a: Tensor) -> Tensor:
 
 def gelu(a: Tensor) -> Tensor:
     x = a.value
-    cdf = 0.5 * (1 + _erf(x / math.sqrt(2)))
+    cdf = 0.5 * (1 + erf_array(x / math.sqrt(2)))
     pdf = np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
     return op(x * cdf, (a,), lambda g: (g * (cdf + x * pdf),))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quernel.operators import selection, tsqr
+from quernel.operators.attention import attention
 from quernel.operators.matrix import Mat
-from quernel.plans.queries import QUERIES, SQL, V, as_cells, query, read, vectors
+from quernel.plans.queries import QUERIES, SERIES, SQL, V, as_cells, query, read, vectors
 
 #: Blocks of 32 x 32, so that the tables here have several along every side.
 SIDE = 32
@@ -58,4 +60,74 @@ def linreg_qr(spark, sf_dir):
     return out.select("feature", "idx", F.round("weight", 3).alias("weight"), "n", F.round(F.col("mse") / 1e6, 4).alias("mse_millions"))
 
 
+#: Three sequences, which grow with the table: vec_id modulo 3, in the order of vec_id. Four heads.
+HEADS = 4
+SEQ = f"{V}, x AS (SELECT vec_id % 3 AS seq, vec_id // 3 AS pos, v FROM v)"
+
+
+def sequences(spark, sf_dir):
+    return vectors(spark, sf_dir).select((F.col("vec_id") % 3).alias("seq"), F.floor(F.col("vec_id") / 3).alias("pos"), "v")
+
+
+def _cells(name: str, v: str, source: str) -> str:
+    return f"{name} AS (SELECT seq, pos, unnest({v}) AS x, generate_subscripts({v}, 1) - 1 AS j FROM {source})"
+
+
+def _attention_sql(q: str, k: str, v: str) -> str:
+    """Cells (seq, pos, j, x) of queries, keys and values -> att, the same of the result."""
+    return f"""sc AS (SELECT q.seq, q.pos, k.pos AS at_key, q.j // 16 AS h, sum(q.x * k.x) / 4.0 AS s FROM {q} q JOIN {k} k ON q.seq = k.seq AND q.j = k.j AND k.pos <= q.pos GROUP BY ALL),
+ex AS (SELECT *, exp(s - max(s) OVER (PARTITION BY seq, pos, h)) AS e FROM sc), pr AS (SELECT *, e / sum(e) OVER (PARTITION BY seq, pos, h) AS p FROM ex),
+att AS (SELECT pr.seq, pr.pos, v.j, sum(pr.p * v.x) AS x FROM pr JOIN {v} v ON v.seq = pr.seq AND v.pos = pr.at_key AND v.j // 16 = pr.h GROUP BY ALL)"""
+
+
+def _rounded(df, column: str = "v", digits: int = 6):
+    cells = df.select("seq", "pos", F.posexplode(column).alias("j", "x"))
+    return cells.select("seq", "pos", F.col("j").cast("long").alias("j"), (F.round("x", digits) + 0.0).alias("x"))
+
+
+@query(f"WITH {SEQ}, {_cells('c', 'v', 'x')}, {_attention_sql('c', 'c', 'c')} SELECT seq, pos, j::BIGINT AS j, round(x, 6) + 0.0 AS x FROM att")
+def multi_head_attention(spark, sf_dir):
+    """Causal attention of four heads, query, key and value being the vector: by blocks of 32, four to a cell."""
+    return _rounded(attention(sequences(spark, sf_dir).select("seq", "pos", F.col("v").alias("q"), F.col("v").alias("k"), "v"), HEADS, block=32, span=4))
+
+
+#: A weight's cells by a rule: ((a i + b j + c) mod 13 - 6) / 100, and biases the same of row 0.
+WEIGHTS = {"q": (64, 64, 3, 5, 1), "k": (64, 64, 7, 2, 4), "v": (64, 64, 5, 11, 2), "o": (64, 64, 2, 9, 3), "fc": (64, 256, 4, 7, 5), "proj": (256, 64, 9, 4, 6)}
+
+
+def weights() -> dict[str, np.ndarray]:
+    out = {"ln1_g": np.full(64, 1.25), "ln1_b": np.full(64, 0.125), "ln2_g": np.full(64, 0.75), "ln2_b": np.full(64, -0.25)}
+    for name, (rows, cols, a, b, c) in WEIGHTS.items():
+        i, j = np.indices((rows, cols))
+        out[name] = ((a * i + b * j + c) % 13 - 6) / 100
+        out[f"{name}_b"] = ((b * np.arange(cols) + c) % 13 - 6) / 100
+    return out
+
+
+def _norm_sql(out: str, source: str, gamma: float, beta: float) -> str:
+    """Cells (seq, pos, j, x) -> normed cells."""
+    row = "OVER (PARTITION BY seq, pos)"
+    return f"{out} AS (SELECT seq, pos, j, {gamma} * (x - avg(x) {row}) / sqrt(var_pop(x) {row} + 1e-5) + {beta} AS x FROM {source})"
+
+
+def _affine_sql(out: str, source: str, name: str) -> str:
+    rows, cols, a, b, c = WEIGHTS[name]
+    return f"{out} AS (SELECT seq, pos, w.j, sum(s.x * w.w) + ((({b} * w.j + {c}) % 13) - 6) / 100.0::DOUBLE AS x FROM {source} s JOIN (SELECT i.i AS i, j.i AS j, ((({a} * i.i + {b} * j.i + {c}) % 13) - 6) / 100.0::DOUBLE AS w FROM range({rows}) i(i), range({cols}) j(i)) w ON s.j = w.i GROUP BY seq, pos, w.j)"
+
+
+_add_sql = lambda out, a, b: f"{out} AS (SELECT seq, pos, j, a.x + b.x AS x FROM {a} a JOIN {b} b USING (seq, pos, j))"
+GELU_SQL = f"0.5 * x * (1 + 2 / sqrt(pi()) * ({SERIES}))"
+
+
+@query("WITH " + ", ".join([SEQ, _cells("c", "v", "x"), _norm_sql("h1", "c", 1.25, 0.125), *(_affine_sql(f"{n}c", "h1", n) for n in "qkv"), _attention_sql("qc", "kc", "vc"), _affine_sql("oc", "att", "o"), _add_sql("r1", "c", "oc"),
+    _norm_sql("h2", "r1", 0.75, -0.25), _affine_sql("fcc", "h2", "fc"), f"gc AS (SELECT seq, pos, j, {GELU_SQL} AS x FROM fcc)", _affine_sql("pc", "gc", "proj"), _add_sql("r2", "r1", "pc")])
+    + " SELECT seq, pos, j::BIGINT AS j, round(x, 5) + 0.0 AS x FROM r2")
+def transformer_block(spark, sf_dir):
+    """A whole pre-norm block of four causal heads and a GELU layer of four times the width, with weights by a rule."""
+    from quernel.models.relational import block
+
+    out = block(sequences(spark, sf_dir).withColumnRenamed("v", "x"), weights(), HEADS, rows=32, span=4)
+    return _rounded(out, "x", 5)
+
+
 __all__ = ["QUERIES", "SQL"]
