@@ -1,18 +1,15 @@
 """A reproducible random stream: xorshift64* and what is drawn from it.
 
-The state's steps are linear over the bits, so a stream can be entered at any draw: frame() gives each partition its own start by powers of the step's
-64 by 64 bit matrix, and the rows equal those of one serial stream. What draws a varying number of values (gaussian, exponential, poisson)
-is drawn by one task from a stream of its own.
+The state's steps are linear over the bits, so a stream can be entered at any draw, by powers of the step's 64 by 64 bit matrix. quernel.functions.streams
+attaches its draws to the rows of tables.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The seed that stands for 0, and the output multiplier.
@@ -100,77 +97,6 @@ def jump(state: int, steps: int) -> int:
     return state
 
 
-#: Draws that take just one value of the stream.
-ONE_EACH = {"uniform", "bernoulli"}
-
-
-def frame(spark: SparkSession, n: int, dist: str = "uniform", seed: int = DEFAULT_SEED, partitions: int = 8, **params: float) -> DataFrame:
-    """(id long, value double): the n values that Rng(seed) gives one after the other."""
-    if dist not in {"uniform", "gaussian", "exponential", "bernoulli", "poisson"}:
-        raise ValueError(f"no distribution {dist}")
-    ids = spark.range(0, n, 1, partitions if dist in ONE_EACH else 1)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = None
-        for f in frames:
-            if not len(f):
-                continue
-            if own is None:
-                own = Rng(seed)
-                own.state = jump(own.state, int(f.id.iloc[0])) if dist in ONE_EACH else own.state
-            draw = getattr(own, dist)
-            yield pd.DataFrame({"id": f.id, "value": [float(draw(**params)) for _ in range(len(f))]})
-
-    return ids.mapInPandas(run, "id long, value double")
-
-
-def rings(spark: SparkSession, n: int, seed: int) -> DataFrame:
-    """Two classes of points, label = id % 2: radius within 1, and from 1.5 to 2.5, with noise of sd 0.05."""
-
-    def point(r: Rng, i: int) -> tuple:
-        radius, angle = (r.uniform(0, 1) if i % 2 == 0 else r.uniform(1.5, 2.5)), r.uniform(0, 2 * math.pi)
-        return i, radius * math.cos(angle) + r.gaussian(0, 0.05), radius * math.sin(angle) + r.gaussian(0, 0.05), i % 2
-
-    return _points(spark, n, seed, point, "id long, x1 double, x2 double, label int")
-
-
-def clusters(spark: SparkSession, n: int, seed: int, sd: float = 0.6) -> DataFrame:
-    """Two clusters around (-2, -2) and (2, 2), label = id % 2."""
-
-    def point(r: Rng, i: int) -> tuple:
-        c = 2.0 if i % 2 else -2.0
-        return i, r.gaussian(c, sd), r.gaussian(c, sd), float(i % 2)
-
-    return _points(spark, n, seed, point, "id long, x1 double, x2 double, y double")
-
-
-def noisy_line(spark: SparkSession, n: int, seed: int, slope: float = 4.0, intercept: float = 7.0, sd: float = 1.0) -> DataFrame:
-    def point(r: Rng, i: int) -> tuple:
-        x = r.uniform(-5, 5)
-        return i, x, slope * x + intercept + r.gaussian(0, sd)
-
-    return _points(spark, n, seed, point, "id long, x double, y double")
-
-
-def correlated(spark: SparkSession, n: int, seed: int, slope: float = 0.8, sd: float = 0.5) -> DataFrame:
-    def point(r: Rng, i: int) -> tuple:
-        x = r.gaussian()
-        return i, x, slope * x + r.gaussian(0, sd)
-
-    return _points(spark, n, seed, point, "id long, x double, y double")
-
-
-def _points(spark: SparkSession, n: int, seed: int, point, schema: str) -> DataFrame:
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Rng(seed)
-        for f in frames:
-            yield pd.DataFrame([point(own, i) for i in f.id.tolist()], columns=names)
-
-    return spark.range(0, n, 1, 1).mapInPandas(run, schema)
-
-
 def fast_uniform(df: DataFrame, seed: int, out: str = "u") -> DataFrame:
     """Where the exact stream isn't needed: Spark's own generator, in every partition at once."""
     return df.withColumn(out, F.rand(seed))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.functions import neural, rng
+from quernel.functions import neural, rng, streams
 from quernel.functions.tokenizer import CharTokenizer, char_counts, split_chars, train_val_split, windows
 from quernel.models import nn
 from quernel.operators import decoding, stats
@@ -135,14 +135,16 @@ def matrix_sql(value: str) -> str:
     return f"WITH {V}, e AS (SELECT vec_id AS i, unnest(w) AS v, generate_subscripts(w, 1) - 1 AS j FROM (SELECT vec_id, {value} AS w FROM v)) SELECT i, j::BIGINT AS j, round(v, 6) + 0.0 AS v FROM e"
 
 
-@query("SELECT a.i AS i, b.i AS j, CASE WHEN a.i = b.i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM range(32) a(i), range(32) b(i)")
+@query("SELECT a.i AS i, b.i AS j, CASE WHEN a.i = b.i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM (SELECT unnest(range((SELECT count(*) FROM supplier))) AS i) a, (SELECT unnest(range((SELECT count(*) FROM supplier))) AS i) b")
 def mat_identity(spark, sf_dir):
-    return as_cells(Mat.identity(spark, 32))
+    """As large as there are suppliers."""
+    return as_cells(Mat.identity(spark, read(spark, sf_dir, "supplier").count()))
 
 
-@query("SELECT a.i AS i, b.i AS j, 1.5::DOUBLE AS v FROM range(10) a(i), range(4) b(i)")
+@query("SELECT a.i AS i, b.i AS j, 1.5::DOUBLE AS v FROM (SELECT unnest(range((SELECT count(*) FROM customer))) AS i) a, range(4) b(i)")
 def mat_full(spark, sf_dir):
-    return as_cells(Mat.full(spark, 10, 4, 1.5))
+    """A row for each customer."""
+    return as_cells(Mat.full(spark, read(spark, sf_dir, "customer").count(), 4, 1.5))
 
 
 @query(f"WITH {V}, e AS (SELECT vec_id, unnest(v) AS v, generate_subscripts(v, 1) - 1 AS i FROM v) SELECT i::BIGINT AS i, vec_id AS j, round(v, 6) + 0.0 AS v FROM e")
@@ -503,50 +505,65 @@ def clip_grad_norm(spark, sf_dir):
     return both.select("vec_id", "j", (F.round(F.when(F.col("n") > 1, F.col("g") / (F.col("n") + 1e-6)).otherwise(F.col("g")), 6) + 0.0).alias("g"))
 
 
-@query("SELECT i AS step, round(CASE WHEN i < 100 THEN i / 100.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1.0, (i - 100) / 900.0))) END::DOUBLE, 6) AS lr FROM range(1201) r(i)")
+@query("SELECT o_orderkey, round(CASE WHEN i < 100 THEN i / 100.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1.0, (i - 100) / 900.0))) END::DOUBLE, 6) AS lr FROM (SELECT o_orderkey, o_orderkey % 1201 AS i FROM orders)")
 def cosine_lr(spark, sf_dir):
-    return spark.range(1201).select(F.col("id").alias("step"), F.round(nn.cosine_lr_column(F.col("id"), 1000, 1.0, 100), 6).alias("lr"))
+    """The rate at the step that each order stands for."""
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.round(nn.cosine_lr_column(F.col("o_orderkey") % 1201, 1000, 1.0, 100), 6).alias("lr"))
 
 
-# Random streams, as exact as the serial one
+# Random streams, as exact as the serial one: a draw for each customer, in the order of keys
 
-N_RANDOM, SEED = 400, 42
-STREAM = f"""RECURSIVE s0 AS (SELECT -1 AS id, {SEED}::UHUGEINT AS s UNION ALL SELECT id + 1, xor(b, b >> 27) FROM
- (SELECT id, xor(a, (a * 33554432) % 18446744073709551616::UHUGEINT) AS b FROM (SELECT id, xor(s, s >> 12) AS a FROM s0 WHERE id < {2 * N_RANDOM + 9}))),
+SEED = 42
+STREAM = f"""RECURSIVE c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS id FROM customer), s0 AS (SELECT -1 AS id, {SEED}::UHUGEINT AS s UNION ALL SELECT id + 1, xor(b, b >> 27) FROM
+ (SELECT id, xor(a, (a * 33554432) % 18446744073709551616::UHUGEINT) AS b FROM (SELECT id, xor(s, s >> 12) AS a FROM s0 WHERE id < (SELECT count(*) + 9 FROM customer)))),
 u AS (SELECT id, ((s * 2685821657736338717::UHUGEINT % 18446744073709551616::UHUGEINT) >> 11)::DOUBLE / 9007199254740992.0::DOUBLE AS u FROM s0 WHERE id >= 0)"""
 
 
-@query(f"WITH {STREAM} SELECT id::BIGINT AS id, u AS value FROM u WHERE id < {N_RANDOM}")
+def drawn(spark, sf_dir, draws: streams.Draws) -> DataFrame:
+    return streams.attach(read(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"], draws, SEED)[0]
+
+
+@query(f"WITH {STREAM} SELECT c_custkey, u AS value FROM u JOIN c USING (id)")
 def rng_uniform(spark, sf_dir):
-    return rng.frame(spark, N_RANDOM, "uniform", SEED)
+    return drawn(spark, sf_dir, streams.uniform())
+
 
+NORMAL = "p AS (SELECT a.id, sqrt(-2 * ln(a.u)) AS r, 2 * pi() * b.u AS t FROM u a JOIN u b ON b.id = a.id + 1 WHERE a.id % 2 = 0), z AS (SELECT id, r * cos(t) AS z FROM p UNION ALL SELECT id + 1, r * sin(t) FROM p)"
 
-@query(f"WITH {STREAM}, p AS (SELECT a.id, sqrt(-2 * ln(a.u)) AS r, 2 * pi() * b.u AS t FROM u a JOIN u b ON b.id = a.id + 1 WHERE a.id % 2 = 0) SELECT id::BIGINT AS id, round(1 + 2 * r * cos(t), 6) AS value FROM p WHERE id < {N_RANDOM} UNION ALL SELECT (id + 1)::BIGINT, round(1 + 2 * r * sin(t), 6) FROM p WHERE id < {N_RANDOM}")
+
+@query(f"WITH {STREAM}, {NORMAL} SELECT c_custkey, round(1 + 2 * z, 6) AS value FROM z JOIN c USING (id)")
 def rng_gaussian(spark, sf_dir):
-    return rng.frame(spark, N_RANDOM, "gaussian", SEED, mean=1.0, sd=2.0).select("id", F.round("value", 6).alias("value"))
+    return drawn(spark, sf_dir, streams.gaussian(1.0, 2.0)).select("c_custkey", F.round("value", 6).alias("value"))
 
 
-@query(f"WITH {STREAM} SELECT id::BIGINT AS id, round(-ln(u) / 2, 6) AS value FROM u WHERE id < {N_RANDOM}")
+@query(f"WITH {STREAM} SELECT c_custkey, round(-ln(u) / 2, 6) AS value FROM u JOIN c USING (id)")
 def rng_exponential(spark, sf_dir):
-    return rng.frame(spark, N_RANDOM, "exponential", SEED, rate=2.0).select("id", F.round("value", 6).alias("value"))
+    return drawn(spark, sf_dir, streams.exponential(2.0)).select("c_custkey", F.round("value", 6).alias("value"))
 
 
-@query(f"WITH {STREAM} SELECT id::BIGINT AS id, CASE WHEN u < 0.3 THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM u WHERE id < {N_RANDOM}")
+@query(f"WITH {STREAM} SELECT c_custkey, CASE WHEN u < 0.3 THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM u JOIN c USING (id)")
 def rng_bernoulli(spark, sf_dir):
-    return rng.frame(spark, N_RANDOM, "bernoulli", SEED, p=0.3)
+    return drawn(spark, sf_dir, streams.bernoulli(0.3))
 
 
 #: A draw takes as many uniforms as its product needs to fall to exp(-4); k counts the factors beyond the first.
-POISSON = f"""RECURSIVE p AS (SELECT 0 AS id, -1 AS k, 1.0::DOUBLE AS product, {SEED}::UHUGEINT AS s UNION ALL
+POISSON = f"""RECURSIVE c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS id FROM customer), p AS (SELECT 0 AS id, -1 AS k, 1.0::DOUBLE AS product, {SEED}::UHUGEINT AS s UNION ALL
  SELECT CASE WHEN product > exp(-4.0) THEN id ELSE id + 1 END, CASE WHEN product > exp(-4.0) THEN k + 1 ELSE 0 END, CASE WHEN product > exp(-4.0) THEN product ELSE 1.0 END
   * (((n * 2685821657736338717::UHUGEINT % 18446744073709551616::UHUGEINT) >> 11)::DOUBLE / 9007199254740992.0::DOUBLE), n
  FROM (SELECT id, k, product, xor(b, b >> 27) AS n FROM (SELECT id, k, product, xor(a, (a * 33554432) % 18446744073709551616::UHUGEINT) AS b
-  FROM (SELECT id, k, product, xor(s, s >> 12) AS a FROM p WHERE id < {N_RANDOM}))))"""
+  FROM (SELECT id, k, product, xor(s, s >> 12) AS a FROM p WHERE id < (SELECT count(*) FROM customer)))))"""
 
 
-@query(f"WITH {POISSON} SELECT id::BIGINT AS id, max(k)::DOUBLE AS value FROM p WHERE id < {N_RANDOM} GROUP BY id")
+@query(f"WITH {POISSON} SELECT c_custkey, k AS value FROM (SELECT id, max(k)::DOUBLE AS k FROM p GROUP BY id) JOIN c USING (id)")
 def rng_poisson(spark, sf_dir):
-    return rng.frame(spark, N_RANDOM, "poisson", SEED, rate=4.0)
+    return drawn(spark, sf_dir, streams.poisson(4.0))
+
+
+@query(f"WITH {STREAM}, {NORMAL} SELECT c_custkey, round(c_acctbal + 100 * z, 4) AS noisy FROM z JOIN c USING (id) JOIN customer USING (c_custkey)")
+def noisy_balance(spark, sf_dir):
+    """A column with noise of the serial stream."""
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return streams.attach(rows, ["c_custkey"], streams.gaussian(0.0, 100.0), SEED)[0].select("c_custkey", F.round(F.col("c_acctbal") + F.col("value"), 4).alias("noisy"))
 
 
 # Streaming's statistics on the table as a batch

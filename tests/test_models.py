@@ -4,7 +4,8 @@ import math
 import numpy as np
 import pytest
 
-from quernel.functions.rng import Rng, rings
+from quernel.functions.rng import Rng
+from quernel.functions.streams import rings
 from quernel.models import nn, tape
 from quernel.models.networks import GPT, MLP, GPTConfig
 from quernel.models.tape import Tensor
@@ -127,7 +128,7 @@ def test_gpt_memorizes():
 def points(spark, n=120):
     from pyspark.sql import functions as F
 
-    return rings(spark, n, 3).select("id", F.array("x1", "x2").alias("x"), "label")
+    return rings(spark.range(n), ["id"], 3).select("id", F.array("x1", "x2").alias("x"), "label")
 
 
 def test_distributed_gradient_equals_local(spark):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quernel.functions import neural, rng
+from quernel.functions import neural, rng, streams
 from quernel.functions.rng import Rng
 from quernel.functions.tokenizer import CharTokenizer, split_chars, train_val_split, windows
 from quernel.operators import decoding, linalg, stats
@@ -127,10 +127,7 @@ def test_jump_and_partitions(spark):
     r = Rng(42)
     serial = [r.uniform() for _ in range(1000)]
     assert rng.jump(Rng(42).state, 1000) == r.state
-    for n in (1, 7):
-        assert [x.value for x in rng.frame(spark, 1000, "uniform", 42, partitions=n).orderBy("id").collect()] == serial
-    with pytest.raises(ValueError):
-        rng.frame(spark, 1, "cauchy")
+    assert [x.value for x in streams.frame(spark, 1000, "uniform", 42).orderBy("id").collect()] == serial
 
 
 def test_moments_of_one_stream():
@@ -193,7 +190,7 @@ def test_linear_regression(spark):
 
 
 def test_logistic_regression(spark):
-    df = rng.clusters(spark, 400, 7).coalesce(2)
+    df = streams.clusters(spark.range(400), ["id"], 7).coalesce(2)
     model = LogisticRegression().fit(df, ["x1", "x2"], "y", lr=0.1, epochs=40)
     assert model.accuracy(df, "y") > 0.95
     p = model.predict_proba(df).agg(F.min("probability"), F.max("probability")).first()
@@ -203,7 +200,7 @@ def test_logistic_regression(spark):
 
 
 def test_partitioning_does_not_matter(spark):
-    df = rng.noisy_line(spark, 300, 5)
+    df = streams.noisy_line(spark.range(300), ["id"], 5)
     fits = [LinearRegression().fit_normal_equation(df.repartition(n), ["x"], "y").weights for n in (1, 4, 16)]
     assert np.allclose(fits[0], fits[1]) and np.allclose(fits[0], fits[2])
 
