@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quernel.llm.common import components, small, table, text_batches
 
 MINS, LANES = 64, 64
-TREES, FIRST, DEPTH, LEAF = 24, 3, 6, 48
+TREES, FIRST, DEPTH, LEAF = 24, 3, 5, 48
 #: Lanes that agree from which a vertex belongs to a pivot and is no pivot itself.
 CLOSE = 60
 #: Vertices of a block, and columns of a matrix product.
