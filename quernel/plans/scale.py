@@ -130,4 +130,25 @@ def transformer_block(spark, sf_dir):
     return _rounded(out, "x", 5)
 
 
+BYTES = "((floor(x * 64)::BIGINT % 256) + 256) % 256"
+
+
+@query(f"""WITH {V}, b AS (SELECT vec_id, list_transform(v, lambda x: {BYTES}) AS b FROM v)
+SELECT vec_id AS row_id, md5(array_to_string(list_transform(v, lambda x: floor(x * 1048576)::BIGINT), ',')) AS floats, md5(array_to_string(b, ',')) AS bytes, coalesce(label, 255)::INTEGER AS label FROM v JOIN b USING (vec_id)""")
+def binary_round_trip(spark, sf_dir):
+    """Embeddings written in both binary layouts, by as many tasks as the session shuffles to, and read back by byte ranges of 16 KB."""
+    from quernel.sources import binary
+    from quernel.session import shared_folder
+
+    folder = shared_folder(spark, "binary")
+    rows = vectors(spark, sf_dir).select(F.col("vec_id").alias("row_id"), "v", F.coalesce("label", F.lit(255)).alias("label"))
+    binary.save(rows, f"{folder}/floats", (64,))
+    binary.save(rows.withColumn("v", F.transform("v", lambda x: F.pmod(F.floor(x * 64), F.lit(256)))), f"{folder}/images", (8, 8), "idx")
+    binary.save(rows.withColumn("v", F.array("label")), f"{folder}/labels", (1,), "idx")
+    floats = binary.load(spark, f"{folder}/floats", split=1 << 14).select("row_id", "v")
+    images = binary.load(spark, f"{folder}/images", "idx", labels=f"{folder}/labels", split=1 << 14).select("row_id", F.col("v").alias("b"), "label")
+    text = lambda x: F.md5(F.array_join(x.cast("array<string>"), ",").cast("binary"))
+    return floats.join(images, "row_id").select("row_id", text(F.transform("v", lambda x: F.floor(x.cast("double") * 1048576))).alias("floats"), text(F.col("b")).alias("bytes"), "label")
+
+
 __all__ = ["QUERIES", "SQL"]

@@ -1,66 +1,14 @@
-"""IDX files of images and labels: big-endian headers, bytes as pixels. Pixels come as values from 0 to 1."""
+"""IDX files of images and labels: big-endian headers, bytes as pixels. Pixels come as values from 0 to 1. Files are read by ranges (quernel.sources.binary)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: What the two kinds of files begin with.
-IMAGES, LABELS = 0x803, 0x801
-#: Images of a row that is dealt to a task.
-SLICE = 4096
-
-
-def _dims(content: bytes, magic: int, n: int) -> tuple[int, ...]:
-    if len(content) < 4 + 4 * n:
-        raise ValueError("the file is too short")
-    found, *dims = np.frombuffer(content, ">u4", 1 + n).tolist()
-    if found != magic:
-        raise ValueError(f"begins with {found:#x}, not {magic:#x}")
-    return tuple(dims)
-
-
-def images(content: bytes) -> np.ndarray:
-    n, rows, cols = _dims(content, IMAGES, 3)
-    body = np.frombuffer(content, np.uint8, offset=16)
-    if len(body) < n * rows * cols:
-        raise ValueError("the file is too short")
-    return body[: n * rows * cols].reshape(n, rows * cols)
-
-
-def labels(content: bytes) -> np.ndarray:
-    (n,) = _dims(content, LABELS, 1)
-    body = np.frombuffer(content, np.uint8, offset=8)
-    if len(body) < n:
-        raise ValueError("the file is too short")
-    return body[:n]
-
-
-def read(spark: SparkSession, image_path: str, label_path: str, max_items: int = 0) -> DataFrame:
-    """(id long, image array<double>, label int); max_items 0: all. Spark reads the files, so any store will do; a file is one row, as the format has no splits.
-    Each path names one file: which labels belong to which images isn't in the files.
-    """
-
-    def one(path: str, name: str) -> DataFrame:
-        found = spark.read.format("binaryFile").load(path)
-        if len(found.inputFiles()) != 1:
-            raise ValueError(f"{path} isn't one file")
-        return found.selectExpr(f"content AS {name}")
-
-    both = one(image_path, "x").crossJoin(one(label_path, "y"))
+from quernel.sources import binary
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for x, y in zip(f.x, f.y):
-                pixels, own = images(x), labels(y)
-                if len(pixels) != len(own):
-                    raise ValueError(f"{len(pixels)} images and {len(own)} labels")
-                n = min(len(own), max_items) if max_items else len(own)
-                for k in range(0, n, SLICE):
-                    part = pixels[k : min(k + SLICE, n)] / 255.0
-                    yield pd.DataFrame({"id": np.arange(k, k + len(part)), "image": list(part), "label": own[k : k + len(part)].astype(np.int32)})
 
-    return both.mapInPandas(run, "id long, image array<double>, label int")
+def read(spark: SparkSession, image_path: str, label_path: str, max_items: int = 0, split: int = binary.SPLIT) -> DataFrame:
+    """(id long, image array<double>, label int); max_items 0: all. A task reads split bytes of images, and the labels that belong to them."""
+    rows = binary.load(spark, image_path, "idx", labels=label_path, max_items=max_items, split=split)
+    return rows.select(F.col("row_id").alias("id"), F.transform("v", lambda x: x / F.lit(255.0)).alias("image"), "label")
