@@ -1,16 +1,21 @@
 """Near-duplicate embeddings by NN-descent, among vectors of one label.
 
 Equal vectors of a label are one vertex. Lists of each vertex's K best neighbours start from random hyperplane buckets and are refined by joining
-the neighbours, forward and backward, of each vertex with one another. Edges at the threshold, confirmed in double precision, give components.
-An audit compares a sample of vertices with all, which grows until it has seen LINKS links; while it misses links, rounds with new hyperplanes go on,
-and what still fails after ROUNDS is compared exactly, stripe by stripe. A list is saturated
-where a vertex may have more links than K: such vertices of a label are compared with one another stripe by stripe, as far as they are in several
+the neighbours, forward and backward, of each vertex with one another. A list is saturated where all of it may be links: it is then allowed twice as many, up to MOST, and
+refined again. Edges at the threshold, confirmed in double precision, give components.
+
+An audit compares AUDIT vertices of each size class with all of their groups: linear work, whatever the links. A class passes where the lists had RECALL of the links that it shows (none missed of L
+seen: a recall of 1 - 3 / L at 95 %); where it shows fewer than LINKS, rounds are what counts, and LEAST of them are done. While a class fails, rounds with new hyperplanes go on; only one that still fails after ROUNDS,
+by links that were missed, is compared exactly, stripe by stripe. The audit's figures are logged and returned in report.
+
+What lists dropped while they were saturated is the cap's rest, which has an exact way: such vertices of a label are compared with one another stripe by stripe, as far as they are in several
 components, and what links two of these joins them. Within a component every list is enlarged to all its members, compared block by block; only
 counts leave the blocks, so a large group of near-copies costs no row for each of its pairs.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from functools import reduce
 
@@ -21,8 +26,8 @@ from pyspark.sql import functions as F
 
 from quernel.llm.common import components, table
 
-K, TABLES, CHUNK, OVERLAP, PER_BUCKET = 10, 8, 96, 24, 5
-ITERATIONS, ROUNDS, AUDIT, LINKS, RECALL = 2, 4, 256, 1000, 0.999
+K, MOST, TABLES, CHUNK, OVERLAP, PER_BUCKET = 10, 40, 8, 96, 24, 5
+ITERATIONS, LEAST, ROUNDS, AUDIT, LINKS, RECALL = 2, 2, 5, 256, 30, 0.995
 #: Vectors are searched as bytes; what may reach the threshold within their error is confirmed.
 MARGIN = 0.03
 REVERSE, BLOCK = 48, 512
@@ -88,16 +93,19 @@ def buckets(vertices: DataFrame, round_: int) -> DataFrame:
     return vertices.select("id", "dim", "q", "n", "group").mapInArrow(run, "key long, place double, id long, q binary")
 
 
-def best_of(ids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_of(ids: np.ndarray, q: np.ndarray, k: np.ndarray, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each row's k most similar others, above its floor: (v, u, sim)."""
     x = q.astype(np.float32)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     s = x @ x.T
     s[ids[:, None] == ids[None, :]] = -2
-    k = min(k, len(ids) - 1)
-    top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    most = min(int(k.max()), len(ids) - 1)
+    top = np.argpartition(-s, most - 1, axis=1)[:, :most]
     sim = np.take_along_axis(s, top, 1)
-    keep = sim > (floor[:, None] if floor is not None else -1.5)
+    if most > k.min():
+        order = np.argsort(-sim, axis=1, kind="stable")
+        top, sim = np.take_along_axis(top, order, 1), np.take_along_axis(sim, order, 1)
+    keep = (sim > (floor[:, None] if floor is not None else -1.5)) & (np.arange(most) < k[:, None])
     i, j = np.nonzero(keep)
     return ids[i], ids[top[i, j]], sim[i, j].astype(np.float64)
 
@@ -110,13 +118,13 @@ def edge_batch(v, u, sim) -> pa.RecordBatch:
 
 
 def first_lists(placed: DataFrame) -> DataFrame:
-    """Buckets in the order of a further projection, compared within a window that slides by CHUNK."""
+    """Buckets in the order of a further projection, compared within a window that slides by CHUNK. Tasks hold ranges of that order, so a bucket that many share goes over several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, rows = None, [], []
 
         def flushed():
-            return edge_batch(*best_of(np.array(ids), np.frombuffer(b"".join(rows), np.int8).reshape(len(rows), -1), PER_BUCKET))
+            return edge_batch(*best_of(np.array(ids), np.frombuffer(b"".join(rows), np.int8).reshape(len(rows), -1), np.full(len(ids), PER_BUCKET)))
 
         for batch in batches:
             if not batch.num_rows:
@@ -134,25 +142,37 @@ def first_lists(placed: DataFrame) -> DataFrame:
         if len(ids) > 1:
             yield flushed()
 
-    return placed.repartition("key").sortWithinPartitions("key", "place", "id").mapInArrow(run, EDGES)
+    return table(placed, "buckets").repartitionByRange("key", "place", "id").sortWithinPartitions("key", "place", "id").mapInArrow(run, EDGES)
 
 
-def merged(edges: DataFrame) -> DataFrame:
-    """The K best distinct neighbours of each vertex."""
+def merged(edges: DataFrame, room: DataFrame | None = None) -> DataFrame:
+    """The best distinct neighbours of each vertex: K, or as many as room (v, cap) allows it."""
     rank = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), "u"))
-    return table(edges.groupBy("v", "u").agg(F.max("sim").alias("sim")).withColumn("rank", rank).where(F.col("rank") <= K).drop("rank"), "lists")
+    ranked = edges.groupBy("v", "u").agg(F.max("sim").alias("sim")).withColumn("rank", rank).where(F.col("rank") <= (K if room is None else MOST))
+    if room is not None:
+        ranked = ranked.join(room, "v", "left").where(F.col("rank") <= F.coalesce("cap", F.lit(K))).drop("cap")
+    return table(ranked.drop("rank"), "lists")
+
+
+def saturated(lists: DataFrame, room: DataFrame | None, threshold: float) -> DataFrame:
+    """v, cap: vertices whose lists are full of what may be links."""
+    held = lists.groupBy("v").agg(F.count("*").alias("n"), F.min("sim").alias("low"))
+    held = held.withColumn("cap", F.lit(K)) if room is None else held.join(room, "v", "left").withColumn("cap", F.coalesce("cap", F.lit(K)))
+    return held.where((F.col("n") >= F.col("cap")) & (F.col("low") >= threshold - MARGIN)).select("v", "cap")
 
 
-def refine(lists: DataFrame, vertices: DataFrame) -> DataFrame:
+def refine(lists: DataFrame, vertices: DataFrame, room: DataFrame | None = None) -> DataFrame:
     """One step of NN-descent: the neighbours of each vertex meet one another. Long reverse lists are dealt to chunks that all get the forward list."""
-    last = lists.groupBy("v").agg(F.count("*").alias("n"), F.min("sim").alias("low")).select(F.col("v").alias("id"), F.when(F.col("n") < K, -1.5).otherwise(F.col("low")).alias("low"))
-    told = vertices.select("id", "q").join(last, "id", "left").select("id", "q", F.coalesce("low", F.lit(-1.5)).alias("low"))
+    last = lists.groupBy("v").agg(F.count("*").alias("n"), F.min("sim").alias("low"))
+    last = last.withColumn("cap", F.lit(K)) if room is None else last.join(room, "v", "left").withColumn("cap", F.coalesce("cap", F.lit(K)))
+    last = last.select(F.col("v").alias("id"), "cap", F.when(F.col("n") < F.col("cap"), -1.5).otherwise(F.col("low")).alias("low"))
+    told = vertices.select("id", "q").join(last, "id", "left").select("id", "q", F.coalesce("low", F.lit(-1.5)).alias("low"), F.coalesce("cap", F.lit(K)).alias("cap"))
     told = table(told, "told")
     back = lists.groupBy("u").agg(F.count("*").alias("n")).select(F.col("u").alias("c"), F.ceil(F.col("n") / REVERSE).cast("int").alias("chunks"))
     forward = lists.select(F.col("v").alias("c"), F.col("u").alias("id")).unionByName(lists.select(F.col("v").alias("c"), F.col("v").alias("id")).distinct())
     forward = forward.join(back, "c", "left").select("c", "id", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("chunk"))
     backward = lists.select(F.col("u").alias("c"), F.col("v").alias("id")).join(back, "c").select("c", "id", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"))
-    met = forward.unionByName(backward).distinct().join(told, "id").groupBy("c", "chunk").agg(F.collect_list(F.struct("id", "q", "low")).alias("members"))
+    met = forward.unionByName(backward).distinct().join(told, "id").groupBy("c", "chunk").agg(F.collect_list(F.struct("id", "q", "low", "cap")).alias("members"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,12 +181,12 @@ def refine(lists: DataFrame, vertices: DataFrame) -> DataFrame:
                 for members in batch.column(0).slice(k, 256):
                     m = members.values
                     if len(m) > 2:
-                        out.append(best_of(m.field("id").to_numpy(), joined(m.field("q"), np.int8), K, m.field("low").to_numpy()))
+                        out.append(best_of(m.field("id").to_numpy(), joined(m.field("q"), np.int8), m.field("cap").to_numpy(), m.field("low").to_numpy()))
                 if out:
                     yield edge_batch(*(np.concatenate(x) for x in zip(*out)))
 
     found = met.select("members").mapInArrow(run, EDGES)
-    return merged(lists.unionByName(found))
+    return merged(lists.unionByName(found), room)
 
 
 def confirmed(lists: DataFrame, vertices: DataFrame, threshold: float) -> DataFrame:
@@ -250,13 +270,12 @@ def swept(members: DataFrame, threshold: float) -> DataFrame:
     return out.where("a is not null").select("a", "b")
 
 
-def beyond_lists(lists: DataFrame, vertices: DataFrame, roots: DataFrame, threshold: float) -> DataFrame | None:
-    """Links (a, b) between components that full lists may have had no place for; None where no two components of a group have such lists.
+def beyond_lists(full: DataFrame, vertices: DataFrame, roots: DataFrame, threshold: float) -> DataFrame | None:
+    """Links (a, b) between components that lists once saturated (v) may have had no place for; None where no two components of a group have such lists.
 
-    A list drops an edge only while it has K as good ones, so a link that both its ends have dropped is between two vertices whose lists are full of what may be links.
+    A list drops an edge only while it has as many good ones as it may hold, so a link that both its ends have dropped is between two vertices whose lists were full of what may be links.
     """
-    full = lists.groupBy("v").agg(F.count("*").alias("n"), F.min("sim").alias("low")).where((F.col("n") >= K) & (F.col("low") >= threshold - MARGIN)).select(F.col("v").alias("id"))
-    members = table(rooted(vertices.join(full, "id"), roots), "full")
+    members = table(rooted(vertices.join(full.select(F.col("v").alias("id")), "id"), roots), "full")
     several = members.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("group")
     several = table(several, "several")
     if several.isEmpty():
@@ -264,25 +283,15 @@ def beyond_lists(lists: DataFrame, vertices: DataFrame, roots: DataFrame, thresh
     return swept(table(members.join(several, "group").repartition(members.sparkSession.sparkContext.defaultParallelism), "full"), threshold)
 
 
-def audit(members: DataFrame, threshold: float) -> tuple[dict[int, float], list[DataFrame]]:
-    """members (rooted(), a table()) -> the recall of each size class of groups (they have as many hyperplanes), and the links (a, b) found between roots.
-
-    A class's sample is compared with all vertices of its groups and grows until it has shown LINKS links, or is the whole class, of which then no link is missing: recall 1.
-    """
+def audit(members: DataFrame, threshold: float) -> dict[int, tuple[int, int]]:
+    """members (rooted(), a table()) -> for each size class of groups (they have as many hyperplanes): links that AUDIT vertices or so have, and how many of them lie within components."""
     place = F.shiftrightunsigned(F.xxhash64("id", F.lit(3)), 11) * F.lit(2.0**-53)
-    recall, missing = {}, []
-    for planes, n, dim in members.groupBy(planes_of(F.col("n")).alias("planes")).agg(F.count("*"), F.max("dim")).orderBy("planes").collect():
+    out = {}
+    for planes, n in members.groupBy(planes_of(F.col("n")).alias("planes")).agg(F.count("*")).orderBy("planes").collect():
         part = members.where(planes_of(F.col("n")) == planes)
-        low, rows, seen, same = 0.0, 2 * AUDIT, 0, 0
-        while low < 1 and seen < LINKS:
-            high = min(1.0, low + min(rows, max(1, STRIPE // (8 * dim))) / n)
-            found = against(part, part.where((place >= low) & (place < high)), threshold)
-            told = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("same"), F.lit(0))).first()
-            seen, same, low, rows = seen + told[0], same + told[1], high, rows * 8
-            if told[0] > told[1]:
-                missing.append(found.where("a is not null").select("a", "b"))
-        recall[planes] = 1.0 if low >= 1 or not seen else same / seen
-    return recall, missing
+        found = against(part, part.where(place < min(1.0, AUDIT / n)), threshold)
+        out[planes] = tuple(found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("same"), F.lit(0))).first())
+    return out
 
 
 def link_counts(vertices: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
@@ -310,11 +319,11 @@ def link_counts(vertices: DataFrame, roots: DataFrame, threshold: float) -> Data
     return left.join(right, ["root", "i", "j"]).select("x", "y").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("linked"))
 
 
-def link(df: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+def link(df: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", report: dict | None = None) -> DataFrame:
     """One row for each row: vec_id, n_links long, component_id long (the smallest id reachable), kept boolean.
 
     Rows are compared where labels are equal and not null, and vectors as long. Null, empty or zero vectors and such with null or non-finite components
-    link with nothing. Repeated rows and equal vectors are linked. A null id stays null and is no component's id unless all its ids are null. An empty table gives an empty result.
+    link with nothing. Repeated rows and equal vectors are linked. report, if given, gets what the last audit saw and found for each size class, the rounds, and whether a class was compared exactly. A null id stays null and is no component's id unless all its ids are null. An empty table gives an empty result.
     """
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("x"), F.col(label).alias("label"))
     said = F.concat_ws(",", F.size("x").cast("string"), F.transform("x", lambda x: (x + F.lit(0).cast("float")).cast("string")))
@@ -325,36 +334,46 @@ def link(df: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vector:
     sizes = numbered.groupBy(F.col("label").alias("l"), F.col("dim").alias("d")).agg(F.count("*").alias("n"))
     vertices = as_bytes(numbered).join(sizes, (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d"))).drop("l", "d")
     vertices = table(vertices.withColumn("group", F.xxhash64(F.col("label").cast("string"), "dim")).drop("label"), "vertices")
-    spark, lists = df.sparkSession, None
+    spark, lists, room = df.sparkSession, None, None
     for round_ in range(ROUNDS):
         found = first_lists(buckets(vertices, round_))
-        lists = merged(found if lists is None else lists.unionByName(found))
+        lists = merged(found if lists is None else lists.unionByName(found), room)
         for _ in range(ITERATIONS):
-            lists = refine(lists, vertices)
+            lists = refine(lists, vertices, room)
+        full = table(saturated(lists, room, threshold), "saturated")
+        while not (wider := full.where(F.col("cap") < MOST)).isEmpty():
+            wider = wider.select("v", F.least(F.col("cap") * 2, F.lit(MOST)).alias("cap"))
+            room = table(wider if room is None else room.join(wider, "v", "left_anti").unionByName(wider), "room")
+            lists = refine(lists, vertices, room)
+            full = table(saturated(lists, room, threshold), "saturated")
         links = table(confirmed(lists, vertices, threshold), "links") if round_ == 0 else table(confirmed(lists, vertices, threshold).unionByName(links).distinct(), "links")
         roots = table(components(links), "roots")
-        more = beyond_lists(lists, vertices, roots, threshold)
+        ever = full.select("v") if room is None else full.select("v").unionByName(room.select("v")).distinct()
+        more = beyond_lists(ever, vertices, roots, threshold)
         if more is not None:
             links = table(links.unionByName(more).distinct(), "links")
             roots = table(components(links), "roots")
+        if round_ + 1 < LEAST:
+            continue
         members = table(rooted(vertices, roots).repartition(spark.sparkContext.defaultParallelism), "rooted")
-        recall, missing = audit(members, threshold)
-        failed = [planes for planes, share in recall.items() if share < RECALL]
+        seen = audit(members, threshold)
+        failed = [planes for planes, (n, same) in seen.items() if n >= LINKS and same < RECALL * n]
+        logging.getLogger(__name__).info("audit of round %d: links seen and found by hyperplanes: %s", round_, seen)
         if failed and round_ == ROUNDS - 1:
-            missing.append(swept(members.where(planes_of(F.col("n")).isin(failed)), threshold))
-        if missing:
-            links = table(reduce(DataFrame.unionByName, missing, links).distinct(), "links")
+            links = table(links.unionByName(swept(members.where(planes_of(F.col("n")).isin(failed)), threshold)).distinct(), "links")
             roots = table(components(links), "roots")
+        if report is not None:
+            report.update(audit=seen, rounds=round_ + 1, exact=bool(failed and round_ == ROUNDS - 1))
         if not failed:
             break
     counts = link_counts(vertices, roots, threshold)
     ids = numbered.select("fp", F.col("id").alias("node"), "copies").join(roots, "node", "left").join(counts.withColumnRenamed("id", "node"), "node", "left")
     ids = table(ids.select("fp", F.coalesce("root", "node").alias("root"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "ids")
-    out = rows.select("vec_id", "fp").join(ids, "fp", "left")
-    first = out.where("root is not null").groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    out = out.join(first, "root", "left")
-    component = F.when(F.col("root").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    out = rows.where("fp is not null").select("vec_id", "fp").join(ids, "fp")
+    first = out.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    out = out.join(first, "root").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    # unusable vectors take no part in the joins: they'd meet in one task
+    return out.unionByName(rows.where("fp is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

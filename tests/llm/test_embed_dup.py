@@ -89,24 +89,64 @@ def test_links_beyond_full_lists(spark, monkeypatch):
     assert sorted(i for i in got if got[i].kept) == [0, 24]
 
 
-def test_audit_repairs_what_the_search_misses(spark, monkeypatch):
-    """A search that finds next to nothing, sparse links, and a sample that sees none at first."""
-    monkeypatch.setattr(embed_dup, "AUDIT", 2)
-    monkeypatch.setattr(embed_dup, "first_lists", lambda placed: placed.sparkSession.createDataFrame([], embed_dup.EDGES))
+def test_planted_links_without_an_exhaustive_pass(spark, monkeypatch):
+    """20,000 vectors with 50 planted links a label: the lists find them, the audit adds none and is a small part of all pairs."""
+    compared = []
+    real = embed_dup.against
+
+    def counted(members, picked, threshold):
+        compared.append(members.count() * picked.count())
+        return real(members, picked, threshold)
+
+    monkeypatch.setattr(embed_dup, "against", counted)
     rng = np.random.default_rng(5)
-    rows = [(i, [float(x) for x in rng.standard_normal(16)], 1, "") for i in range(300)]
-    rows += [(300 + i, [x + 0.001 for x in rows[7 * i][1]], 1, "") for i in range(8)]
-    got = {r.vec_id: r for r in embed_dup.link(spark.createDataFrame(rows, SCHEMA)).collect()}
-    links, _ = brute(rows)
-    assert sum(links) >= 16
-    assert [got[i].n_links for i in range(len(rows))] == links
-    assert all(got[300 + i].component_id == got[7 * i].component_id and not got[300 + i].kept for i in range(8))
+    vectors, labels = rng.standard_normal((20_000, 32)).astype(np.float32), np.arange(20_000) % 4
+    pairs = set()
+    for label in range(4):
+        own = rng.permutation(np.flatnonzero(labels == label))[:100].reshape(50, 2)
+        for a, b in own:
+            vectors[b] = vectors[a] + rng.standard_normal(32).astype(np.float32) * 0.25 * rng.random()
+            pairs.add((int(a), int(b)))
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    pairs = {(a, b) for a, b in pairs if unit[a] @ unit[b] >= 0.93}
+    assert len(pairs) > 150
+    report = {}
+    frame = spark.createDataFrame([(i, v.tolist(), int(k), "") for i, (v, k) in enumerate(zip(vectors, labels))], SCHEMA)
+    got = {r.vec_id: r for r in embed_dup.link(frame, report=report).collect()}
+    hit = sum(got[a].component_id == got[b].component_id for a, b in pairs)
+    assert hit >= 0.99 * len(pairs)
+    assert not report["exact"] and report["rounds"] == embed_dup.LEAST
+    assert sum(compared) < 0.05 * 20_000**2 / 4
+    linked = sum(r.n_links for r in got.values())
+    assert 2 * hit <= linked <= 2 * hit + 20
+
+
+def test_lists_are_enlarged(spark):
+    """A vertex whose K places are all taken by what may be links gets room for more, and a further step fills it."""
+    rows = clumps([30])
+    vertices = spark.createDataFrame([(i, v) for i, v, *_ in rows], "id long, v array<double>").selectExpr("id", "1 AS label", "16 AS dim", "v", "1L AS copies")
+    vertices = embed_dup.as_bytes(vertices).selectExpr("id", "dim", "q", "raw", "30L AS n", "7L AS `group`")
+    lists = embed_dup.refine(embed_dup.merged(embed_dup.first_lists(embed_dup.buckets(vertices, 0))), vertices)
+    full = embed_dup.saturated(lists, None, 0.93)
+    assert full.count() == 30 and {r.cap for r in full.collect()} == {embed_dup.K}
+    room = full.selectExpr("v", "20 AS cap").where("v < 10")
+    wider = embed_dup.refine(lists, vertices, room).groupBy("v").count().collect()
+    assert {r["count"] for r in wider if r.v < 10} == {20} and {r["count"] for r in wider if r.v >= 10} == {embed_dup.K}
+
+
+def test_chains_of_clumps(spark, monkeypatch):
+    """Clumps of more vertices than a list holds at first, whose links to one another every list drops."""
+    monkeypatch.setattr(embed_dup, "K", 3)
+    rows = clumps([8, 8, 8], apart=0.3)
+    got = [r for r in embed_dup.link(spark.createDataFrame(rows, SCHEMA)).collect()]
+    links, found = brute(rows)
+    assert {r.component_id for r in got} == {0} and {r.vec_id: r.n_links for r in got} == dict(enumerate(links))
 
 
 def test_a_failed_audit_ends_in_an_exact_comparison(spark, monkeypatch):
     monkeypatch.setattr(embed_dup, "first_lists", lambda placed: placed.sparkSession.createDataFrame([], embed_dup.EDGES))
-    monkeypatch.setattr(embed_dup, "ROUNDS", 1)
-    monkeypatch.setattr(embed_dup, "audit", lambda members, threshold: ({r[0]: 0.5 for r in members.select(embed_dup.planes_of(members.n)).distinct().collect()}, []))
-    rows = clumps([3, 4])
-    got = [r for r in embed_dup.link(spark.createDataFrame(rows, SCHEMA)).collect()]
-    assert {(r.n_links, r.component_id) for r in got} == {(6, 0)}
+    monkeypatch.setattr(embed_dup, "ROUNDS", 2)
+    monkeypatch.setattr(embed_dup, "LINKS", 1)
+    rows, report = clumps([3, 4]), {}
+    got = [r for r in embed_dup.link(spark.createDataFrame(rows, SCHEMA), report=report).collect()]
+    assert {(r.n_links, r.component_id) for r in got} == {(6, 0)} and report["exact"]
