@@ -1,9 +1,10 @@
 """Language identification by cross-parsing: a suffix automaton of each language's text parses a document into longest matches, and the
 language that needs the fewest phrases, against what its own texts need, wins.
 
-Learned on a bounded sample: of each language up to TRAIN_DOCS different texts with the smallest hashes, DOC_CHARS code points of each. The first half of a
-language's letters and spaces, up to TRAIN_CHARS, makes its automaton, and the rest, up to as many, measures the phrases that the language itself needs.
-All automata stand in one table of next states, with a bit for a phrase's start; workers parse many pieces of texts in lockstep. Pieces don't bound matches.
+Learned on a bounded sample of whole rows: of each of the MAX_LANGS most frequent languages up to TRAIN_DOCS different texts of at most DOC_CHARS code points, those with the smallest hashes (a language without
+any such text: its shortest, up to LONG_CHARS). Every other one (of a single text the first half) makes the language's automaton, and the rest measure the phrases that the language itself needs.
+Transitions of all automata are packed in one table by displacement: a state's place plus a symbol is an entry, which counts if it names that state. So they take as many entries as there are
+transitions, some three a letter, however many letters a language has. Workers parse many pieces of texts in lockstep. Pieces don't bound matches.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 
 from quernel.llm.common import text_batches
 
-TRAIN_DOCS, DOC_CHARS, TRAIN_CHARS = 60, 1500, 12_000
+TRAIN_DOCS, DOC_CHARS, LONG_CHARS, MAX_LANGS = 48, 1500, 50_000, 512
 PIECE = 512
 #: Pieces parsed together; bounds a worker's memory.
 BATCH_PIECES = 4096
@@ -73,50 +74,79 @@ class Automaton:
                     link[q] = link[cur] = clone
             last = cur
 
-    def table(self, symbols: int, at: int) -> np.ndarray:
-        """Next states as offsets into a table whose part for this automaton starts at row at; the lowest bit marks a new phrase."""
-        out = np.empty((len(self.next), symbols), np.int32)
-        root = [at * symbols << 1 | 1] * symbols
-        for c, s in self.next[0].items():
-            root[c] = (at + s) * symbols << 1 | 1
-        out[:] = root
-        for i, found in enumerate(self.next):
-            for c, s in found.items():
-                out[i, c] = (at + s) * symbols << 1 | (i == 0)
-        out[:, PAD] = (np.arange(len(self.next)) + at) * symbols << 1
-        return out.ravel()
+
+def displaced(states: list[dict[int, int]], symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packs transitions: place of each state, then, by place + symbol, the state that an entry is of (-1: of none) and where it leads."""
+    n = sum(map(len, states))
+    owner, leads, place = np.full(2 * n + 2 * symbols + 1, -1, np.int32), np.zeros(2 * n + 2 * symbols + 1, np.int32), np.full(len(states), symbols, np.int32)
+    taken, free = bytearray(len(owner)), symbols
+    # the widest first, those of a width one after the other; a state with one transition fits in any free entry
+    width, at = 0, 0
+    for i in sorted(range(len(states)), key=lambda i: -len(states[i])):
+        own = sorted(states[i])
+        if not own:
+            break
+        while taken[free]:
+            free += 1
+        if len(own) != width or len(own) == 1:
+            width, at = len(own), free - own[0]
+        while any(taken[at + c] for c in own):
+            at += 1
+            while at + symbols >= len(taken):
+                more = len(taken)
+                taken += bytes(more)
+                owner, leads = np.concatenate((owner, np.full(more, -1, np.int32))), np.concatenate((leads, np.zeros(more, np.int32)))
+        place[i] = at
+        for c in own:
+            taken[at + c], owner[at + c], leads[at + c] = 1, i, states[i][c]
+    used = int(np.flatnonzero(owner >= 0).max(initial=0)) + symbols + 1
+    owner, leads = (np.concatenate((x[:used], np.full(max(0, used - len(x)), -1, np.int32))) for x in (owner, leads))
+    return place, owner, leads
 
 
 class Model:
-    def __init__(self, samples: dict[str, list[str]], train_chars: int = TRAIN_CHARS):
+    def __init__(self, samples: dict[str, list[str]]):
         """samples: texts by language, in a fixed order."""
         low = letters()
         texts = {lang: [low[code_points(t)] for t in ts] for lang, ts in sorted(samples.items())}
         seen = np.unique(np.concatenate([x for ts in texts.values() for x in ts] or [np.zeros(0, np.uint32)]))
         seen = seen[seen > 0]
-        known = np.zeros(0x110000, np.uint16)
-        known[seen] = np.arange(FIRST, FIRST + len(seen))
+        self.symbols = FIRST + len(seen)
+        self.kind = np.min_scalar_type(self.symbols)
+        known = np.zeros(0x110000, self.kind)
+        known[seen] = np.arange(FIRST, self.symbols)
         #: symbol of each code point
-        self.symbol = np.where(low > 0, np.where(known[low] > 0, known[low], OTHER), SPACE).astype(np.uint16)
-        self.symbols, self.langs, self.roots, parts, at = FIRST + len(seen), [], [], [], 0
-        held: list[np.ndarray] = []
+        self.symbol = np.where(low > 0, np.where(known[low] > 0, known[low], OTHER), SPACE).astype(self.kind)
+        self.langs, roots, held, at = [], [], [], 0
+        states: list[dict[int, int]] = []
+        first: list[np.ndarray] = []
         for lang in texts:
             own = [r for r in map(self.read, samples[lang]) if (r >= OTHER).any()]
             if not own:
                 continue
-            text = np.concatenate(own)
-            # half of it at most, but one letter at least
-            cut = max(min(train_chars, (len(text) + 1) // 2), int(np.argmax(text >= OTHER)) + 1)
-            automaton = Automaton(text[:cut].tolist())
-            parts.append(automaton.table(self.symbols, at))
+            if len(own) == 1:  # the one text in halves, a letter at least in the first
+                cut = max((len(own[0]) + 1) // 2, int(np.argmax(own[0] >= OTHER)) + 1)
+                own = [own[0][:cut], own[0][cut:]]
+            automaton = Automaton(np.concatenate(own[::2]).tolist())
             self.langs.append(lang)
-            self.roots.append(at * self.symbols)
+            roots.append(at)
+            # a phrase begins at the root, whose transitions have a table of their own
+            start = np.full(self.symbols, at, np.int32)
+            for c, s in automaton.next[0].items():
+                start[c] = at + s
+            first.append(start)
+            states += [{}] + [{c: at + s for c, s in found.items()} for found in automaton.next[1:]]
             at += len(automaton.next)
-            held.append(text[cut : cut + train_chars])
-        self.table = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+            held.append(np.concatenate(own[1::2]))
+        self.roots, self.first = np.array(roots, np.int32), np.array(first, np.int32).reshape(len(first), self.symbols)
+        self.place, self.owner, self.leads = displaced(states, self.symbols)
         #: phrases a symbol that each language's own other text needs, one of each added: 1 where nothing is left to measure
         self.need = np.array([(self.phrases([rest])[0, k] + 1) / (len(rest) + 1) for k, rest in enumerate(held)])
 
+    @property
+    def bytes(self) -> int:
+        return sum(x.nbytes for x in (self.symbol, self.first, self.place, self.owner, self.leads))
+
     def read(self, text: str) -> np.ndarray:
         """Symbols of a text, runs of what is no letter as one space."""
         s = self.symbol[code_points(text)]
@@ -131,12 +161,12 @@ class Model:
         until no state changes. So matches run on over the ends of pieces, and the counts are those of one parse from front to back, whatever the pieces.
         """
         out = np.zeros((len(texts), len(self.langs)), np.int64)
-        roots = np.array(self.roots, np.int32)
+        roots = self.roots
         pieces, owner, goes_on = [], [], []
         carry = roots
 
         def parse() -> np.ndarray:
-            block = np.zeros((len(pieces), max(map(len, pieces))), np.uint16)
+            block = np.zeros((len(pieces), max(map(len, pieces))), self.kind)
             for i, p in enumerate(pieces):
                 block[i, : len(p)] = p
             block = np.ascontiguousarray(block.T)
@@ -148,9 +178,16 @@ class Model:
                 state = entry[:, todo]
                 tally = np.zeros_like(state)
                 for row in block if len(todo) == len(pieces) else block[:, todo]:
-                    found = self.table[state + row]
-                    tally += found & 1
-                    state = found >> 1
+                    at = self.place[state] + row
+                    miss = self.owner[at] != state
+                    found = np.where(miss, self.first[:, row], self.leads[at])
+                    if row.all():
+                        tally += miss
+                        state = found
+                    else:  # pieces that have ended stay where they are
+                        live = row != PAD
+                        tally += miss & live
+                        state = np.where(live, found, state)
                 left[:, todo], count[:, todo] = state, tally
                 after = np.where(goes_on[1:], left[:, :-1], entry[:, 1:])
                 todo = 1 + np.flatnonzero((after != entry[:, 1:]).any(0))
@@ -193,18 +230,26 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def learn(df: DataFrame, text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS) -> Model:
-    """Learns from labelled rows: counts them by language, then takes a bounded sample to the driver."""
-    rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
-    if not counts:
+    """Learns from labelled rows: counts them by language, then takes a bounded sample of whole texts to the driver."""
+    rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    rows = rows.withColumns({"h": F.xxhash64("text"), "size": F.length("text")})
+    short = rows.where(F.col("size") <= DOC_CHARS)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.when(F.col("size") <= DOC_CHARS, F.col("h"))).alias("short"))
+    found = {r["lang"]: r["short"] for r in counts.orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    if not found:
         return Model({})
     # about twice as many as needed pass; copies of a text share its hash and are one
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2.0 * train_docs / max(1, n)))]), F.col("lang"))
-    few = rows.where(F.shiftrightunsigned("h", 11) * F.lit(2.0**-53) < share).groupBy("lang", "h").agg(F.first(F.substring("text", 1, DOC_CHARS)).alias("text"))
+    few, none = {k: n for k, n in found.items() if n}, [k for k, n in found.items() if not n]
     samples: dict[str, list[str]] = {}
-    for r in sorted(few.collect(), key=lambda r: (r["lang"], r["h"] % (1 << 64), r["text"])):
-        if len(texts := samples.setdefault(r["lang"], [])) < train_docs:
-            texts.append(r["text"])
+    if few:
+        share = F.try_element_at(F.create_map(*[F.lit(x) for k, n in few.items() for x in (k, min(1.0, 2.0 * train_docs / n))]), F.col("lang"))
+        taken = short.where(F.shiftrightunsigned("h", 11) * F.lit(2.0**-53) < share).groupBy("lang", "h").agg(F.min("text").alias("text"))
+        for r in sorted(taken.collect(), key=lambda r: (r["lang"], r["h"] % (1 << 64))):
+            if len(texts := samples.setdefault(r["lang"], [])) < train_docs:
+                texts.append(r["text"])
+    if none:
+        for r in rows.where(F.col("lang").isin(none) & (F.col("size") <= LONG_CHARS)).groupBy("lang").agg(F.min(F.struct("size", "text")).alias("x")).collect():
+            samples[r["lang"]] = [r["x"]["text"]]
     return Model(samples)
 
 
@@ -213,7 +258,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     Texts are parsed whole, however long. Languages that tie: the first by name. Repeated rows get equal predictions; an empty table stays empty.
     """
-    shipped = df.sparkSession.sparkContext.broadcast(pickle.dumps(model, protocol=5))  # its size is bound by the sample
+    shipped = df.sparkSession.sparkContext.broadcast(pickle.dumps(model, protocol=5))  # some three entries for each letter of the bounded sample, and a table of letters
     kept = df.drop("lang_pred", "score")
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 

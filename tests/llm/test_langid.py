@@ -24,14 +24,15 @@ def slow_phrases(train, text):
     return n
 
 
-def slow_model(model, samples, most):
+def slow_model(model, samples):
     """Training strings and needs, by plain search."""
     trains, needs = [], []
     for lang in model.langs:
-        text = "".join(map(chr, np.concatenate([model.read(t) for t in samples[lang]])))
-        cut = min(most, (len(text) + 1) // 2)
-        trains.append(text[:cut])
-        rest = text[cut : cut + most]
+        read = ["".join(map(chr, model.read(t))) for t in samples[lang]]
+        if len(read) == 1:
+            read = [read[0][: (len(read[0]) + 1) // 2], read[0][(len(read[0]) + 1) // 2 :]]
+        trains.append("".join(read[::2]))
+        rest = "".join(read[1::2])
         needs.append((slow_phrases(trains[-1], rest) + 1) / (len(rest) + 1))
     return trains, needs
 
@@ -43,8 +44,8 @@ def test_predictions_as_by_search(monkeypatch, piece, batch):
     monkeypatch.setattr(langid, "BATCH_PIECES", batch)
     rng = random.Random(3)
     samples = {lang: [make(rng, lang, 60) for _ in range(4)] for lang in ("en", "de")} | {"fr": [make(rng, "fr", 3)]}
-    model = langid.Model(samples, train_chars=700)
-    trains, needs = slow_model(model, samples, 700)
+    model = langid.Model(samples)
+    trains, needs = slow_model(model, samples)
     assert model.need.tolist() == pytest.approx(needs)
     texts = [make(rng, lang, n) + " Ж 12 x" for lang in WORDS for n in (1, 40, 200)] + ["a", samples["en"][0] * 3]
     want = [[slow_phrases(t, "".join(map(chr, model.read(x)))) for t in trains] for x in texts]
@@ -102,3 +103,26 @@ def test_nothing_to_learn_from(spark):
     one = spark.createDataFrame([(1, "some words", "en")], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in langid.identify(frame, langid.learn(one)).collect()] == [("en", 1)]
     assert langid.identify(frame.limit(0), langid.learn(frame.limit(0))).count() == 0
+
+
+def test_large_alphabets():
+    """26 languages of 3000 letters each, which share none: learned and predicted, in some megabytes."""
+    rng = random.Random(1)
+    alphabet = [c for c in map(chr, [*range(0x3400, 0x9FFF), *range(0x20000, 0x2A000), *range(0xAC00, 0xD7A3)]) if c.isalpha()]
+    words = [["".join(own[i : i + 2]) for i in range(0, 3000, 2)] for own in (alphabet[k * 3000 : k * 3000 + 3000] for k in range(26))]
+    assert sum(map(len, words)) == 26 * 1500
+    samples = {f"l{k:02}": ["".join(rng.choice(own) for _ in range(700)) for _ in range(12)] for k, own in enumerate(words)}
+    model = langid.Model(samples)
+    assert model.bytes < 40 << 20 and model.symbols > 60_000
+    texts = ["".join(rng.choice(own) for _ in range(80)) for own in words]
+    assert model.predict(texts)[0] == sorted(samples)
+
+
+def test_languages_of_long_texts_only(spark, monkeypatch):
+    monkeypatch.setattr(langid, "DOC_CHARS", 50)
+    monkeypatch.setattr(langid, "LONG_CHARS", 2000)
+    rng = random.Random(2)
+    rows = [(i, make(rng, "de", 4), "de") for i in range(20)] + [(30 + i, make(rng, "fr", 60 + i), "fr") for i in range(3)] + [(40, make(rng, "en", 5000), "en")]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["de", "fr"]  # en's only text is longer than what is learned from
+    assert model.predict([make(rng, "fr", 30), make(rng, "de", 30)])[0] == ["fr", "de"]
