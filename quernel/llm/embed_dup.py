@@ -5,7 +5,7 @@ the neighbours, forward and backward, of each vertex with one another. A list is
 refined again. Edges at the threshold, confirmed in double precision, give components.
 
 An audit compares AUDIT vertices of each size class with all of their groups: linear work, whatever the links. A class passes where the lists had RECALL of the links that it shows (none missed of L
-seen: a recall of 1 - 3 / L at 95 %); where it shows fewer than LINKS, rounds are what counts, and LEAST of them are done. While a class fails, rounds with new hyperplanes go on; only one that still fails after ROUNDS,
+seen: a recall of 1 - 3 / L at 95 %); where one shows fewer than LINKS, LEAST rounds are done. While a class fails, rounds with new hyperplanes go on; only one that still fails after ROUNDS,
 by links that were missed, is compared exactly, stripe by stripe. The audit's figures are logged and returned in report.
 
 What lists dropped while they were saturated is the cap's rest, which has an exact way: such vertices of a label are compared with one another stripe by stripe, as far as they are in several
@@ -353,8 +353,6 @@ def link(df: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vector:
         if more is not None:
             links = table(links.unionByName(more).distinct(), "links")
             roots = table(components(links), "roots")
-        if round_ + 1 < LEAST:
-            continue
         members = table(rooted(vertices, roots).repartition(spark.sparkContext.defaultParallelism), "rooted")
         seen = audit(members, threshold)
         failed = [planes for planes, (n, same) in seen.items() if n >= LINKS and same < RECALL * n]
@@ -364,7 +362,7 @@ def link(df: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vector:
             roots = table(components(links), "roots")
         if report is not None:
             report.update(audit=seen, rounds=round_ + 1, exact=bool(failed and round_ == ROUNDS - 1))
-        if not failed:
+        if not failed and (round_ + 1 >= LEAST or all(n >= LINKS for n, _ in seen.values())):
             break
     counts = link_counts(vertices, roots, threshold)
     ids = numbered.select("fp", F.col("id").alias("node"), "copies").join(roots, "node", "left").join(counts.withColumnRenamed("id", "node"), "node", "left")

@@ -115,7 +115,7 @@ def test_planted_links_without_an_exhaustive_pass(spark, monkeypatch):
     got = {r.vec_id: r for r in embed_dup.link(frame, report=report).collect()}
     hit = sum(got[a].component_id == got[b].component_id for a, b in pairs)
     assert hit >= 0.99 * len(pairs)
-    assert not report["exact"] and report["rounds"] == embed_dup.LEAST
+    assert not report["exact"] and report["rounds"] <= embed_dup.LEAST
     assert sum(compared) < 0.05 * 20_000**2 / 4
     linked = sum(r.n_links for r in got.values())
     assert 2 * hit <= linked <= 2 * hit + 20
