@@ -1,6 +1,6 @@
 """Quality rules: a table of thresholds compiled into one projection. Spark's own functions only, no join and no shuffle.
 
-Counts of words, characters, symbols, stop words, letters and lines are taken once for each text; each rule bounds the ratio of two counts (or one count) from
+Counts of words, characters, symbols, stop words, capitals and lines are taken once for each text; each rule bounds the ratio of two counts (or one count) from
 below or above. Words that lie in a repeated window are found by sorting the text's windows: equal ones become neighbours, and the places that they start at,
 in order again, give the words that they cover. A text without a repeated window isn't sorted.
 """
@@ -13,9 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm.common import WORD, size_of
+from quernel.llm.common import WORD
 
-SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
 
@@ -37,10 +36,10 @@ RULES = {
     "symbols": ("n_symbols", "n_words", None, 0.1),
     "words_without_letter": ("n_alpha_words", "n_words", 0.7, None),
     "stop_words": ("n_stop_words", "n_words", 0.01, None),
-    "capitals": ("n_capitals", "n_letters", None, 0.5),
+    "capitals": ("n_capitals", "word_chars", None, 0.5),
     "repeated_lines": ("n_dup_lines", "n_lines", None, 0.5),
 }
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_alpha_words", "n_stop_words", "n_letters", "n_capitals", "n_lines")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_alpha_words", "n_stop_words", "n_capitals", "n_lines")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -65,37 +64,34 @@ def covered(windows: Column, width: int) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(let(ordered, neighbours))
 
 
-def n_repeat_words(text: Column, width: int = WINDOW) -> Column:
+def n_repeat_words(words: Column, width: int = WINDOW) -> Column:
     """Words in windows of width words that are found twice or more in the text, the first place included. Windows may overlap."""
+    starts = F.sequence(F.lit(0), F.size(words) - width)
+    windows = F.transform(starts, lambda i: F.concat_ws(" ", *(F.get(words, i + k) for k in range(width))))
+    return F.when(F.size(words) >= width, let(windows, lambda w: covered(w, width))).otherwise(F.lit(0).cast("long"))
 
-    def of(words: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(words) - width)
-        windows = F.transform(starts, lambda i: F.concat_ws(" ", *(F.get(words, i + k) for k in range(width))))
-        return F.when(F.size(words) >= width, let(windows, lambda w: covered(w, width))).otherwise(F.lit(0).cast("long"))
 
-    return let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), of)
-
-
-def counts(text: Column) -> dict[str, Column]:
-    """Every count that a rule may name, as a column of long. Null counts as the empty text."""
+def counts(text: Column) -> Column:
+    """A struct of COUNTS. Null counts as the empty text. Words and lines are taken from the text once."""
     text = F.coalesce(text, F.lit(""))
-    length = F.length(text)
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     alpha = r"(?:^|(?<=[ \t-\r]))[^ \t-\r\p{L}]*+\p{L}"
-    stop = r"(?:^|(?<=[ \t-\r]))(?:" + "|".join(STOP_WORDS) + r")(?![^ \t-\r])"
-    found = {
-        "n_words": size_of(text),
-        "word_chars": F.length(F.translate(text, SPACES, "")),
-        "n_symbols": length - F.length(F.translate(text, SYMBOLS, "")),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
-        "n_repeat_words": n_repeat_words(text),
-        "n_alpha_words": F.regexp_count(text, F.lit(alpha)),
-        "n_stop_words": F.regexp_count(F.lower(text), F.lit(stop)),
-        "n_letters": F.regexp_count(text, F.lit(r"\p{L}")),
-        "n_capitals": F.regexp_count(text, F.lit(r"\p{Lu}")),
-        "n_lines": F.size(lines),
-    }
-    return {k: v.cast("long") for k, v in found.items()}
+
+    def of(words: Column, lines: Column) -> Column:
+        found = {
+            "n_words": F.size(words),
+            "word_chars": total(F.transform(words, lambda w: F.length(w).cast("long"))),
+            "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": n_repeat_words(words),
+            "n_alpha_words": F.regexp_count(text, F.lit(alpha)),
+            "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))),
+            "n_capitals": F.regexp_count(text, F.lit(r"\p{Lu}")),
+            "n_lines": F.size(lines),
+        }
+        return F.struct(*[found[k].cast("long").alias(k) for k in COUNTS])
+
+    return let(F.struct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w"), lines.alias("l")), lambda x: of(x["w"], x["l"]))
 
 
 def fails(rule: tuple[str, str | None, float | None, float | None]) -> Column:
@@ -115,7 +111,10 @@ def judge(df: DataFrame, text: str = "text", rules: dict | None = None) -> DataF
     """
     table = {**BASE, **(RULES if rules is None else rules)}
     kept = df.drop(*[c for c in (*COUNTS, "base_failed", "kept", "failed") if c != text])
-    counted = kept.withColumns(counts(F.col(text)))
+    own = "__counts"
+    while own in kept.columns:
+        own += "_"
+    counted = kept.withColumn(own, counts(F.col(text))).select(*kept.columns, f"{own}.*")
     names = F.array_compact(F.array(*[F.when(fails(rule), F.lit(name)) for name, rule in table.items()]))
     base = reduce(lambda a, b: a | b, [fails(rule) for rule in BASE.values()])
     return counted.withColumns({"failed": names, "base_failed": base}).withColumn("kept", F.size("failed") == 0)
@@ -150,7 +149,7 @@ a AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\
       (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
       coalesce(n, 0)::BIGINT AS n_repeat_words, len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}')))::BIGINT AS n_alpha_words,
       len(list_filter(w, lambda x: regexp_full_match(lower(x), '{"|".join(STOP_WORDS)}')))::BIGINT AS n_stop_words,
-      len(regexp_extract_all(t, '\p{{L}}'))::BIGINT AS n_letters, len(regexp_extract_all(t, '\p{{Lu}}'))::BIGINT AS n_capitals, len(lines)::BIGINT AS n_lines
+      len(regexp_extract_all(t, '\p{{Lu}}'))::BIGINT AS n_capitals, len(lines)::BIGINT AS n_lines
       FROM d JOIN w USING (rid) JOIN l USING (rid) LEFT JOIN c USING (rid))
 SELECT *, ({" OR ".join(fails(r) for r in BASE.values())}) AS base_failed, len(list_filter([{names}], lambda x: x IS NOT NULL)) = 0 AS kept, array_to_string(list_filter([{names}], lambda x: x IS NOT NULL), ',') AS failed FROM a
 """
