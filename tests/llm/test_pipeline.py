@@ -2,7 +2,6 @@ import hashlib
 import random
 import struct
 
-import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -51,9 +50,23 @@ def test_empty(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
-def test_names(name):
-    assert name.isidentifier()
+def test_clashing_columns_and_odd_rows(spark, tmp_path):
+    """Columns with the names that stages use inside, nulls, empty texts, repeated rows and a very long text: every stage but the last gives the columns back as they were."""
+    rng = random.Random(3)
+    extra = ["lang_pred", "score", "n_lines", "n_dropped", "fp", "h", "size", "whole", "words", "n_shingles", "n_tokens", "beside_1", "kept", "copy"]
+    rows = [(i, make(rng, rng.choice(list(WORDS)), 30), "en", "a", 1, *[f"{i}:{c}" for c in extra]) for i in range(20)]
+    rows += [rows[0], (None, None, None, None, None, *[None] * len(extra)), (50, "", None, "a", 0, *extra), (51, make(rng, "de", 30_000), "de", None, 5, *extra)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    docs = spark.createDataFrame(rows, schema)
+    before = {r.doc_id: [r[c] for c in extra] for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), schema)
+        got = docs.collect()
+        assert docs.columns[5:] == extra and all([r[c] for c in extra] == before[r.doc_id] for r in got), name
+        assert {r.doc_id for r in got} >= {*range(20), 51}, name
+    assert corpus_pipeline.token_ids(spark, docs, str(tmp_path)).count() == docs.count()
+    plain = spark.createDataFrame([(1, "The end.", "en", "a"), (2, "The end.", "en", "a")], "doc_id long, text string, lang string, source string")
+    assert corpus_pipeline.lines(spark, plain, str(tmp_path)).columns == plain.columns
 
 
 def test_large_groups_of_copies_keep_one(spark, tmp_path):
