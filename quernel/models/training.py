@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,6 +22,7 @@ from quernel.models import tape
 from quernel.models.networks import GPT, MLP, GPTConfig
 from quernel.models.nn import Adam, clip_grad_norm, cosine_lr
 from quernel.models.tape import Tensor
+from quernel.operators.corpus import TokenCorpus
 from quernel.operators.decoding import SampleConfig, sample_one
 
 #: One partial result: the partition, the loss's sum, the rows, then the gradient of each parameter, flat.
@@ -250,24 +250,26 @@ def numbered(df: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
     return placed.select(*df.columns, (F.col("__below") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).alias("n_th")), base
 
 
-def fit_gpt(chunks: DataFrame, model: GPT, steps: int, batch: int = 16, lr: float = 3e-4, weight_decay: float = 0.01, warmup: int = 0, clip: float = 1.0, seed: int = 1) -> list[float]:
-    """chunks (id long from 0 without gaps, x, y array<int>): each step draws batch chunks, one as often as it is drawn, averages their gradients, clips and steps. Returns the losses."""
-    base = chunks.select("id", "x", "y").persist(StorageLevel.MEMORY_AND_DISK)
-    optimizer, rng, losses = Adam(model.params(), lr, weight_decay=weight_decay), Rng(seed), []
-    try:
-        n = base.count()
-        for step in range(1, steps + 1):
-            optimizer.set_lr(cosine_lr(step, steps, lr, warmup))
-            picked = Counter(int(rng.uniform() * n) for _ in range(batch))
-            times = F.create_map(*[F.lit(x) for pair in sorted(picked.items()) for x in pair])
-            losses.append(gradient(base.where(F.col("id").isin(sorted(picked))).withColumn("times", times[F.col("id")]), model, gpt_loss)[0])
-            clip_grad_norm(model.params(), clip)
-            optimizer.step()
-    finally:
-        base.unpersist()
+def fit_gpt(corpus: TokenCorpus, model: GPT, steps: int, batch: int = 16, lr: float = 3e-4, weight_decay: float = 0.01, warmup: int = 0, clip: float = 1.0, seed: int = 1) -> list[float]:
+    """Each step draws batch windows of the model's length from the joined text, averages their gradients, clips and steps. Returns the losses.
+
+    A step reads the documents that its windows lie in; nothing else is moved but the windows, gradients and parameters.
+    """
+    optimizer, rng, losses, tasks = Adam(model.params(), lr, weight_decay=weight_decay), Rng(seed), [], corpus.base.sparkSession.sparkContext.defaultParallelism
+    for step in range(1, steps + 1):
+        optimizer.set_lr(cosine_lr(step, steps, lr, warmup))
+        drawn = corpus.sample(rng, batch, model.config.block_size).withColumn("times", F.lit(1))
+        losses.append(gradient(drawn.repartition(min(batch, tasks), "id"), model, gpt_loss)[0])
+        clip_grad_norm(model.params(), clip)
+        optimizer.step()
     return losses
 
 
+def sampled_perplexity(corpus: TokenCorpus, model: GPT, chunks: int, rng: Rng) -> float:
+    """exp of the mean loss of random windows."""
+    return perplexity(corpus.sample(rng, chunks, model.config.block_size), model)
+
+
 def gpt_forward(df: DataFrame, model: GPT, ids: str = "ids") -> DataFrame:
     """Adds last_logits array<double>, of the position after the last id; the context is the last block_size ids."""
     shipped, kept = df.sparkSession.sparkContext.broadcast(model), df.drop("last_logits")
@@ -315,4 +317,4 @@ def generate(prompts: DataFrame, model: GPT, n: int, config: SampleConfig, key:
     return prompts.select(key, ids).mapInPandas(run, f"`{key}` {kind}, ids array<int>")
 
 
-__all__ = ["GPT", "GPTConfig", "MLP", "fit_gpt", "fit_groups", "fit_mlp", "fit_mlp_batches", "generate", "gpt_forward", "gpt_losses", "gradient", "numbered", "perplexity", "predict_mlp"]
+__all__ = ["GPT", "GPTConfig", "MLP", "TokenCorpus", "fit_gpt", "fit_groups", "fit_mlp", "fit_mlp_batches", "generate", "gpt_forward", "gpt_losses", "gradient", "numbered", "perplexity", "predict_mlp", "sampled_perplexity"]

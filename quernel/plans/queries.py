@@ -640,7 +640,7 @@ def chunked(spark, sf_dir, width: int = 16) -> DataFrame:
     n = F.size("ids")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.slice("ids", F.lit(1), n - 1).alias("x"), F.slice("ids", F.lit(2), n - 1).alias("y")))
     w = items.where(n > 1).select("item_id", F.explode(F.when(n > width, windows("ids", width)).otherwise(whole)).alias("w"))
-    return w.select((F.col("item_id") * 10000 + F.col("w.start")).alias("id"), F.col("w.x").alias("x"), F.col("w.y").alias("y"))
+    return w.select((F.shiftleft("item_id", 32) + F.col("w.start")).alias("id"), F.col("w.x").alias("x"), F.col("w.y").alias("y"))
 
 
 def small_gpt():
@@ -656,17 +656,41 @@ def gpt_forward(spark, sf_dir):
     return gpt_losses(chunked(spark, sf_dir), small_gpt()).select("id", F.round("loss", 6).alias("loss"))
 
 
+def benchmark_ids(spark, sf_dir) -> DataFrame:
+    """The benchmark's texts as character ids modulo 64."""
+    items = read(spark, sf_dir, "benchmark").where("text <> ''")
+    return items.select("item_id", F.transform(split_chars("text"), lambda c: F.ascii(c) % 64).alias("ids"))
+
+
 @query(None)
 def gpt_train(spark, sf_dir):
-    """Three steps over numbered chunks."""
-    from quernel.models.training import fit_gpt, numbered
+    """Three steps on random windows of the joined texts."""
+    from quernel.models.training import TokenCorpus, fit_gpt
 
-    chunks, base = numbered(chunked(spark, sf_dir), "id")
-    losses = fit_gpt(chunks.select(F.col("n_th").alias("id"), "x", "y"), small_gpt(), 3, batch=8, lr=1e-2)
-    base.unpersist()
+    corpus = TokenCorpus(benchmark_ids(spark, sf_dir), ["item_id"])
+    losses = fit_gpt(corpus, small_gpt(), 3, batch=8, lr=1e-2)
+    corpus.unpersist()
     return spark.createDataFrame(list(enumerate(losses)), "step int, loss double")
 
 
+#: Windows as a serial loop draws them from the joined text of the benchmark: 40 of 64 ids, by the stream of seed 2026.
+DRAWN = """RECURSIVE s0 AS (SELECT -1 AS id, 2026::UHUGEINT AS s UNION ALL SELECT id + 1, xor(b, b >> 27) FROM
+ (SELECT id, xor(a, (a * 33554432) % 18446744073709551616::UHUGEINT) AS b FROM (SELECT id, xor(s, s >> 12) AS a FROM s0 WHERE id < 39))),
+u AS (SELECT id, ((s * 2685821657736338717::UHUGEINT % 18446744073709551616::UHUGEINT) >> 11)::DOUBLE / 9007199254740992.0::DOUBLE AS u FROM s0 WHERE id >= 0),
+t AS (SELECT string_agg(text, '' ORDER BY item_id) AS t FROM benchmark WHERE text <> ''),
+w AS (SELECT id, least(floor(u * (length(t) - 64))::BIGINT, length(t) - 65) AS s, t FROM u, t)"""
+
+
+@query(f"WITH {DRAWN} SELECT id::BIGINT AS id, md5(array_to_string(list_transform(string_split(substring(t, s + 1, 64), ''), lambda c: ascii(c) % 64), ',')) AS x_md5, md5(array_to_string(list_transform(string_split(substring(t, s + 2, 64), ''), lambda c: ascii(c) % 64), ',')) AS y_md5 FROM w")
+def sampled_windows(spark, sf_dir):
+    """Random windows by the offset index: they go over documents, and no window is stored."""
+    from quernel.operators.corpus import TokenCorpus
+
+    out = TokenCorpus(benchmark_ids(spark, sf_dir), ["item_id"]).sample(rng.Rng(2026), 40, 64)
+    text = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), ",").cast("binary"))
+    return out.select("id", text("x").alias("x_md5"), text("y").alias("y_md5"))
+
+
 @query(None)
 def gpt_generate(spark, sf_dir):
     """Whole texts as prompts; the model sees the last ids of each."""

@@ -9,7 +9,7 @@ from quernel.functions.streams import rings
 from quernel.models import nn, tape
 from quernel.models.networks import GPT, MLP, GPTConfig
 from quernel.models.tape import Tensor
-from quernel.models.training import fit_gpt, fit_groups, fit_mlp, fit_mlp_batches, generate, gpt_forward, gpt_loss, gradient, mlp_loss, numbered, perplexity, predict_mlp
+from quernel.models.training import TokenCorpus, fit_gpt, fit_groups, fit_mlp, fit_mlp_batches, generate, gpt_forward, gpt_loss, gradient, mlp_loss, perplexity, predict_mlp, sampled_perplexity
 from quernel.operators.decoding import SampleConfig
 
 
@@ -222,7 +222,9 @@ def test_gpt_over_frames(spark):
     model = GPT(TINY, Rng(7))
     before = perplexity(chunks, model)
     assert before == pytest.approx(math.exp(model.loss([1, 2, 3, 4, 0, 1], [2, 3, 4, 0, 1, 2]).value[0, 0]))
-    losses = fit_gpt(chunks, model, 6, batch=4, lr=0.05)
+    corpus = TokenCorpus(spark.createDataFrame([(0, [1, 2, 3, 4, 0]), (1, []), (2, None), (3, [1, 2, 3, 4, 0] * 6)], "k long, ids array<int>"), ["k"])
+    losses = fit_gpt(corpus, model, 6, batch=4, lr=0.05)
+    assert sampled_perplexity(corpus, model, 5, Rng(1)) < before
     assert losses[-1] < losses[0] and perplexity(chunks, model) < before
     prompts = spark.createDataFrame([(0, [1, 2]), (1, [3])], "id long, ids array<int>")
     out = {r.id: r.ids for r in generate(prompts, model, 9, SampleConfig(0.8, 3, 0.9)).collect()}
@@ -232,29 +234,28 @@ def test_gpt_over_frames(spark):
 
 
 def test_gpt_draws_from_all_partitions(spark, tmp_path, monkeypatch):
-    """Benchmark in many files: chunks are numbered without gaps, and each step's batch is full, a chunk as often as drawn."""
+    """Benchmark in many files: each step's windows are those that a serial loop draws from the joined text."""
     from quernel.models import training
     from quernel.plans import queries
 
     rows = [(i, "".join(chr(97 + (i * 7 + k * k) % 26) for k in range(40))) for i in range(12)]
     spark.createDataFrame(rows, "item_id long, text string").repartition(6).write.parquet(f"{tmp_path}/benchmark.parquet")
-    chunks = queries.chunked(spark, str(tmp_path)).repartition(5)
-    out, base = numbered(chunks, "id")
-    got = out.select("id", "n_th").collect()
-    assert sorted(r.n_th for r in got) == list(range(chunks.count())) and [r.id for r in sorted(got, key=lambda r: r.n_th)] == sorted(r.id for r in got)
-    base.unpersist()
+    text = "".join(t for _, t in rows)
     seen = []
 
     def watched(df, model, loss):
         out = gradient(df, model, loss)
-        seen.append((out[1], {r.id for r in df.select("id").collect()}))
+        seen.append((out[1], [(r.x, r.y) for r in df.orderBy("id").collect()]))
         return out
 
     monkeypatch.setattr(training, "gradient", watched)
     queries.QUERIES["gpt_train"](spark, str(tmp_path)).collect()
     assert [n for n, _ in seen] == [8, 8, 8]
     rng = Rng(1)
-    assert [ids for _, ids in seen] == [{int(rng.uniform() * len(got)) for _ in range(8)} for _ in range(3)]
+    ids = [ord(c) % 64 for c in text]
+    for _, windows in seen:
+        starts = [int(rng.uniform(0.0, len(ids) - 16)) for _ in range(8)]
+        assert windows == [(ids[s : s + 16], ids[s + 1 : s + 17]) for s in starts]
     two = spark.createDataFrame([(0, [1, 2], [2, 3], 3), (1, [4, 0], [0, 1], 1)], "id long, x array<int>, y array<int>, times int")
     model = GPT(TINY, Rng(7))
     mean, n = gradient(two, model, gpt_loss)
@@ -271,9 +272,30 @@ def test_gpt_queries_take_whole_texts(spark, tmp_path):
     for i, t in enumerate(texts):
         c = [ord(x) % 64 for x in t]
         for s in range(max(1, len(c) - 16) if len(c) > 1 else 0):
-            want[i * 10000 + s] = (c[s : s + 16][: len(c) - 1 - s], c[s + 1 : s + 17])
+            want[(i << 32) + s] = (c[s : s + 16][: len(c) - 1 - s], c[s + 1 : s + 17])
     got = {r.id: (r.x, r.y) for r in queries.chunked(spark, str(tmp_path)).collect()}
     assert got == want
     assert {r.id for r in queries.QUERIES["gpt_forward"](spark, str(tmp_path)).collect()} == set(want)
     out = {r.item_id: r.ids for r in queries.QUERIES["gpt_generate"](spark, str(tmp_path)).collect()}
     assert {i: x[:-8] for i, x in out.items()} == {i: [ord(c) % 64 for c in t] for i, t in enumerate(texts) if t}
+
+
+@pytest.mark.parametrize("parts", ["1", "5"])
+def test_windows_of_a_joined_text(spark, parts):
+    """Windows over many documents, over partitions, at the ends, repeated and outside, against the joined list."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    draws = np.random.default_rng(1)
+    docs = [(int(k), [int(x) for x in draws.integers(0, 99, draws.integers(0, 12))]) for k in draws.permutation(60)] + [(100, None)]
+    joined = [x for _, ids in sorted(docs, key=lambda d: d[0]) for x in ids or []]
+    corpus = TokenCorpus(spark.createDataFrame(docs, "k long, ids array<int>").repartition(4), ["k"])
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert corpus.size == len(joined) and corpus.split() == (len(joined) * 9 // 10, len(joined) - len(joined) * 9 // 10)
+    places = [(0, 1), (0, len(joined)), (len(joined) - 3, 10), (5, 40), (5, 40), *((int(s), 25) for s in draws.integers(0, len(joined) - 25, 20))]
+    got = {r.draw: r.ids for r in corpus[places].collect()}
+    assert got == {i: joined[s : s + w] for i, (s, w) in enumerate(places)}
+    assert corpus[[(len(joined), 5)]].count() == 0
+    with pytest.raises(ValueError):
+        corpus.sample(Rng(1), 2, len(joined))
+    assert len(corpus.offsets) > 1 or parts == "1"
+    corpus.unpersist()
