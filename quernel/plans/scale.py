@@ -151,4 +151,21 @@ def binary_round_trip(spark, sf_dir):
     return floats.join(images, "row_id").select("row_id", text(F.transform("v", lambda x: F.floor(x.cast("double") * 1048576))).alias("floats"), text(F.col("b")).alias("bytes"), "label")
 
 
+@query(f"""WITH RECURSIVE {V}, x AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS j FROM v),
+r AS (SELECT 0 AS t, vec_id, j, x, x AS w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS s FROM x UNION ALL
+ SELECT t + 1, vec_id, j, x, w - 0.01 * ((m2 / (1 - 0.9 ** (t + 1))) / (sqrt(s2 / (1 - 0.999 ** (t + 1))) + 1e-8) + 0.01 * w), m2, s2
+ FROM (SELECT *, 0.9 * m + 0.1 * g AS m2, 0.999 * s + 0.001 * g * g AS s2 FROM (SELECT *, x * ((t + 1) % 3 - 1) + 0.1 * (t + 1) AS g FROM r WHERE t < 10)))
+SELECT vec_id, j::BIGINT AS j, round(w, 6) + 0.0 AS w, round(m, 6) + 0.0 AS m FROM r WHERE t = 10""")
+def adam_ten_steps(spark, sf_dir):
+    """Ten steps of Adam with gradients that change, over a bucketed state table of a row for each vector."""
+    from quernel.models.tables import AdamTable
+
+    rows = vectors(spark, sf_dir).select("vec_id", "v")
+    table = AdamTable(rows.select("vec_id", F.col("v").alias("w")), "vec_id", 0.01, weight_decay=0.01)
+    for t in range(1, 11):
+        table.step(rows.select("vec_id", F.transform("v", lambda x: x * (t % 3 - 1) + 0.1 * t).alias("g")))
+    cells = table.state.select("vec_id", F.posexplode(F.arrays_zip("w", "m")).alias("j", "x"))
+    return cells.select("vec_id", F.col("j").cast("long").alias("j"), (F.round("x.w", 6) + 0.0).alias("w"), (F.round("x.m", 6) + 0.0).alias("m"))
+
+
 __all__ = ["QUERIES", "SQL"]
