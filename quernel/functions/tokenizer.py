@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +17,42 @@ def split_chars(text: Column | str) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), ""), lambda x: x != "")
 
 
+#: Lead bytes of characters of two, three and four bytes; any other byte is one by itself, as is a lead byte that the end cuts off.
+CHARACTER = "[\u00c0-\u00df](?s:.)|[\u00e0-\u00ef](?s:..)|[\u00f0-\u00f7](?s:...)|(?s:.)"
+
+
+def split_bytes(raw: Column | str) -> Column:
+    """array<binary>: the characters of UTF-8 bytes as their lead bytes tell, whatever follows these: for text that may be cut or broken. None of an empty or null value.
+
+    Bytes are looked at one by one, as the 256 first code points, by a regular expression that never looks back; all in the JVM.
+    """
+    c = F.col(raw) if isinstance(raw, str) else raw
+    found = F.regexp_extract_all(F.decode(F.coalesce(c, F.lit(b"")), "ISO-8859-1"), F.lit(CHARACTER), F.lit(0))
+    return F.transform(found, lambda x: F.encode(x, "ISO-8859-1"))
+
+
+def points(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts, one after the other, and where each text begins and ends."""
+    said = [t or "" for t in texts]
+    ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, said), np.int64, len(said)))))
+    return np.frombuffer("".join(said).encode("utf-32-le", "surrogatepass"), np.uint32), ends
+
+
 def char_counts(df: DataFrame, text: str) -> DataFrame:
-    return df.select(F.explode(split_chars(text)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    """(token, n): each batch sends a count for each of its characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.bincount(points(batch.column(0).to_pylist())[0])
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([chr(c) for c in at], pa.string()), pa.array(n[at].astype(np.int64))], names=["token", "n"])
+
+    return df.select(text).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def lists(ends: np.ndarray, values: np.ndarray) -> pa.Array:
+    """A column of lists of int."""
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
 
 
 class CharTokenizer:
@@ -27,11 +64,22 @@ class CharTokenizer:
 
     @staticmethod
     def fit(df: DataFrame, text: str, order: str) -> CharTokenizer:
-        """Each character's first place by (order, position), found by a min per character before the one small sort."""
-        # a document's first place of a character is all that matters of it: a row per character and document
-        chars = df.select(F.col(order).alias("o"), split_chars(text).alias("c"))
-        placed = F.transform(F.array_distinct("c"), lambda x: F.struct(F.array_position("c", x).alias("p"), x.alias("token")))
-        seen = chars.select("o", F.inline(placed))
+        """Each character's first place by (order, null first, position): the first of each batch, then a min per character before the one small sort."""
+        kind = df.schema[order].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                best: dict[int, tuple] = {}
+                for o, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if said:
+                        chars, first = np.unique(np.frombuffer(said.encode("utf-32-le", "surrogatepass"), np.uint32), return_index=True)
+                        key = (o is not None, o)
+                        for c, p in zip(chars.tolist(), first.tolist()):
+                            if c not in best or (key, p) < best[c]:
+                                best[c] = (key, p)
+                yield pa.RecordBatch.from_arrays([pa.array([k[1] for k, _ in best.values()], batch.schema.field(0).type), pa.array([p for _, p in best.values()], pa.int32()), pa.array([chr(c) for c in best], pa.string())], names=["o", "p", "token"])
+
+        seen = df.select(F.col(order).alias("o"), F.col(text)).mapInArrow(run, f"o {kind}, p int, token string")
         first = seen.groupBy("token").agg(F.min(F.struct("o", "p")).alias("at"))
         return CharTokenizer(first.select("token", (F.row_number().over(Window.orderBy("at", "token")) - 1).alias("token_id")))
 
@@ -43,23 +91,37 @@ class CharTokenizer:
         return self._tokens
 
     def encode(self, df: DataFrame, text: str, key: str, out: str = "ids") -> DataFrame:
-        """(key, out array<int>); characters that aren't in the vocabulary are left out.
-
-        Ids are looked up by code point in pages of 256, which the optimizer folds into a literal: texts stay whole, with no explode and no shuffle.
-        """
-        pages: dict[int, list[int | None]] = {}
+        """(key, out array<int>); characters that aren't in the vocabulary are left out. A batch's texts are looked up by code point at once."""
+        table = np.full(max(map(ord, self.tokens), default=0) + 2, -1, np.int32)
         for i, token in enumerate(self.tokens):
-            pages.setdefault(ord(token) >> 8, [None] * 256)[ord(token) & 255] = i
-        table = F.from_json(F.lit(json.dumps([pages.get(k) for k in range(max(pages, default=0) + 1)])), "array<array<int>>")
-        lookup = lambda c: F.get(F.get(table, F.shiftright(F.ascii(c), 8)), F.ascii(c).bitwiseAND(255))
-        ids = F.filter(F.transform(split_chars(text), lookup), lambda i: i.isNotNull())
-        return df.select(F.col(key), ids.alias(out))
+            table[ord(token)] = i
+        kind = df.schema[key].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                chars, ends = points(batch.column(1).to_pylist())
+                ids = table[np.minimum(chars, len(table) - 1)]
+                known = ids >= 0
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists(np.concatenate(([0], np.cumsum(known)))[ends], ids[known])], names=[key, out])
+
+        return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, `{out}` array<int>")
 
     def decode(self, df: DataFrame, ids: str, key: str, out: str = "text") -> DataFrame:
-        """(key, out); ids that aren't in the vocabulary are left out."""
-        table = F.from_json(F.lit(json.dumps(self.tokens)), "array<string>")
-        # joining leaves nulls out
-        return df.select(F.col(key), F.array_join(F.transform(F.col(ids), lambda i: F.get(table, i)), "").alias(out))
+        """(key, out); ids that aren't in the vocabulary, and nulls, are left out."""
+        table = np.array([ord(t) for t in self.tokens] or [0], np.uint32)
+        n, kind = len(self.tokens), df.schema[key].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                column = batch.column(1)
+                flat = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+                known = (flat >= 0) & (flat < n)
+                sizes = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+                at = np.concatenate(([0], np.cumsum(known)))[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+                said = table[flat[known]].tobytes().decode("utf-32-le", "surrogatepass")
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([said[a:b] for a, b in zip(at, at[1:])], pa.string())], names=[key, out])
+
+        return df.select(key, ids).mapInArrow(run, f"`{key}` {kind}, `{out}` string")
 
     @property
     def vocab_size(self) -> int:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from quernel.operators import selection, tsqr
+from quernel.functions.tokenizer import split_bytes
+from quernel.operators import moments, selection, tsqr
 from quernel.operators.attention import attention
 from quernel.operators.matrix import Mat
 from quernel.plans.queries import QUERIES, SERIES, SQL, V, as_cells, query, read, vectors
@@ -168,4 +169,31 @@ def adam_ten_steps(spark, sf_dir):
     return cells.select("vec_id", F.col("j").cast("long").alias("j"), (F.round("x.w", 6) + 0.0).alias("w"), (F.round("x.m", 6) + 0.0).alias("m"))
 
 
+@query(f"WITH {V}, e AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS j FROM v) SELECT a.j::INTEGER AS i, b.j::INTEGER AS j, round(covar_samp(a.x, b.x), 6) + 0.0 AS v FROM e a JOIN e b USING (vec_id) GROUP BY a.j, b.j")
+def covariance_wide(spark, sf_dir):
+    """All 64 x 64 covariances, one block a task."""
+    return moments.covariance_cells(vectors(spark, sf_dir), "v").select("i", "j", (F.round("v", 6) + 0.0).alias("v"))
+
+
+@query(f"WITH {V}, e AS (SELECT unnest(v) AS x, generate_subscripts(v, 1) - 1 AS i FROM v) SELECT i::INTEGER AS i, count(*) AS n, round(avg(x), 6) + 0.0 AS mean, round(var_samp(x), 6) AS variance, round(stddev_samp(x), 6) AS stddev FROM e GROUP BY i")
+def component_moments(spark, sf_dir):
+    out = moments.component_moments(vectors(spark, sf_dir), "v")
+    return out.select("i", "n", (F.round("mean", 6) + 0.0).alias("mean"), F.round("variance", 6).alias("variance"), F.round("stddev", 6).alias("stddev"))
+
+
+#: Each text's bytes without the first doc_id modulo 4 and the last doc_id modulo 3, so that characters are cut at both ends; in SQL as hexadecimal digits.
+HEX = "(?:[0-7].|[89AB].|F[89A-F])|[CD].(?:..)|E.(?:....)|F[0-7](?:......)|.."
+
+
+@query(f"""WITH h AS (SELECT doc_id, substr(hex(encode(text)), 2 * (doc_id % 4) + 1, greatest(0, 2 * (strlen(text) - doc_id % 4 - doc_id % 3))::BIGINT) AS h FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, regexp_extract_all(h, '{HEX}') AS c FROM h) SELECT doc_id, len(c)::BIGINT AS n, len(list_filter(c, lambda x: len(x) > 2))::BIGINT AS longer, md5(array_to_string(c, ',')) AS characters FROM c""")
+def byte_split(spark, sf_dir):
+    """Characters of texts as bytes that are cut anywhere."""
+    docs = read(spark, sf_dir, "documents").where("text is not null")
+    raw, skip, lost = F.encode("text", "UTF-8"), F.col("doc_id") % 4, F.col("doc_id") % 3
+    cut = F.substring(raw, (skip + 1).cast("int"), F.greatest(F.lit(0), F.length(raw) - skip - lost).cast("int"))
+    c = docs.select("doc_id", split_bytes(cut).alias("c"))
+    return c.select("doc_id", F.size("c").cast("long").alias("n"), F.size(F.filter("c", lambda x: F.length(x) > 1)).cast("long").alias("longer"), F.md5(F.array_join(F.transform("c", F.hex), ",").cast("binary")).alias("characters"))
+
+
 __all__ = ["QUERIES", "SQL"]
