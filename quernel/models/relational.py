@@ -1,4 +1,4 @@
-"""A Transformer block over DataFrames: rows of a sequence are rows of a table, so a sequence may be longer than any task holds.
+"""The Transformer over DataFrames: rows of a sequence are rows of a table, so a sequence may be longer than any task holds.
 
 Norms, residuals and the GELU are column expressions; affine maps are one pass over Arrow batches with the weights broadcast, whose size is the model's; attention is by blocks.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernel.functions import neural
+from quernel.models.networks import GPT
 from quernel.operators.attention import BLOCK, SPAN, attention
 
 
@@ -51,3 +52,24 @@ def block(df: DataFrame, weights: dict[str, np.ndarray], heads: int, causal: boo
     wide = affine(after.withColumn("h", norm("x", "ln2")), "h", maps("fc")).drop("h")
     out = affine(wide.withColumn("fc", neural.gelu("fc")), "fc", maps("proj"))
     return out.select("seq", "pos", neural.add("x", "proj").alias("x"))
+
+
+def gpt_logits(df: DataFrame, model: GPT, rows: int = BLOCK, span: int = SPAN) -> DataFrame:
+    """df (seq, pos long, id int) -> (seq, pos, logits array<double>): the model's forward pass with a row for each position. Ids and positions outside of the model are refused."""
+    names, config = model.state(), model.config
+    fits = F.col("id").between(0, config.vocab_size - 1) & F.col("pos").between(0, config.block_size - 1)
+    tables = df.sparkSession.sparkContext.broadcast((names["tok"], names["pos"]))
+    kept = df.where(F.when(fits, F.lit(True)).otherwise(F.raise_error(F.lit("an id or a position outside of the model")))).select("seq", F.col("pos").cast("long").alias("pos"), F.col("id").cast("int").alias("id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, places = tables.value
+        for b in batches:
+            x = tokens[b.column(2).to_numpy()] + places[b.column(1).to_numpy()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))], names=["seq", "pos", "x"])
+
+    out = kept.mapInArrow(run, f"seq {df.schema['seq'].dataType.simpleString()}, pos long, x array<double>")
+    for k in range(config.n_layer):
+        at = f"h{k}."
+        out = block(out, {n.removeprefix(at): w for n, w in names.items() if n.startswith(at)}, config.n_head, rows=rows, span=span)
+    last = neural.layernorm("x", neural.array_of(names["lnf_g"].ravel()), neural.array_of(names["lnf_b"].ravel()))
+    return affine(out.select("seq", "pos", last.alias("x")), "x", {"logits": (names["head"], names["head_b"])}).select("seq", "pos", "logits")

@@ -14,7 +14,7 @@ from quernel.models import nn
 from quernel.operators import decoding, stats
 from quernel.operators.linalg import inverse_rows, solve_rows
 from quernel.operators.matrix import Mat, batch_of, product
-from quernel.operators.regression import LinearRegression, LogisticRegression, gram, lazy_fit
+from quernel.operators.regression import LinearRegression, LogisticRegression, lazy_fit
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -390,8 +390,10 @@ QUERIES["layernorm"] = mapped(lambda v: neural.layernorm(v, F.array_repeat(F.lit
 SQL["layernorm"] = cells_sql("list_transform(v, lambda x: 1.5 * (x - list_avg(v)) / sqrt(list_var_pop(v) + 1e-5) + 0.25)")
 QUERIES["slice_cols"], SQL["slice_cols"] = mapped(lambda v: neural.slice_cols(v, 8, 16)), cells_sql("v[9:24]")
 QUERIES["concat_cols"], SQL["concat_cols"] = mapped(lambda v: neural.concat_cols(neural.slice_cols(v, 0, 4), neural.slice_cols(v, 60, 4))), cells_sql("list_concat(v[1:4], v[61:64])")
-QUERIES["linear_forward"] = mapped(lambda v: neural.linear(neural.slice_cols(v, 0, 3), [[1.0, -2.0], [0.5, 0.25], [3.0, 1.0]], [0.1, -0.1]))
-SQL["linear_forward"] = cells_sql("[v[1] + 0.5 * v[2] + 3 * v[3] + 0.1, -2 * v[1] + 0.25 * v[2] + v[3] - 0.1]")
+#: 64 inputs, 2 outputs: ((3 i + 5 j) mod 7 - 3) / 4, and the biases 0.1 and -0.1.
+LINEAR = [[((3 * i + 5 * j) % 7 - 3) / 4 for j in range(2)] for i in range(64)]
+QUERIES["linear_forward"] = mapped(lambda v: neural.linear(v, LINEAR, [0.1, -0.1]))
+SQL["linear_forward"] = cells_sql("[" + ", ".join(f"list_sum(list_transform(v, lambda x, i: x * ((3 * (i - 1) + {5 * j}) % 7 - 3) / 4.0)) + {bias}" for j, bias in ((0, 0.1), (1, -0.1))) + "]")
 QUERIES["sigmoid"], SQL["sigmoid"] = mapped(lambda v: F.transform(v, neural.sigmoid)), cells_sql("list_transform(v, lambda x: 1 / (1 + exp(-x)))")
 QUERIES["gelu"] = mapped(neural.gelu)
 #: erf by its series, whose terms are below 1e-12 for the components here after 30.
@@ -418,13 +420,14 @@ def cross_entropy_grad(spark, sf_dir):
     return exploded(g, "vec_id").select("vec_id", "j", (F.col("x") + 0.0).alias("x"))
 
 
-TOKENS = "t AS (SELECT e_id, (e_id % 97)::BIGINT AS token_id FROM (SELECT event_id AS e_id FROM events))"
+TOKENS = "t AS (SELECT event_id AS e_id, (event_id % (SELECT count(*) FROM embeddings))::BIGINT AS token_id FROM events)"
 
 
 @query(f"WITH {V}, {TOKENS} SELECT e_id AS event_id, token_id, round(list_sum(v), 6) AS total FROM t JOIN v ON token_id = vec_id")
 def embedding_lookup(spark, sf_dir):
-    tokens = read(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 97).alias("token_id"))
+    """Each event's row of the whole table, event_id modulo its size."""
     table = vectors(spark, sf_dir).select(F.col("vec_id").alias("token_id"), "v")
+    tokens = read(spark, sf_dir, "events").select("event_id", (F.col("event_id") % max(1, table.count())).alias("token_id"))
     return neural.embedding(tokens, table).select("event_id", "token_id", F.round(neural.total("v"), 6).alias("total"))
 
 
@@ -698,6 +701,3 @@ def gpt_generate(spark, sf_dir):
 
     prompts = read(spark, sf_dir, "benchmark").where("text <> ''").select("item_id", F.transform(split_chars("text"), lambda c: F.ascii(c) % 64).alias("ids"))
     return generate(prompts, small_gpt(), 8, decoding.SampleConfig(0.8, 40, 0.9), "item_id")
-
-
-__all__ = ["QUERIES", "SQL", "gram"]

@@ -9,7 +9,7 @@ from quernel.functions.tokenizer import split_bytes
 from quernel.operators import moments, selection, tsqr
 from quernel.operators.attention import attention
 from quernel.operators.matrix import Mat
-from quernel.plans.queries import QUERIES, SERIES, SQL, V, as_cells, query, read, vectors
+from quernel.plans.queries import QUERIES, SERIES, SQL, V, as_cells, benchmark_ids, query, read, small_gpt, vectors
 
 #: Blocks of 32 x 32, so that the tables here have several along every side.
 SIDE = 32
@@ -196,4 +196,67 @@ def byte_split(spark, sf_dir):
     return c.select("doc_id", F.size("c").cast("long").alias("n"), F.size(F.filter("c", lambda x: F.length(x) > 1)).cast("long").alias("longer"), F.md5(F.array_join(F.transform("c", F.hex), ",").cast("binary")).alias("characters"))
 
 
+@query(None)
+def gpt_logits(spark, sf_dir):
+    """The forward pass with a row for each position: all texts of the benchmark in stretches of 16 characters; the loss of the next one."""
+    from quernel.functions import neural
+    from quernel.models.relational import gpt_logits
+
+    ids = benchmark_ids(spark, sf_dir).select("item_id", F.posexplode("ids").alias("p", "id"), "ids")
+    rows = ids.select((F.shiftleft("item_id", 32) + F.floor(F.col("p") / 16)).alias("seq"), (F.col("p") % 16).alias("pos"), "id", F.get("ids", F.col("p") + 1).alias("next"))
+    out = gpt_logits(rows, small_gpt()).join(rows.select("seq", "pos", "next"), ["seq", "pos"]).where("next is not null")
+    return out.select("seq", "pos", F.round(neural.cross_entropy("logits", "next"), 6).alias("loss"))
+
+
+@query(f"WITH {V}, l AS (SELECT label, arg_max(v, vec_id) AS v FROM v GROUP BY label), e AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS j FROM l) SELECT label, j::BIGINT AS j, round(x, 6) + 0.0 AS x FROM e")
+def last_logits(spark, sf_dir):
+    """The last row of each sequence of logits, a sequence being the vectors of a label in the order of vec_id."""
+    last = vectors(spark, sf_dir).groupBy("label").agg(F.max_by("v", "vec_id").alias("v"))
+    cells = last.select("label", F.posexplode("v").alias("j", "x"))
+    return cells.select("label", F.col("j").cast("long").alias("j"), (F.round("x", 6) + 0.0).alias("x"))
+
+
+@query(f"WITH {V}, e AS (SELECT vec_id AS i, unnest(v) AS v, generate_subscripts(v, 1) - 1 AS j FROM v) SELECT i, j::BIGINT AS j, round(CASE WHEN i = 7 AND j = 3 THEN 99.5 ELSE v END, 6) + 0.0 AS v FROM e")
+def mat_put(spark, sf_dir):
+    return as_cells(dense_rows(spark, sf_dir).put(7, 3, 99.5))
+
+
+@query("SELECT l_orderkey::DOUBLE AS l_orderkey, l_linenumber::DOUBLE AS l_linenumber, l_quantity::DOUBLE AS l_quantity, l_discount::DOUBLE AS l_discount FROM lineitem")
+def csv_round_trip(spark, sf_dir):
+    """Numeric columns written as CSV with a header, and read back strictly."""
+    from quernel.session import shared_folder
+    from quernel.sources import csv
+
+    path = f"{shared_folder(spark, 'csv')}/lineitem"
+    read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount").write.option("header", True).csv(path)
+    return csv.read(spark, path)
+
+
+@query("SELECT vec_id::VARCHAR AS name, len(embedding)::BIGINT AS cols, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) + 0.0 AS total FROM embeddings")
+def matrix_round_trip(spark, sf_dir):
+    """Named matrices, one a vector, saved and loaded as cells."""
+    from quernel.session import shared_folder
+    from quernel.sources import params
+
+    path = f"{shared_folder(spark, 'params')}/p"
+    cells = vectors(spark, sf_dir).select(F.col("vec_id").cast("string").alias("name"), F.lit(0).cast("long").alias("i"), F.posexplode("v").alias("j", "value"))
+    params.save(cells.withColumn("j", F.col("j").cast("long")), path)
+    back = params.load(spark, path)
+    return params.shapes(back).join(back.groupBy("name").agg((F.round(F.sum("value"), 6) + 0.0).alias("total")), "name").select("name", "cols", "total")
+
+
+@query(r"""WITH t AS (SELECT regexp_replace(replace(replace(text, chr(10), ' '), chr(13), ' '), '^[0-9]+\.\.\s*', '') AS line FROM benchmark WHERE text IS NOT NULL UNION ALL SELECT replace(replace(text, chr(10), ' '), chr(13), ' ') FROM documents WHERE text IS NOT NULL)
+SELECT md5(line) AS line_md5, count(*) AS n FROM t GROUP BY 1""")
+def corpus_union(spark, sf_dir):
+    """A numbered corpus cleaned, and another one after it, from text files."""
+    from quernel.session import shared_folder
+    from quernel.sources import text
+
+    folder = shared_folder(spark, "text")
+    line = F.translate("text", "\r\n", "  ").alias("value")
+    for name in ("benchmark", "documents"):
+        read(spark, sf_dir, name).where("text is not null").select(line).write.text(f"{folder}/{name}")
+    return text.cleaned(spark, f"{folder}/benchmark", f"{folder}/documents").groupBy(F.md5("line").alias("line_md5")).agg(F.count("*").alias("n"))
+
+
 __all__ = ["QUERIES", "SQL"]

@@ -84,6 +84,20 @@ def test_block_equals_the_model(spark):
     assert max(np.abs(want[r.pos] - r.x).max() for r in out.collect()) < 1e-12
 
 
+def test_forward_equals_the_model(spark):
+    config = GPTConfig(vocab_size=7, n_embd=8, n_head=2, n_layer=2, block_size=9)
+    model = GPT(config, Rng(3))
+    model.load({n: t.value * 20 for n, t in model.names.items()})
+    rng = np.random.default_rng(5)
+    seqs = {s: rng.integers(0, 7, n).tolist() for s, n in (("a", 9), ("b", 1), ("c", 5))}
+    df = spark.createDataFrame([(s, i, x) for s, ids in seqs.items() for i, x in enumerate(ids)], "seq string, pos long, id int").repartition(3)
+    out = relational.gpt_logits(df, model, rows=4, span=2).collect()
+    want = {s: model.forward(ids).value for s, ids in seqs.items()}
+    assert len(out) == 15 and max(np.abs(want[r.seq][r.pos] - r.logits).max() for r in out) < 1e-12
+    with pytest.raises(Exception, match="outside of the model"):
+        relational.gpt_logits(df.withColumn("pos", F.col("pos") + 1), model).collect()
+
+
 def test_erf_to_the_last_digits(spark):
     x = np.concatenate([np.linspace(-6.5, 6.5, 4001), [0.0, -0.0, 1e-300, 0.46875, 4.0, 26.9, 28.0, np.inf, -np.inf]])
     want = np.array([math.erf(v) for v in x])
