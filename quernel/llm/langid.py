@@ -76,32 +76,29 @@ class Automaton:
 
 
 def displaced(states: list[dict[int, int]], symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packs transitions: place of each state, then, by place + symbol, the state that an entry is of (-1: of none) and where it leads."""
-    n = sum(map(len, states))
-    owner, leads, place = np.full(2 * n + 2 * symbols + 1, -1, np.int32), np.zeros(2 * n + 2 * symbols + 1, np.int32), np.full(len(states), symbols, np.int32)
-    taken, free = bytearray(len(owner)), symbols
-    # the widest first, those of a width one after the other; a state with one transition fits in any free entry
-    width, at = 0, 0
+    """Packs transitions: place of each state, all of them different; then, by place + symbol, the place of the state that an entry is of (0: of none) and where that leads."""
+    size = 2 * sum(map(len, states)) + 2 * symbols + len(states) + 1
+    taken, used, place = bytearray(size), bytearray(size), [0] * len(states)
+    # the widest first; those of a width go on where the one before was put, so that a width passes over the table once
+    width, at = -1, 1
     for i in sorted(range(len(states)), key=lambda i: -len(states[i])):
         own = sorted(states[i])
-        if not own:
-            break
-        while taken[free]:
-            free += 1
-        if len(own) != width or len(own) == 1:
-            width, at = len(own), free - own[0]
-        while any(taken[at + c] for c in own):
+        if len(own) != width:
+            width, at = len(own), 1
+        while used[at] or any(taken[at + c] for c in own):
             at += 1
             while at + symbols >= len(taken):
-                more = len(taken)
-                taken += bytes(more)
-                owner, leads = np.concatenate((owner, np.full(more, -1, np.int32))), np.concatenate((leads, np.zeros(more, np.int32)))
-        place[i] = at
+                taken += bytes(len(taken))
+                used += bytes(len(used))
+        place[i], used[at] = at, 1
         for c in own:
-            taken[at + c], owner[at + c], leads[at + c] = 1, i, states[i][c]
-    used = int(np.flatnonzero(owner >= 0).max(initial=0)) + symbols + 1
-    owner, leads = (np.concatenate((x[:used], np.full(max(0, used - len(x)), -1, np.int32))) for x in (owner, leads))
-    return place, owner, leads
+            taken[at + c] = 1
+    n = max(place, default=0) + symbols + 1
+    owner, leads = np.zeros(n, np.int32), np.zeros(n, np.int32)
+    for i, found in enumerate(states):
+        for c, s in found.items():
+            owner[place[i] + c], leads[place[i] + c] = place[i], place[s]
+    return np.array(place, np.int32), owner, leads
 
 
 class Model:
@@ -138,14 +135,15 @@ class Model:
             states += [{}] + [{c: at + s for c, s in found.items()} for found in automaton.next[1:]]
             at += len(automaton.next)
             held.append(np.concatenate(own[1::2]))
-        self.roots, self.first = np.array(roots, np.int32), np.array(first, np.int32).reshape(len(first), self.symbols)
-        self.place, self.owner, self.leads = displaced(states, self.symbols)
+        place, self.owner, self.leads = displaced(states, self.symbols)
+        # states go by their places from here on
+        self.roots, self.first = place[np.array(roots, np.int64)], place[np.array(first, np.int64).reshape(len(first), self.symbols)]
         #: phrases a symbol that each language's own other text needs, one of each added: 1 where nothing is left to measure
         self.need = np.array([(self.phrases([rest])[0, k] + 1) / (len(rest) + 1) for k, rest in enumerate(held)])
 
     @property
     def bytes(self) -> int:
-        return sum(x.nbytes for x in (self.symbol, self.first, self.place, self.owner, self.leads))
+        return sum(x.nbytes for x in (self.symbol, self.first, self.owner, self.leads))
 
     def read(self, text: str) -> np.ndarray:
         """Symbols of a text, runs of what is no letter as one space."""
@@ -177,17 +175,18 @@ class Model:
             while len(todo):
                 state = entry[:, todo]
                 tally = np.zeros_like(state)
-                for row in block if len(todo) == len(pieces) else block[:, todo]:
-                    at = self.place[state] + row
-                    miss = self.owner[at] != state
-                    found = np.where(miss, self.first[:, row], self.leads[at])
-                    if row.all():
-                        tally += miss
-                        state = found
-                    else:  # pieces that have ended stay where they are
+                part = block if len(todo) == len(pieces) else block[:, todo]
+                for row, whole in zip(part, part.all(1).tolist()):
+                    at = state + row
+                    miss = self.owner.take(at) != state
+                    found = self.leads.take(at)
+                    np.copyto(found, self.first.take(row, 1), where=miss)
+                    if not whole:  # pieces that have ended stay where they are
                         live = row != PAD
-                        tally += miss & live
-                        state = np.where(live, found, state)
+                        miss &= live
+                        np.copyto(found, state, where=~live)
+                    tally += miss
+                    state = found
                 left[:, todo], count[:, todo] = state, tally
                 after = np.where(goes_on[1:], left[:, :-1], entry[:, 1:])
                 todo = 1 + np.flatnonzero((after != entry[:, 1:]).any(0))
