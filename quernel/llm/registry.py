@@ -28,5 +28,6 @@ SQL: dict[str, str] = {
     "op7_minhash_dedup": near_dup.SQL,
     "op8_line_dedup": line_dedup.SQL,
     "op9_embedding_dedup": embed_dup.SQL,
+    "op11_repair": repair.SQL,
     "op13_quality": quality.SQL,
 }

@@ -344,3 +344,35 @@ def repair(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damages and repairs every conversation."""
     return repair(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))).withColumnRenamed("conv", "conv_id")
+
+
+SQL = r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS t),
+ids AS MATERIALIZED (SELECT conv_id, row_number() OVER () AS cid FROM (SELECT DISTINCT conv_id FROM conversations)),
+k AS (SELECT cid, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, t, list_transform(string_split(coalesce(c.conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS bytes
+      FROM conversations c JOIN ids ON c.conv_id IS NOT DISTINCT FROM ids.conv_id, tab),
+d AS (SELECT cid, turn, role, text, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 20 AS kind FROM k),
+e AS (SELECT cid, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM d),
+f AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, sha256(text), copy) - 1 AS i FROM e),
+r AS MATERIALIZED (SELECT cid, i, turn, role, text, left(role, 1) AS c, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY cid, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM f),
+g AS (SELECT cid, i, c, fault IN ('blank', 'duplicate') AS must, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS m FROM r),
+n AS MATERIALIZED (SELECT cid, count(*) AS n FROM r GROUP BY cid),
+t AS MATERIALIZED (SELECT cid, n AS i, [0, 10, 5, 0] AS t FROM n UNION ALL
+ SELECT cid, i, CASE WHEN must THEN [t[1] + 2, t[2] + 2, t[3] + 2, t[4] + 2] ELSE [least(b0, 5 + b2, 10 + b3), least(b1, 5 + b2, 10 + b3), least(b2, 5 + b3), least(b3, 5 + b2)] END
+ FROM (SELECT t.cid, g.i, must, t, least(2 + t[1], 1 + m + t[3], CASE c WHEN 's' THEN m + t[2] WHEN 'u' THEN m + t[3] END) AS b0, least(2 + t[2], 1 + m + t[3], CASE c WHEN 'u' THEN m + t[3] END) AS b1,
+  least(2 + t[3], 1 + m + t[4], CASE c WHEN 'a' THEN m + t[4] END) AS b2, least(2 + t[4], 1 + m + t[3], CASE c WHEN 'u' THEN m + t[3] END) AS b3 FROM t JOIN g ON g.cid = t.cid AND g.i = t.i - 1)),
+a AS MATERIALIZED (SELECT t.cid, t.i, t.t AS cur, u.t AS nxt, g.c, g.must, g.m, r.role, r.text FROM t LEFT JOIN t u ON u.cid = t.cid AND u.i = t.i + 1 LEFT JOIN g ON g.cid = t.cid AND g.i = t.i LEFT JOIN r ON r.cid = t.cid AND r.i = t.i),
+w AS (SELECT cid, 0::BIGINT AS i, 0 AS s, '' AS audit, []::VARCHAR[] AS said, cur[1] > 0 OR nxt IS NOT NULL AS goes FROM a WHERE i = 0 UNION ALL
+ SELECT x.cid, x.i, x.s, audit || edit, CASE edit WHEN 'D' THEN said WHEN 'I' THEN list_append(said, put || ':') WHEN 'K' THEN list_append(said, x.role || ':' || x.text) ELSE list_append(said, put || ':' || x.text) END, b.cur[x.s + 1] > 0 OR b.nxt IS NOT NULL
+ FROM (SELECT cid, audit, said, role, text, put, edit, CASE WHEN edit = 'I' THEN i ELSE i + 1 END AS i, CASE edit WHEN 'D' THEN s WHEN 'K' THEN kept ELSE follows END AS s
+  FROM (SELECT *, CASE WHEN nxt IS NULL THEN 'I' WHEN cur[s + 1] = 2 + nxt[s + 1] THEN 'D' WHEN cur[s + 1] = 5 + cur[follows + 1] THEN 'I' WHEN kept IS NOT NULL AND cur[s + 1] = m + nxt[kept + 1] THEN 'K' ELSE 'R' END AS edit
+   FROM (SELECT w.cid, w.i, w.s, audit, said, cur, nxt, m, role, text, CASE w.s WHEN 2 THEN 3 ELSE 2 END AS follows, CASE w.s WHEN 2 THEN 'assistant' ELSE 'user' END AS put,
+     CASE WHEN c = 's' AND w.s = 0 THEN 1 WHEN c = 'u' AND w.s <> 2 THEN 2 WHEN c = 'a' AND w.s = 2 THEN 3 END AS kept FROM w JOIN a ON a.cid = w.cid AND a.i = w.i WHERE goes))) x JOIN a b ON b.cid = x.cid AND b.i = x.i),
+z AS (SELECT cid, audit, sha256(array_to_string(said, chr(10))) AS repaired_sha256 FROM w WHERE NOT goes),
+q AS (SELECT cid, c || lead(c) OVER (PARTITION BY cid ORDER BY i) AS pair FROM r),
+l AS (SELECT cid, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM q GROUP BY cid),
+s AS (SELECT cid, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated FROM r GROUP BY cid)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+ coalesce(cur[1], 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM ids LEFT JOIN s ON s.cid = ids.cid LEFT JOIN l ON l.cid = ids.cid LEFT JOIN z ON z.cid = ids.cid LEFT JOIN a ON a.cid = ids.cid AND a.i = 0
+"""

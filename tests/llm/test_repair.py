@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 
 from quernel.llm import repair
@@ -129,3 +130,14 @@ def test_string_ids(spark):
     frame = spark.createDataFrame(rows, "c string, n int, r string, t string")
     out = repair.repair(repair.damaged(frame, "c", "n", "r", "t")).withColumnRenamed("conv", "conv_id").collect()
     check(out, rows)
+
+
+def test_sql():
+    rows = conversations(3)
+    rows += [(None, t, ("user", "assistant")[t % 2], f"{t}.") for t in range(4)] + rows[:30] + [(900 + c, 0, "user", "?") for c in range(40)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", [list(r) for r in rows])
+    out = con.execute(repair.SQL)
+    assert [c[0] for c in out.description] == ["conv_id", *NAMES]
+    assert {r[0]: r[1:] for r in out.fetchall()} == {c: brute(t) for c, t in damaged(rows).items()}
