@@ -2,7 +2,7 @@
 
 Counts of words, characters, symbols, stop words, capitals and lines are taken once for each text; each rule bounds the ratio of two counts (or one count) from
 below or above. Words that lie in a repeated window are found by sorting the text's windows: equal ones become neighbours, and the places that they start at,
-in order again, give the words that they cover. A text without a repeated window isn't sorted.
+in order again, give the words that they cover. A text whose windows have different hashes has none, and isn't sorted.
 """
 
 from __future__ import annotations
@@ -60,15 +60,20 @@ def covered(windows: Column, width: int) -> Column:
         places = F.array_sort(F.transform(again, lambda x: x["at"]))
         return let(places, lambda p: total(F.transform(p, lambda x, k: F.least(F.lit(width), F.coalesce(x - F.get(p, k - 1), F.lit(width))).cast("long"))))
 
-    ordered = F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("at"))))
-    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(let(ordered, neighbours))
+    return let(F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("at")))), neighbours)
 
 
 def n_repeat_words(words: Column, width: int = WINDOW) -> Column:
-    """Words in windows of width words that are found twice or more in the text, the first place included. Windows may overlap."""
+    """Words in windows of width words that are found twice or more in the text, the first place included. Windows may overlap.
+
+    Windows whose hashes all differ all differ: only a text with two equal hashes is looked at window by window.
+    """
     starts = F.sequence(F.lit(0), F.size(words) - width)
-    windows = F.transform(starts, lambda i: F.concat_ws(" ", *(F.get(words, i + k) for k in range(width))))
-    return F.when(F.size(words) >= width, let(windows, lambda w: covered(w, width))).otherwise(F.lit(0).cast("long"))
+    at = lambda i: [F.get(words, i + k) for k in range(width)]
+    hashes = F.transform(starts, lambda i: F.xxhash64(*at(i)))
+    exact = let(F.transform(starts, lambda i: F.concat_ws(" ", *at(i))), lambda w: covered(w, width))
+    none = F.lit(0).cast("long")
+    return F.when(F.size(words) < width, none).when(let(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h)), none).otherwise(exact)
 
 
 def counts(text: Column) -> Column:
