@@ -1,6 +1,6 @@
 """Binary matrices as a Spark data source that is read by byte ranges and written by many tasks.
 
-Two layouts. "mlcp": MLCP, version 1 and the number of matrices, then for each its rows, its columns and float32 values row by row; numbers are 32-bit, little-endian.
+Two layouts. "floats": four letters, version 1 and the number of matrices, then for each its rows, its columns and float32 values row by row; numbers are 32-bit, little-endian.
 "idx": 0x803, items, rows and columns, or 0x801 and items, big-endian and 32-bit, then a byte a value.
 
 What is read is a file, or a folder that this source has written: pieces that, put together in the order of its manifest, are such a file. A task reads a range of rows, of either. What is
@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 #: What files begin with.
-MLCP, VERSION, IMAGES, LABELS = b"MLCP", 1, 0x803, 0x801
+MAGIC, VERSION, IMAGES, LABELS = b"MLCP", 1, 0x803, 0x801
 MANIFEST, HEADER = "_manifest.json", "_header"
 #: Bytes of a task's range, and of what it holds at once.
 SPLIT, CHUNK = 32 << 20, 4 << 20
-KINDS = {"mlcp": ("<f4", "array<float>"), "idx": ("u1", "array<smallint>")}
+KINDS = {"floats": ("<f4", "array<float>"), "idx": ("u1", "array<smallint>")}
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -98,9 +98,9 @@ def layout_of(found: Found, layout: str) -> list[tuple[int, int, int]]:
         return np.frombuffer(found.bytes(at, 4 * n), kind).tolist()
 
     out = []
-    if layout == "mlcp":
-        if found.bytes(0, min(4, found.size)) != MLCP:
-            raise ValueError("the file doesn't begin with MLCP")
+    if layout == "floats":
+        if found.bytes(0, min(4, found.size)) != MAGIC:
+            raise ValueError("the file doesn't begin as one of floats")
         version, count = numbers(4, 2, "<u4")
         if version != VERSION:
             raise ValueError(f"version {version}")
@@ -124,7 +124,7 @@ def layout_of(found: Found, layout: str) -> list[tuple[int, int, int]]:
 
 class Reader(DataSourceReader):
     def __init__(self, options: Mapping[str, str]):
-        self.path, self.layout, self.labels = options["path"], options.get("layout", "mlcp"), options.get("labels")
+        self.path, self.layout, self.labels = options["path"], options.get("layout", "floats"), options.get("labels")
         self.split, self.most = int(options.get("split", SPLIT)), int(options.get("max_items", 0))
         self.kind = KINDS[self.layout][0]
 
@@ -163,7 +163,7 @@ class Reader(DataSourceReader):
                 if len(raw) < n * size:
                     raise ValueError(f"{part.path} is too short")
                 values = np.frombuffer(raw, self.kind)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * part.width), pa.array(values.astype(np.float32 if self.layout == "mlcp" else np.int16)))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * part.width), pa.array(values.astype(np.float32 if self.layout == "floats" else np.int16)))
                 columns = [pa.array(np.full(n, part.matrix, np.int32)), pa.array(np.arange(part.first + r, part.first + r + n)), lists]
                 if self.labels:
                     with opened(self.labels)[0].open_input_file(part.labels[0]) as g:
@@ -185,7 +185,7 @@ class Writer(DataSourceArrowWriter):
     """Rows (row_id, v), in the order of row_id within a task and from task to task."""
 
     def __init__(self, options: Mapping[str, str]):
-        self.path, self.layout = options["path"], options.get("layout", "mlcp")
+        self.path, self.layout = options["path"], options.get("layout", "floats")
         self.shape = [int(x) for x in options["shape"].split("x")]
         self.width, self.kind = int(np.prod(self.shape)), KINDS[self.layout][0]
 
@@ -225,8 +225,8 @@ class Writer(DataSourceArrowWriter):
         rows = sum(m.rows for m in pieces)
         if rows >= 1 << 32:
             raise ValueError("too many rows for a 32-bit count")
-        if self.layout == "mlcp":
-            head = MLCP + np.array([VERSION, 1, rows, self.width], "<u4").tobytes()
+        if self.layout == "floats":
+            head = MAGIC + np.array([VERSION, 1, rows, self.width], "<u4").tobytes()
         else:
             head = np.array([IMAGES, rows, *self.shape] if len(self.shape) == 2 else [LABELS, rows], ">u4").tobytes()
         store.create_dir(plain, recursive=True)
@@ -243,14 +243,14 @@ class Writer(DataSourceArrowWriter):
 
 
 class Matrices(DataSource):
-    """Options: path; layout mlcp or idx; split, the bytes of a task; max_items, a prefix of each matrix (0: all); labels, an idx file of labels beside one of images. To write: shape, 64 or 8x8."""
+    """Options: path; layout floats or idx; split, the bytes of a task; max_items, a prefix of each matrix (0: all); labels, an idx file of labels beside one of images. To write: shape, 64 or 8x8."""
 
     @classmethod
     def name(cls) -> str:
         return "quernel_matrices"
 
     def schema(self) -> str:
-        kind = KINDS[self.options.get("layout", "mlcp")][1]
+        kind = KINDS[self.options.get("layout", "floats")][1]
         return f"matrix int, row_id long, v {kind}" + (", label int" if self.options.get("labels") else "")
 
     def reader(self, schema) -> Reader:
@@ -265,13 +265,13 @@ class Matrices(DataSource):
         return Writer(dict(self.options))
 
 
-def load(spark: SparkSession, path: str, layout: str = "mlcp", **options: object) -> DataFrame:
+def load(spark: SparkSession, path: str, layout: str = "floats", **options: object) -> DataFrame:
     """(matrix int, row_id long, v array), and label int where labels is given: in as many tasks as there are ranges."""
     spark.dataSource.register(Matrices)
     return spark.read.format("quernel_matrices").options(path=path, layout=layout, **options).load()
 
 
-def save(df: DataFrame, path: str, shape: tuple[int, ...], layout: str = "mlcp", overwrite: bool = False) -> None:
+def save(df: DataFrame, path: str, shape: tuple[int, ...], layout: str = "floats", overwrite: bool = False) -> None:
     """df (row_id long, v array of numbers), written in the order of row_id by as many tasks as the session shuffles to. Rows are numbered by their place when they are read. Values are narrowed to float32 or must be bytes."""
     spark = df.sparkSession
     spark.dataSource.register(Matrices)
@@ -280,10 +280,10 @@ def save(df: DataFrame, path: str, shape: tuple[int, ...], layout: str = "mlcp",
 
 
 def save_arrays(path: str, arrays: list[np.ndarray]) -> None:
-    """A model's matrices in one mlcp file, from the driver."""
+    """A model's matrices in one file of floats, from the driver."""
     store, plain = opened(path)
     with store.open_output_stream(plain) as f:
-        f.write(MLCP + np.array([VERSION, len(arrays)], "<u4").tobytes())
+        f.write(MAGIC + np.array([VERSION, len(arrays)], "<u4").tobytes())
         for m in arrays:
             m = np.atleast_2d(np.asarray(m, np.float64))
             f.write(np.array(m.shape, "<u4").tobytes() + np.ascontiguousarray(m.astype("<f4")).tobytes())
@@ -292,4 +292,4 @@ def save_arrays(path: str, arrays: list[np.ndarray]) -> None:
 def load_arrays(path: str) -> list[np.ndarray]:
     """Back to the driver: a model, not data."""
     found = Found(path)
-    return [np.frombuffer(found.bytes(at, 4 * rows * width), "<f4").reshape(rows, width).astype(np.float64) for at, rows, width in layout_of(found, "mlcp")]
+    return [np.frombuffer(found.bytes(at, 4 * rows * width), "<f4").reshape(rows, width).astype(np.float64) for at, rows, width in layout_of(found, "floats")]

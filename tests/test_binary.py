@@ -15,7 +15,7 @@ def back(df):
     return np.array([r.v for r in df.orderBy("matrix", "row_id").collect()])
 
 
-@pytest.mark.parametrize("layout, shape", [("mlcp", (6,)), ("idx", (2, 3))])
+@pytest.mark.parametrize("layout, shape", [("floats", (6,)), ("idx", (2, 3))])
 def test_round_trip_in_several_tasks(spark, tmp_path, layout, shape):
     m = np.random.default_rng(1).integers(0, 256, (101, 6)).astype(float)
     path = f"file://{tmp_path}/m"
@@ -76,7 +76,7 @@ def test_a_failed_write_leaves_no_result(spark, tmp_path):
 
 
 def test_empty(spark, tmp_path):
-    for layout, shape in (("mlcp", (4,)), ("idx", (2, 2))):
+    for layout, shape in (("floats", (4,)), ("idx", (2, 2))):
         binary.save(rows(spark, np.ones((1, 4))).limit(0), f"{tmp_path}/{layout}", shape, layout)
         assert binary.load(spark, f"{tmp_path}/{layout}", layout).count() == 0
 
