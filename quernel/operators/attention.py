@@ -1,8 +1,9 @@
 """Attention over sequences of any length, by blocks with mergeable softmax states.
 
-Positions are packed in blocks of BLOCK rows, all heads of a row in it. SPAN query blocks and SPAN key blocks are a cell; in it each query block goes through the key blocks one after the other and
-keeps, for each row and head, the running maximum, the sum of exponentials and the weighted sum of values. States merge whatever their order, so the cells of a
-query block are merged where there are several, and scores are never rows: a block of T positions meets T / SPAN cells, and each of its states is one row.
+Positions are packed in blocks of BLOCK rows, all heads of a row in it. A stretch of query blocks and one of key blocks are a cell; in it the queries go through the keys, TILE by TILE, and
+keep, for each row and head, the running maximum, the sum of exponentials and the weighted sum of values. States merge whatever their order, so the cells of a
+query block are merged where there are several, and scores are never rows. A stretch is SPAN blocks, or the GRID-th part of a longer sequence, so that a block meets GRID cells at most and
+what is moved grows with the rows, not with their square; only stretches of ROWS rows, which a cell holds in memory, don't grow any more.
 """
 
 from __future__ import annotations
@@ -16,6 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK, SPAN = 128, 16
+#: Stretches of a sequence, and rows of a stretch (at most, unless SPAN blocks have more).
+GRID, ROWS = 12, 1 << 16
+#: Queries and keys whose scores a cell makes at once.
+TILE = (256, 512)
+#: Sequences whose lengths are broadcast.
+LENGTHS = 1_000_000
 
 
 class State:
@@ -66,7 +73,8 @@ def attention(df: DataFrame, heads: int, causal: bool = True, block: int = BLOCK
     pos is from 0 and orders a sequence; causal: a position sees itself and those before it. Missing positions are nobody's keys. Repeated positions see one another. Null seq or pos take no part.
     """
     kind = df.schema["seq"].dataType.simpleString()
-    size = df.select(F.max(F.size("q")), F.min(F.size("q")), F.max(F.size("v")), F.min(F.size("v")), F.max(F.size("k")), F.min(F.size("k"))).first()
+    size = df.select(F.max(F.size("q")), F.min(F.size("q")), F.max(F.size("v")), F.min(F.size("v")), F.max(F.size("k")), F.min(F.size("k")), F.approx_count_distinct("seq")).first()
+    *size, sequences = size
     if size[0] is None:
         return df.select("seq", "pos", "v")
     wide = size[0]
@@ -99,38 +107,61 @@ def attention(df: DataFrame, heads: int, causal: bool = True, block: int = BLOCK
     packed = rows.repartition("seq", "b").sortWithinPartitions("seq", "b", "pos").mapInArrow(pack, f"seq {kind}, b long, pos array<long>, q binary, k binary, v binary")
 
     # cells (g, h): query blocks g * span and on, key blocks h * span and on
-    last = packed.groupBy("seq").agg(F.floor(F.max("b") / span).alias("last"))
-    own = F.floor(F.col("b") / span)
-    none = F.lit(None).cast("binary")
-    asks = packed.join(last, "seq").select("seq", own.alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), own if causal else F.col("last"))).alias("h"), F.lit(0).alias("side"), "b", "pos", F.col("q").alias("x"), none.alias("y"))
-    keys = packed.join(last, "seq").select("seq", F.explode(F.sequence(own if causal else F.lit(0).cast("long"), F.col("last"))).alias("g"), own.alias("h"), F.lit(1).alias("side"), "b", "pos", F.col("k").alias("x"), F.col("v").alias("y"))
+    long = F.least(F.ceil((F.col("last") + 1) / GRID), F.lit(max(1, ROWS // block)))
+    last = rows.groupBy("seq").agg(F.max("b").alias("last")).select("seq", F.greatest(F.lit(span), long).cast("long").alias("span"), "last")
+    own, end = (F.floor(F.col(c) / F.col("span")) for c in ("b", "last"))
+    placed = packed.join(F.broadcast(last) if sequences <= LENGTHS else last, "seq").withColumns({"own": own, "end": end})
+    none, zero = F.lit(None).cast("binary"), F.lit(0).cast("long")
+    asks = placed.select("seq", F.col("own").alias("g"), F.explode(F.sequence(zero, F.col("own") if causal else F.col("end"))).alias("h"), F.lit(0).alias("side"), "b", "pos", F.col("q").alias("x"), none.alias("y"))
+    keys = placed.select("seq", F.explode(F.sequence(F.col("own") if causal else zero, F.col("end"))).alias("g"), F.col("own").alias("h"), F.lit(1).alias("side"), "b", "pos", F.col("k").alias("x"), F.col("v").alias("y"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, queries = None, []
+        cell, asked, held, found, wide = None, [], [], None, 0
+
+        def fold() -> None:
+            """All queries of the cell go through the keys that wait."""
+            nonlocal found, wide
+            if held and asked:
+                if found is None:
+                    q, at = np.concatenate([a[2] for a in asked], 1), np.concatenate([a[1] for a in asked])
+                    found = q, at, State.empty(heads, len(at), width)
+                q, at, state = found
+                at_keys, k, v = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held], 1), np.concatenate([x[2] for x in held], 1)
+                for i in range(0, len(at), TILE[0]):
+                    here = slice(i, i + TILE[0])
+                    if causal and at[here].max() < at_keys.min():
+                        continue
+                    allowed = at[here, None] >= at_keys if causal and at[here].min() < at_keys.max() else None
+                    new = State(*(x[:, here] for x in (state.top, state.total, state.values))).merge(State.of(q[:, here], k, v, allowed))
+                    state.top[:, here], state.total[:, here], state.values[:, here] = new.top, new.total, new.values
+            held.clear()
+            wide = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for b, pos, _, state in queries:
+            fold()
+            n = 0
+            for b, pos, _ in asked if found else ():
+                here = slice(n, n := n + len(pos))
+                state = State(*(x[:, here] for x in (found[2].top, found[2].total, found[2].values)))
                 if np.isfinite(state.top).any():
                     yield pa.RecordBatch.from_arrays([pa.array([cell[0]], kinds[0]), pa.array([b], pa.int64()), pa.array([cell[2]], pa.int64()), pa.array([pos], pa.list_(pa.int64())), pa.array([state.dump()], pa.binary())], names=["seq", "b", "h", "pos", "state"])
 
         kinds = None
         for batch in batches:
             kinds = kinds or [f.type for f in batch.schema]
-            for r in batch.to_pylist():
+            for r in (r for i in range(0, batch.num_rows, 64) for r in batch.slice(i, 64).to_pylist()):
                 at = (r["seq"], r["g"], r["h"])
                 if at != cell:
                     yield from out()
-                    cell, queries = at, []
+                    cell, asked, found = at, [], None
                 x = _heads(r["x"], heads, width)
                 if r["side"] == 0:
-                    queries.append([r["b"], r["pos"], x, State.empty(heads, x.shape[1], width)])
+                    asked.append((r["b"], r["pos"], x))
                     continue
-                y, at_keys = _heads(r["y"], heads, width), np.array(r["pos"])
-                for q in queries:
-                    if causal and r["b"] > q[0]:
-                        continue
-                    allowed = np.array(q[1])[:, None] >= at_keys if causal and r["b"] == q[0] else None
-                    q[3] = q[3].merge(State.of(q[2], x, y, allowed))
+                held.append((np.array(r["pos"]), x, _heads(r["y"], heads, width)))
+                wide += x.shape[1]
+                if wide >= TILE[1]:
+                    fold()
         yield from out()
 
     order = ["seq", "g", "h", "side", "b"]

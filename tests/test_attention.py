@@ -107,3 +107,46 @@ def test_erf_to_the_last_digits(spark):
     assert max(abs(out[i] - w) for i, w in enumerate(want)) < 5e-16 and out[-1] is None and math.isnan(out[-2])
     plan = df.select(neural.gelu(F.array("x")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_what_is_moved_grows_with_the_rows(spark):
+    """A sequence four times as long puts each of its rows in no more cells, and the result stays that of the dense form."""
+    rng = np.random.default_rng(8)
+    qkv = [rng.standard_normal((1600, 4)) for _ in range(3)]
+    df = frame(spark, 3, {"s": qkv})
+
+    def moved(n):
+        out = attention(df.where(F.col("pos") < n), 2, True, 2, 1)
+        got = {r.pos: r.v for r in out.collect()}
+        want = dense(*(x[:n] for x in qkv), 2, True)
+        assert sorted(got) == list(range(n)) and max(np.abs(got[p] - want[p]).max() for p in got) < 1e-10
+        plan = out._jdf.queryExecution().executedPlan()
+        nodes, rows = [plan], 0
+        while nodes:
+            node = nodes.pop()
+            if "AdaptiveSparkPlan" in node.nodeName():
+                nodes.append(node.executedPlan())
+            elif "QueryStage" in node.nodeName():
+                nodes.append(node.plan())
+            elif "Union" in node.nodeName():
+                continue
+            if node.nodeName() == "Exchange" and "Union" in str(node.toString()):
+                rows = max(rows, node.metrics().apply("shuffleRecordsWritten").value())
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+        return rows
+
+    few, many = moved(400), moved(1600)
+    assert 0 < few and many <= 4.2 * few
+
+
+def test_stretches_no_longer_than_memory_allows(spark, monkeypatch):
+    from quernel.operators import attention as module
+
+    monkeypatch.setattr(module, "GRID", 2)
+    monkeypatch.setattr(module, "ROWS", 8)
+    rng = np.random.default_rng(9)
+    for causal in (True, False):
+        qkv = [rng.standard_normal((61, 4)) for _ in range(3)]
+        got = {r.pos: r.v for r in attention(frame(spark, 3, {"s": qkv}), 2, causal, 2, 1).collect()}
+        want = dense(*qkv, 2, causal)
+        assert sorted(got) == list(range(61)) and max(np.abs(got[p] - want[p]).max() for p in got) < 1e-11
