@@ -197,7 +197,7 @@ def least_lanes(threshold: float) -> int:
 
 
 def nodes_of(rows: DataFrame, keys: tuple[str, ...], work: Callable[[tuple, list[bytes], np.ndarray], Iterator[tuple]]) -> DataFrame:
-    """rows (keys, fp, sketch) -> what work makes of each node: (path, a, b, lanes), or with b null (path, a, sketch) of what goes on. A task holds one node at a time."""
+    """rows (keys, fp, sketch) -> what work makes of each node: (path, a, b, lanes), or with b null (path, a, sketch) of a pivot. A task holds one node at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, key, ids, sketches = [], None, [], []
@@ -230,7 +230,7 @@ def nodes_of(rows: DataFrame, keys: tuple[str, ...], work: Callable[[tuple, list
 
 
 def compare(rows: DataFrame, least: int) -> DataFrame:
-    """rows (path, salt, fp, sketch): the strongest spanning forest of each node's close pairs. Vertices with a salt other than 0 are dealt by it, and go on."""
+    """rows (path, fp, sketch) of small nodes: the strongest spanning forest of each node's close pairs."""
 
     def find(parent: list[int], x: int) -> int:
         while parent[x] != x:
@@ -238,9 +238,6 @@ def compare(rows: DataFrame, least: int) -> DataFrame:
         return x
 
     def work(key: tuple, ids: list[bytes], x: np.ndarray) -> Iterator[tuple]:
-        if key[1]:
-            yield from ((key[0], fp, None, 0, sketch.tobytes()) for fp, sketch in zip(ids, x))
-            return
         if len(ids) < 2:
             return
         same = (x[:, None, :] == x[None, :, :]).sum(2)
@@ -251,7 +248,7 @@ def compare(rows: DataFrame, least: int) -> DataFrame:
                 parent[u] = v
                 yield key[0], ids[i], ids[j], lanes, None
 
-    return nodes_of(rows, ("path", "salt"), work)
+    return nodes_of(rows, ("path",), work).drop("sketch")
 
 
 def forest(path: int, ids: list[bytes], x: np.ndarray, least: int, close: int) -> Iterator[tuple]:
@@ -301,23 +298,21 @@ def pivoted(rows: DataFrame, large: DataFrame, least: int) -> DataFrame:
 def candidates(vertices: DataFrame, threshold: float) -> DataFrame:
     """vertices (fp, sig) as a table() -> distinct pairs a < b whose sketches may reach the threshold, with the lanes that agree: enough to connect all such pairs.
 
-    Sizes of nodes are counted first, which Spark pre-aggregates: the vertices of a node that is to branch are dealt one by one.
+    Sizes of nodes are counted first, which Spark pre-aggregates; only the vertices of small nodes meet, and those of the others go on as they are.
     """
     rows, pairs, least = descend(vertices), None, least_lanes(threshold)
     for depth in range(FIRST, DEPTH + 1):
         sizes = rows.groupBy("path").agg(F.count("*").alias("n"))
         large = table(sizes.where(F.col("n") > LEAF), "large")
-        salt = F.when(F.col("n").isNull(), 0).otherwise(F.xxhash64("fp").bitwiseOR(F.lit(1).cast("long")))
-        done = table(compare(rows.join(small(large), "path", "left").withColumn("salt", salt), least), "nodes")
-        found = done.where("b is not null").drop("sketch")
+        found = table(compare(rows.join(small(large), "path", "left_anti"), least), "nodes")
         pairs = found if pairs is None else pairs.unionByName(found)
         if large.isEmpty():
             break
-        rest = done.where("b is null").select("path", F.col("a").alias("fp"), "sketch")
         if depth == DEPTH:
-            pairs = pairs.unionByName(pivoted(rest, large, least))
+            pairs = pairs.unionByName(pivoted(rows, large, least))
             break
-        rows = table(branch(rest.select("path", "fp").join(vertices.select("fp", "sig"), "fp"), threshold), "branches")
+        rest = rows.select("path", "fp").join(small(large.select("path")), "path", "left_semi")
+        rows = table(branch(rest.join(vertices.select("fp", "sig"), "fp"), threshold), "branches")
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "lanes")
     return table(pairs.groupBy("a", "b").agg(F.max("lanes").alias("lanes")), "pairs")
 

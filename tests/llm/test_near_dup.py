@@ -161,3 +161,23 @@ def test_words_longer_than_the_sums(monkeypatch):
     want = [near_dup.word_hashes(t).tolist() for t in texts]
     monkeypatch.setattr(near_dup, "SUMMED", 16)
     assert [near_dup.word_hashes(t).tolist() for t in texts] == want
+
+
+def test_vertices_of_large_nodes_go_on_without_a_comparison(spark, monkeypatch):
+    """Of 300 near copies all nodes are large: what is compared before the last level gives edges only, no row for each vertex that goes on."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[:k] + [f"x{i}"] + words[k:])) for i in range(300) for k in [rng.randrange(400)]]
+    made, real = [], near_dup.table
+
+    def kept(df, name="table"):
+        out = real(df, name)
+        if name == "nodes":
+            made.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(near_dup, "table", kept)
+    out = near_dup.group(spark.createDataFrame(rows, "doc_id long, text string"), k=2)
+    assert out.select("root").distinct().count() == 1
+    assert all("sketch" not in columns for columns, _ in made)
+    assert made[0][1] < 300 * near_dup.TREES / 10
