@@ -57,7 +57,8 @@ def factor(df: DataFrame, columns: Sequence[str], tasks: int | None = None) -> D
     left = tasks or df.rdd.getNumPartitions()
     while left > 1:
         left = -(-left // FAN)
-        out = out.repartition(left).mapInArrow(merge, TRIANGLE) if left > 1 else out.coalesce(1).mapInArrow(merge, TRIANGLE)
+        # triangles are moved even to a single task: coalesce() would have it read the rows of all
+        out = out.repartition(left).mapInArrow(merge, TRIANGLE)
     return out
 
 
