@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGIT = 16
+#: Groups whose prefixes are broadcast.
+FEW = 10_000
 SIGN = np.int64(0x7FFFFFFFFFFFFFFF)
 
 
@@ -41,10 +43,10 @@ def _mapped(df: DataFrame, by: list[str], source: str, out: str, kind: str, work
     return df.select(*by, source).mapInArrow(run, schema)
 
 
-def percentiles(df: DataFrame, value: str, ps: Sequence[float], by: Sequence[str] = (), digit: int = DIGIT) -> DataFrame:
+def percentiles(df: DataFrame, value: str, ps: Sequence[float], by: Sequence[str] = (), digit: int = DIGIT, few: bool = False) -> DataFrame:
     """by columns, p double, n long, value double: each group's exact percentiles, with linear interpolation at rank p / 100 * (n - 1).
 
-    Null values don't count; a group without any has no row, and an empty table gives none. A null in by is a group. nan is the largest value; between infinities of one sign there is nothing to interpolate.
+    Null values don't count; a group without any has no row, and an empty table gives none. A null in by is a group. few: groups are few, so that prefixes are broadcast and no key is moved. nan is the largest value; between infinities of one sign there is nothing to interpolate.
     """
     if not ps or not all(0 <= p <= 100 for p in ps):
         raise ValueError("a percentile lies within 0 and 100")
@@ -76,7 +78,7 @@ def percentiles(df: DataFrame, value: str, ps: Sequence[float], by: Sequence[str
     while below:
         below -= digit
         same = [F.col(f"k.{g}").eqNullSafe(F.col(f"s.{g}")) for g in groups]
-        both = keys.alias("k").join(state.alias("s"), [*same, F.shiftright("k.__key", below + digit) == F.col("s.__prefix")])
+        both = keys.alias("k").join((F.broadcast(state) if few else state).alias("s"), [*same, F.shiftright("k.__key", below + digit) == F.col("s.__prefix")])
         both = both.select(*[F.col(f"k.{g}").alias(g) for g in groups], "__prefix", "__targets", low(below).alias("__digit"))
         counted = both.groupBy(*groups, "__prefix", "__digit").agg(F.count("*").alias("__n"), F.first("__targets").alias("__targets"))
         state = found(counted, [*groups, "__prefix"], F.col("__targets"), F.shiftleft("__prefix", digit).bitwiseOR(F.col("__digit")))
@@ -90,5 +92,13 @@ def percentiles(df: DataFrame, value: str, ps: Sequence[float], by: Sequence[str
     return pair.select(*[F.col(g).alias(c) for g, c in zip(groups, by)], p.alias("p"), "n", out.alias("value"))
 
 
+def wide(df: DataFrame, value: str, names: dict[str, float], by: Sequence[str]) -> DataFrame:
+    """by columns and a column for each of names, the percentile that it stands for. Every group of df has its row, with nulls where it has no value."""
+    groups = df.select(*by).distinct()
+    rows = percentiles(df, value, list(names.values()), by, few=groups.limit(FEW + 1).count() <= FEW)
+    found = rows.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(*[F.max(F.when(F.col("p") == float(p), F.col("value"))).alias(n) for n, p in names.items()])
+    return groups.join(found, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], "left").select(*by, *names)
+
+
 def median(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     return percentiles(df, value, [50.0], by)

@@ -93,3 +93,26 @@ def test_dependent_columns_and_empty_table(spark):
     assert tsqr.fit(frame.limit(0), ["a"], "y").count() == 0
     with pytest.raises(Exception, match="a null in a"):
         tsqr.fit(frame.select(F.lit(None).cast("double").alias("a"), "y"), ["a"], "y").collect()
+
+
+def test_wide_keeps_every_group_and_aggregates_no_values(spark):
+    """A null group and one without values have their rows; no aggregate holds a group's values."""
+    rows = [("a", float(i)) for i in range(11)] + [(None, 3.0), (None, 5.0), ("b", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    out = selection.wide(df, "x", {"p10": 10, "p90": 90}, ["g"])
+    assert {r.g: (r.p10, r.p90) for r in out.collect()} == {"a": (1.0, 9.0), None: (3.2, 4.8), "b": (None, None)}
+
+
+@pytest.mark.parametrize("name", ["percentile_grouped", "median_grouped"])
+def test_grouped_queries_hold_no_group_in_a_task(spark, name):
+    from quernel.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "percentile(" not in plan
+
+
+def test_one_task_merges_triangles_and_reads_no_rows(spark):
+    """With few partitions the last task still gets their triangles, by an exchange, instead of their rows."""
+    df = spark.range(0, 4000, 1, 4).selectExpr("cast(id as double) x", "2 * id + 1.0 y")
+    assert tsqr.factor(df, ["x", "y"]).count() == 1 and "Coalesce 1" not in tsqr.factor(df, ["x", "y"])._jdf.queryExecution().toString()
+    assert [round(r.weight, 6) for r in tsqr.fit(df, ["x"], "y").orderBy("idx").collect()] == [1.0, 2.0]
