@@ -24,11 +24,14 @@ from quernel.models.nn import Adam, clip_grad_norm, cosine_lr
 from quernel.models.tape import Tensor
 from quernel.operators.corpus import TokenCorpus
 from quernel.operators.decoding import SampleConfig, sample_one
+from quernel.session import shared_folder
 
 #: One partial result: the partition, the loss's sum, the rows, then the gradient of each parameter, flat.
 PARTIAL = "part int, loss double, n long, grad array<double>"
 #: Tasks that add up partial results.
 FAN = 8
+#: Rounds of mini-batches whose rows are held at once.
+CHUNK = 64
 
 
 def flat(params: list[Tensor]) -> np.ndarray:
@@ -123,27 +126,36 @@ def fit_mlp_batches(df: DataFrame, model: MLP, epochs: int, batch: int, lr: floa
     Local SGD with averaging: a round deals shards * batches batches, those of a shard being consecutive. Every shard starts from the same weights and Adam moments and goes through its
     batches one after the other, in a task of its own; then states are averaged, weighted by the batches taken, and the next round begins. The optimizer's clock goes on by the
     most batches that a shard took. With one shard this is the serial loop. What the result depends on is shards and batches, never the number of partitions or executors; a lost task is run again
-    from its round's start. Rows are numbered once and kept in order, so that a round reads its own; a task holds a batch and a state, and FAN sums of states reach the driver.
+    from its round's start. Rows are numbered once and written in chunks of CHUNK rounds; a chunk is dealt to its shards and held while its rounds run, so that a round has a task for each shard, however
+    many rounds there are. A task holds a batch and a state, and one average of states reaches the driver.
     """
     ordered, base = numbered(df.select("id", "x", "label"), "id")
     context, optimizer, out = df.sparkSession.sparkContext, Adam(model.params(), lr), []
     whole = base.count() // batch
     number = F.floor(F.col("n_th") / batch)
-    dealt = ordered.where(number < whole).select(F.floor(number / (shards * batches)).alias("round"), F.pmod(F.floor(number / batches), F.lit(shards)).alias("shard"), "n_th", "x", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    turn = F.floor(number / (shards * batches))
+    dealt = ordered.where(number < whole).select(F.floor(turn / CHUNK).alias("chunk"), turn.alias("round"), F.pmod(F.floor(number / batches), F.lit(shards)).alias("shard"), "n_th", "x", "label")
+    rounds, path = -(-whole // (shards * batches)), f"{shared_folder(df.sparkSession, 'batches')}/dealt"
     try:
-        for _ in range(epochs):
-            losses = []
-            for k in range(-(-whole // (shards * batches))):
-                losses.append(_round(context, dealt.where(F.col("round") == k).drop("round"), model, optimizer, batch, shards))
-            out.append(sum(x for x, _ in losses) / whole if whole else math.nan)
+        dealt.repartition("chunk").write.partitionBy("chunk").parquet(path)
     finally:
-        dealt.unpersist()
         base.unpersist()
+    for _ in range(epochs):
+        lost = 0.0
+        for c in range(0, rounds, CHUNK):
+            own = df.sparkSession.read.schema(dealt.drop("chunk").schema).parquet(f"{path}/chunk={c // CHUNK}")
+            own = own.repartition(shards, "shard").sortWithinPartitions("shard", "n_th").persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                for k in range(c, min(c + CHUNK, rounds)):
+                    lost += _round(context, own.where(F.col("round") == k).drop("round"), model, optimizer, batch, shards)[0]
+            finally:
+                own.unpersist()
+        out.append(lost / whole if whole else math.nan)
     return out
 
 
 def _round(context, df: DataFrame, model: MLP, optimizer: Adam, batch: int, shards: int) -> tuple[float, int]:
-    """One round over df (shard, n_th, x, label): sets model and optimizer to the average of the shards; the sum of losses, and the batches."""
+    """One round over df (shard, n_th, x, label), whose partitions hold whole shards in the order of n_th: sets model and optimizer to the average of the shards; the sum of losses, and the batches."""
     shipped = context.broadcast(pickle.dumps((model, optimizer.lr, optimizer.t, packed(model, optimizer))))
 
     def start() -> tuple[MLP, Adam]:
@@ -176,21 +188,21 @@ def _round(context, df: DataFrame, model: MLP, optimizer: Adam, batch: int, shar
         first, most, taken, lost, state = None, 0, 0, 0.0, None
         for f in frames:
             for r in f.itertuples(index=False):
-                first, most, taken, lost = r.shard if first is None else first, max(most, r.batches), taken + r.batches, lost + r.loss
+                first, most, taken, lost = r.shard if first is None else first, max(most, r.most), taken + r.batches, lost + r.loss
                 state = np.array(r.state) if state is None else state + r.state
         if first is not None:
             yield pd.DataFrame({"shard": [first], "most": [most], "batches": [taken], "loss": [lost], "state": [state]})
 
-    done = df.repartition(shards, "shard").sortWithinPartitions("shard", "n_th").mapInPandas(run, SHARD)
-    # in the order of shards, so that reruns agree
-    few = min(FAN, shards)
-    sums = done.repartition(few, F.pmod("shard", F.lit(few))).sortWithinPartitions("shard").mapInPandas(add, SUM).collect()
+    done = df.mapInPandas(run, SHARD).withColumn("most", F.col("batches"))
+    # in the order of shards, so that reruns agree: by FAN tasks where there are more of them, then by one
+    if shards > FAN:
+        done = done.repartition(FAN, F.pmod("shard", F.lit(FAN))).sortWithinPartitions("shard").mapInPandas(add, SUM)
+    found = done.repartition(1).sortWithinPartitions("shard").mapInPandas(add, SUM).first()
     shipped.unpersist()
-    sums.sort(key=lambda r: r["shard"])
-    n = sum(r["batches"] for r in sums)
-    unpack(model, optimizer, sum(np.array(r["state"]) for r in sums) / n)
-    optimizer.t += max(r["most"] for r in sums)
-    return sum(r["loss"] for r in sums), n
+    n = found["batches"]
+    unpack(model, optimizer, np.array(found["state"]) / n)
+    optimizer.t += found["most"]
+    return found["loss"], n
 
 
 def fit_groups(df: DataFrame, key: str, inputs: int, hidden: int, outputs: int, epochs: int, lr: float = 0.01, seed: int = 1) -> DataFrame:

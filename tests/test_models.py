@@ -299,3 +299,25 @@ def test_windows_of_a_joined_text(spark, parts):
         corpus.sample(Rng(1), 2, len(joined))
     assert len(corpus.offsets) > 1 or parts == "1"
     corpus.unpersist()
+
+
+def test_one_state_a_round_reaches_the_driver(spark, monkeypatch):
+    """Also over several chunks of rounds and more shards than are added up at once."""
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+
+    from quernel.models import training
+
+    monkeypatch.setattr(training, "CHUNK", 2)
+    seen, real = [], Frame.collect
+
+    def collect(self):
+        rows = real(self)
+        if "state" in self.columns:
+            seen.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(Frame, "collect", collect)
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, rng.standard_normal(2).tolist(), i % 2) for i in range(100)], "id long, x array<double>, label int")
+    assert np.isfinite(fit_mlp_batches(df, MLP(2, 4, 2, Rng(2)), 1, 2, shards=10, batches=1)).all()
+    assert seen == [1] * 5
