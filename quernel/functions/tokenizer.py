@@ -38,11 +38,27 @@ def points(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(said).encode("utf-32-le", "surrogatepass"), np.uint32), ends
 
 
+#: Code points (or bytes) whose arrays a worker holds at once; a longer text is looked at by itself.
+PIECE = 1 << 20
+
+
+def pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in their order, a few at a time: PIECE bytes of text, or ids, of the column, or a single row with more."""
+    values = batch.column(column)
+    sizes = pa.compute.list_value_length(values) if pa.types.is_list(values.type) else pa.compute.binary_length(values)
+    ends = np.cumsum(pa.compute.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def char_counts(df: DataFrame, text: str) -> DataFrame:
     """(token, n): each batch sends a count for each of its characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, 0)):
             n = np.bincount(points(batch.column(0).to_pylist())[0])
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([chr(c) for c in at], pa.string()), pa.array(n[at].astype(np.int64))], names=["token", "n"])
@@ -70,7 +86,7 @@ class CharTokenizer:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 best: dict[int, tuple] = {}
-                for o, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for o, said in (x for p in pieces(batch, 1) for x in zip(p.column(0).to_pylist(), p.column(1).to_pylist())):
                     if said:
                         chars, first = np.unique(np.frombuffer(said.encode("utf-32-le", "surrogatepass"), np.uint32), return_index=True)
                         key = (o is not None, o)
@@ -98,7 +114,7 @@ class CharTokenizer:
         kind = df.schema[key].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (p for b in batches for p in pieces(b, 1)):
                 chars, ends = points(batch.column(1).to_pylist())
                 ids = table[np.minimum(chars, len(table) - 1)]
                 known = ids >= 0
@@ -112,7 +128,7 @@ class CharTokenizer:
         n, kind = len(self.tokens), df.schema[key].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (p for b in batches for p in pieces(b, 1)):
                 column = batch.column(1)
                 flat = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
                 known = (flat >= 0) & (flat < n)

@@ -288,3 +288,29 @@ def test_minibatches_of_keys_with_gaps(spark, tmp_path):
     spark.createDataFrame([(k,) for k in reversed(keys)], "c_custkey long").repartition(5).write.parquet(f"{tmp_path}/customer.parquet")
     got = sorted((r.batch, r.c_custkey) for r in queries.QUERIES["minibatch_assign"](spark, str(tmp_path)).collect())
     assert got == [(k // 128, key) for k, key in enumerate(keys[:256])]
+
+
+def test_texts_are_looked_at_a_piece_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    from quernel.functions import tokenizer
+
+    monkeypatch.setattr(tokenizer, "PIECE", 10)
+    texts = ["abc", None, "", "defghij", "k" * 25, "l", "m" * 10, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["id", "text"])
+    found = [p.column(1).to_pylist() for p in tokenizer.pieces(batch, 1)]
+    assert sum(found, []) == texts and all(len(p) == 1 or sum(len(t or "") for t in p) <= 10 for p in found)
+    ids = pa.RecordBatch.from_arrays([pa.array(range(3)), pa.array([[1] * 6, None, [2] * 6], pa.list_(pa.int32()))], names=["id", "ids"])
+    assert [p.num_rows for p in tokenizer.pieces(ids, 1)] == [2, 1]
+    assert list(tokenizer.pieces(batch.slice(0, 0), 1)) == []
+
+
+def test_cells_of_an_identity_take_few_bytes(spark, tmp_path):
+    n = 2500
+    cells = Mat.identity(spark, n).cells()
+    cells.coalesce(1).write.parquet(f"{tmp_path}/cells")
+    back = spark.read.parquet(f"{tmp_path}/cells")
+    assert back.count() == n * n and back.distinct().count() == n * n and back.agg(F.sum("v"), F.min("i"), F.max("i"), F.min("j"), F.max("j")).first()[:] == (n, 0, n - 1, 0, n - 1)
+    assert back.where("(i = j) <> (v = 1.0)").count() == 0
+    assert sum(p.stat().st_size for p in (tmp_path / "cells").glob("*.parquet")) < 0.3 * n * n
+    assert Mat.identity(spark, 0).cells().count() == 0
