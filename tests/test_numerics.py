@@ -314,3 +314,13 @@ def test_cells_of_an_identity_take_few_bytes(spark, tmp_path):
     assert back.where("(i = j) <> (v = 1.0)").count() == 0
     assert sum(p.stat().st_size for p in (tmp_path / "cells").glob("*.parquet")) < 0.3 * n * n
     assert Mat.identity(spark, 0).cells().count() == 0
+
+
+def test_long_texts_are_encoded_in_their_order(spark, monkeypatch):
+    """Texts over a piece, known characters left out between them, nulls and empty texts: sizes and decoded texts stay with their keys."""
+    rows = [(0, "ab" * 700_000), (1, None), (2, "xbya"), (3, ""), (4, "ba" * 600_000)]
+    df = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    own = CharTokenizer.fit(df.where("id = 0"), "text", "id")
+    ids = own.encode(df, "text", "id")
+    assert {r.id: r.n for r in ids.select("id", F.size("ids").alias("n")).collect()} == {0: 1_400_000, 1: 0, 2: 2, 3: 0, 4: 1_200_000}
+    assert {r.id: r.text for r in own.decode(ids, "ids", "id").collect()} == {0: rows[0][1], 1: "", 2: "ba", 3: "", 4: rows[4][1]}
