@@ -5,7 +5,7 @@ the neighbours, forward and backward, of each vertex with one another. A list is
 refined again. Edges at the threshold, confirmed in double precision, give components.
 
 An audit compares AUDIT vertices of each size class with all of their groups: linear work, whatever the links. A class passes where the lists had RECALL of the links that it shows (none missed of L
-seen: a recall of 1 - 3 / L at 95 %); where one shows fewer than LINKS, LEAST rounds are done. While a class fails, rounds with new hyperplanes go on; only one that still fails after ROUNDS,
+seen: a recall of 1 - 3 / L at 95 %); where one shows fewer than LINKS, LEAST rounds are done, and its links are kept, so that later rounds need not compare again. While a class fails, rounds with new hyperplanes go on; only one that still fails after ROUNDS,
 by links that were missed, is compared exactly, stripe by stripe. The audit's figures are logged and returned in report.
 
 What lists dropped while they were saturated is the cap's rest, which has an exact way: such vertices of a label are compared with one another stripe by stripe, as far as they are in several
@@ -209,8 +209,8 @@ def rooted(vertices: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def against(members: DataFrame, picked: DataFrame, threshold: float) -> DataFrame:
-    """picked, a stripe of members, compared with all members of its groups: rows a, b are links between roots, as many as join up what a task sees of them;
-    rows without a are a task's counts: n links that it saw, same of them within a root.
+    """picked, a stripe of members, compared with all members of its groups: rows a, b are links between roots, all of them where a task sees fewer than LINKS, else as many as join up
+    what it sees; rows without a are a task's counts: n links that it saw, same of them within a root.
     """
     known: dict[tuple[int, int], list] = {}
     for i, g, d, raw, root in picked.select("id", "group", "dim", "raw", "root").toPandas().itertuples(index=False):
@@ -241,14 +241,19 @@ def against(members: DataFrame, picked: DataFrame, threshold: float) -> DataFram
                     near &= own[at][:, None] != names[name][None, :]
                     i, j = np.nonzero(near)
                     apart += len(i)
+                    few = apart < LINKS
+                    if few:
+                        a += ids[at[i]].tolist()
+                        b += other[j].tolist()
                     # one link for each two roots
                     mine, code = np.unique(own[at], return_inverse=True)
                     for x in np.unique(code[i] * len(names) + name[j], return_index=True)[1]:
                         u, v = find(int(mine[code[i[x]]])), find(int(names[name[j[x]]]))
                         if u != v:
                             parent[max(u, v)] = min(u, v)
-                            a.append(ids[at[i[x]]])
-                            b.append(other[j[x]])
+                            if not few:
+                                a.append(ids[at[i[x]]])
+                                b.append(other[j[x]])
                 if a:
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64())], names=["a", "b", "n", "same"])
         if seen:
@@ -283,14 +288,24 @@ def beyond_lists(full: DataFrame, vertices: DataFrame, roots: DataFrame, thresho
     return swept(table(members.join(several, "group").repartition(members.sparkSession.sparkContext.defaultParallelism), "full"), threshold)
 
 
-def audit(members: DataFrame, threshold: float) -> dict[int, tuple[int, int]]:
-    """members (rooted(), a table()) -> for each size class of groups (they have as many hyperplanes): links that AUDIT vertices or so have, and how many of them lie within components."""
+def audit(members: DataFrame, threshold: float, kept: dict[int, tuple[int, list]]) -> dict[int, tuple[int, int]]:
+    """members (rooted(), a table()) -> for each size class of groups (they have as many hyperplanes): links that AUDIT vertices or so have, and how many of them lie within components.
+
+    kept, empty at first, holds what the classes with fewer than LINKS links have: how many, and those that lay between components, which are all that later roots may change.
+    """
     place = F.shiftrightunsigned(F.xxhash64("id", F.lit(3)), 11) * F.lit(2.0**-53)
     out = {}
     for planes, n in members.groupBy(planes_of(F.col("n")).alias("planes")).agg(F.count("*")).orderBy("planes").collect():
+        if planes in kept:
+            seen, apart = kept[planes]
+            root = dict(members.where(F.col("id").isin([x for link in apart for x in link])).select("id", "root").collect()) if apart else {}
+            out[planes] = seen, seen - sum(root[a] != root[b] for a, b in apart)
+            continue
         part = members.where(planes_of(F.col("n")) == planes)
         found = against(part, part.where(place < min(1.0, AUDIT / n)), threshold)
         out[planes] = tuple(found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("same"), F.lit(0))).first())
+        if out[planes][0] < LINKS:
+            kept[planes] = out[planes][0], [(r.a, r.b) for r in found.where("a is not null").collect()]
     return out
 
 
@@ -334,7 +349,7 @@ def link(df: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vector:
     sizes = numbered.groupBy(F.col("label").alias("l"), F.col("dim").alias("d")).agg(F.count("*").alias("n"))
     vertices = as_bytes(numbered).join(sizes, (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d"))).drop("l", "d")
     vertices = table(vertices.withColumn("group", F.xxhash64(F.col("label").cast("string"), "dim")).drop("label"), "vertices")
-    spark, lists, room = df.sparkSession, None, None
+    spark, lists, room, kept = df.sparkSession, None, None, {}
     for round_ in range(ROUNDS):
         found = first_lists(buckets(vertices, round_))
         lists = merged(found if lists is None else lists.unionByName(found), room)
@@ -354,7 +369,7 @@ def link(df: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vector:
             links = table(links.unionByName(more).distinct(), "links")
             roots = table(components(links), "roots")
         members = table(rooted(vertices, roots).repartition(spark.sparkContext.defaultParallelism), "rooted")
-        seen = audit(members, threshold)
+        seen = audit(members, threshold, kept)
         failed = [planes for planes, (n, same) in seen.items() if n >= LINKS and same < RECALL * n]
         logging.getLogger(__name__).info("audit of round %d: links seen and found by hyperplanes: %s", round_, seen)
         if failed and round_ == ROUNDS - 1:

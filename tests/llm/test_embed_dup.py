@@ -150,3 +150,17 @@ def test_a_failed_audit_ends_in_an_exact_comparison(spark, monkeypatch):
     rows, report = clumps([3, 4]), {}
     got = [r for r in embed_dup.link(spark.createDataFrame(rows, SCHEMA), report=report).collect()]
     assert {(r.n_links, r.component_id) for r in got} == {(6, 0)} and report["exact"]
+
+
+def test_few_links_are_audited_once(spark, monkeypatch):
+    """Fewer than LINKS links: a later round asks whether they lie within components by now, which gives what a comparison would."""
+    monkeypatch.setattr(embed_dup, "AUDIT", 1_000_000)
+    rows = clumps([3, 4])
+    schema = "id long, `group` long, dim int, n long, raw binary, root long"
+    members = lambda roots: spark.createDataFrame([(i, 7, 16, 7, embed_dup.unit(v).tobytes(), roots[i]) for i, v, *_ in rows], schema)
+    kept, compared = {}, []
+    real = embed_dup.against
+    monkeypatch.setattr(embed_dup, "against", lambda *x: compared.append(1) or real(*x))
+    for roots, same in (([0, 1, 2, 3, 3, 3, 6], 6), ([0, 0, 2, 3, 3, 3, 6], 8), ([0, 0, 0, 3, 3, 3, 3], 18)):
+        assert embed_dup.audit(members(roots), 0.96, kept) == embed_dup.audit(members(roots), 0.96, {}) == {0: (18, same)}
+    assert len(compared) == 4
