@@ -324,3 +324,25 @@ def test_long_texts_are_encoded_in_their_order(spark, monkeypatch):
     ids = own.encode(df, "text", "id")
     assert {r.id: r.n for r in ids.select("id", F.size("ids").alias("n")).collect()} == {0: 1_400_000, 1: 0, 2: 2, 3: 0, 4: 1_200_000}
     assert {r.id: r.text for r in own.decode(ids, "ids", "id").collect()} == {0: rows[0][1], 1: "", 2: "ba", 3: "", 4: rows[4][1]}
+
+
+@pytest.mark.parametrize("name", ["char_encode", "oov_drop"])
+def test_queries_encode_a_piece_at_a_time(spark, monkeypatch, tmp_path, name):
+    """A batch of texts that is larger than a piece goes out in several, so a worker's arrays don't grow with the batch."""
+    import pyarrow as pa
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from quernel.functions import tokenizer
+    from quernel.plans import queries
+
+    spark.createDataFrame([(1, "ab"), (2, "bca")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    steps, real = [], DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, f, schema, *rest: steps.append((f, schema)) or real(self, f, schema, *rest))
+    assert queries.QUERIES[name](spark, str(tmp_path)).count() == 2
+    (encode,) = [f for f, schema in steps if "ids" in str(schema)]
+    monkeypatch.setattr(tokenizer, "PIECE", 6)
+    texts = ["abab", "", "bb", None, "bacab", "a" * 9]
+    out = list(encode(iter([pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], names=["doc_id", "text"])])))
+    assert [b.num_rows for b in out] == [4, 1, 1] and sum((b.column(0).to_pylist() for b in out), []) == list(range(6))
+    known = {c: i for i, c in enumerate("ab" if name == "oov_drop" else "abc")}
+    assert sum((b.column(1).to_pylist() for b in out), []) == [[known[c] for c in t or "" if c in known] for t in texts]
