@@ -316,6 +316,22 @@ def test_cells_of_an_identity_take_few_bytes(spark, tmp_path):
     assert Mat.identity(spark, 0).cells().count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 255, 256, 257, 600])
+def test_identities_of_whole_and_cut_tiles(spark, n):
+    cells = Mat.identity(spark, n).cells()
+    assert cells.dtypes == [("i", "bigint"), ("j", "bigint"), ("v", "double")]
+    assert sorted(map(tuple, cells.where("v <> 0").collect())) == [(i, i, 1.0) for i in range(n)]
+    assert cells.count() == cells.distinct().count() == n * n and cells.agg(F.min("i"), F.max("i"), F.min("j"), F.max("j")).first()[:] == (0, n - 1, 0, n - 1)
+
+
+def test_a_task_makes_a_bounded_part_of_an_identity(spark):
+    """The tasks grow with the cells, and none has an array of them."""
+    n = 20_000
+    cells = Mat.identity(spark, n).cells()
+    assert max(r[0] for r in cells.groupBy(F.spark_partition_id()).agg(F.count("*")).select("count(1)").collect()) <= 1 << 24
+    assert cells.count() == n * n and "Generate" not in cells._jdf.queryExecution().executedPlan().toString()
+
+
 def test_long_texts_are_encoded_in_their_order(spark, monkeypatch):
     """Texts over a piece, known characters left out between them, nulls and empty texts: sizes and decoded texts stay with their keys."""
     rows = [(0, "ab" * 700_000), (1, None), (2, "xbya"), (3, ""), (4, "ba" * 600_000)]
