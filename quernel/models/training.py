@@ -9,11 +9,15 @@ from __future__ import annotations
 
 import math
 import pickle
+import secrets
+import socket
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from multiprocessing.connection import Client, Connection, Listener
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import BarrierTaskContext, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +34,10 @@ from quernel.session import shared_folder
 PARTIAL = "part int, loss double, n long, grad array<double>"
 #: Tasks that add up partial results.
 FAN = 8
-#: Rounds of mini-batches whose rows are held at once.
+#: Rounds of mini-batches whose rows are held at once, where a round is a job.
 CHUNK = 64
+#: Rounds of a barrier stage: what a lost task repeats.
+STAGE = 512
 
 
 def flat(params: list[Tensor]) -> np.ndarray:
@@ -120,33 +126,44 @@ SHARD = "shard long, batches long, loss double, state array<double>"
 SUM = "shard long, most long, batches long, loss double, state array<double>"
 
 
+#: What a barrier stage comes back with: the optimizer's clock, each round's sum of losses, the state.
+STAGED = "clock long, losses array<double>, state array<double>"
+
+
 def fit_mlp_batches(df: DataFrame, model: MLP, epochs: int, batch: int, lr: float = 1e-3, shards: int = 1, batches: int = 64) -> list[float]:
     """df (id, x, label): mini-batches of consecutive rows in the order of id, the last of an epoch dropped if it isn't full. Returns each epoch's mean loss, nan without a full batch.
 
     Local SGD with averaging: a round deals shards * batches batches, those of a shard being consecutive. Every shard starts from the same weights and Adam moments and goes through its
-    batches one after the other, in a task of its own; then states are averaged, weighted by the batches taken, and the next round begins. The optimizer's clock goes on by the
-    most batches that a shard took. With one shard this is the serial loop. What the result depends on is shards and batches, never the number of partitions or executors; a lost task is run again
-    from its round's start. Rows are numbered once and written in chunks of CHUNK rounds; a chunk is dealt to its shards and held while its rounds run, so that a round has a task for each shard, however
-    many rounds there are. A task holds a batch and a state, and one average of states reaches the driver.
+    batches one after the other; then states are averaged, weighted by the batches taken, and the next round begins. The optimizer's clock goes on by the most batches that a shard took. With one
+    shard this is the serial loop. What the result depends on is shards and batches, never the number of tasks, partitions or executors. Rows are numbered once and written in chunks of rounds.
+    Up to FAN shards, a chunk is a barrier stage of STAGE rounds: its tasks stay for all of them and send their shards' states to the first task, which answers with the average, so a round costs
+    a message each way, not a job, and none of it goes through the driver. A lost task repeats its stage. With more shards, which one task would have to add up, or where barrier stages can't run, a
+    round is a job with a task for each shard over a chunk of CHUNK rounds that is held. Either way a task holds a batch and the states, and one average of states reaches the driver a job.
     """
     ordered, base = numbered(df.select("id", "x", "label"), "id")
     context, optimizer, out = df.sparkSession.sparkContext, Adam(model.params(), lr), []
-    whole = base.count() // batch
+    whole, long = base.count() // batch, STAGE if gang(context, shards) else CHUNK
     number = F.floor(F.col("n_th") / batch)
     turn = F.floor(number / (shards * batches))
-    dealt = ordered.where(number < whole).select(F.floor(turn / CHUNK).alias("chunk"), turn.alias("round"), F.pmod(F.floor(number / batches), F.lit(shards)).alias("shard"), "n_th", "x", "label")
+    dealt = ordered.where(number < whole).select(F.floor(turn / long).alias("chunk"), turn.alias("round"), F.pmod(F.floor(number / batches), F.lit(shards)).alias("shard"), "n_th", "x", "label")
     rounds, path = -(-whole // (shards * batches)), f"{shared_folder(df.sparkSession, 'batches')}/dealt"
     try:
-        dealt.repartition("chunk").write.partitionBy("chunk").parquet(path)
+        dealt.write.partitionBy("chunk").parquet(path)
     finally:
         base.unpersist()
     for _ in range(epochs):
         lost = 0.0
-        for c in range(0, rounds, CHUNK):
-            own = df.sparkSession.read.schema(dealt.drop("chunk").schema).parquet(f"{path}/chunk={c // CHUNK}")
+        for c in range(0, rounds, long):
+            own, turns = df.sparkSession.read.schema(dealt.drop("chunk").schema).parquet(f"{path}/chunk={c // long}"), range(c, min(c + long, rounds))
+            tasks = gang(context, shards)
+            if tasks:
+                placed = own.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("n_th")
+                for loss in _stage(context, placed, model, optimizer, batch, shards, batches, turns):
+                    lost += loss
+                continue
             own = own.repartition(shards, "shard").sortWithinPartitions("shard", "n_th").persist(StorageLevel.MEMORY_AND_DISK)
             try:
-                for k in range(c, min(c + CHUNK, rounds)):
+                for k in turns:
                     lost += _round(context, own.where(F.col("round") == k).drop("round"), model, optimizer, batch, shards)[0]
             finally:
                 own.unpersist()
@@ -154,16 +171,114 @@ def fit_mlp_batches(df: DataFrame, model: MLP, epochs: int, batch: int, lr: floa
     return out
 
 
+def gang(context, shards: int) -> int:
+    """Tasks of a barrier stage for so many shards, one for each as far as there are slots; 0 where rounds have to be jobs."""
+    if shards > FAN or context.getConf().get("spark.dynamicAllocation.enabled", "false").lower() == "true":
+        return 0
+    own = context._jsc.sc()
+    return min(shards, own.maxNumConcurrentTasks(own.resourceProfileManager().defaultResourceProfile()))
+
+
+def _shipped(context, model: MLP, optimizer: Adam):
+    return context.broadcast(pickle.dumps((model, optimizer.lr, optimizer.t, packed(model, optimizer))))
+
+
+def _start(held: bytes) -> tuple[MLP, Adam]:
+    own, rate, t, flat_state = pickle.loads(held)
+    adam = Adam(own.params(), rate)
+    adam.t = t
+    unpack(own, adam, flat_state)
+    return own, adam
+
+
+def _step(own: MLP, adam: Adam, x: list, y: list) -> float:
+    """One batch; its loss."""
+    adam.zero_grad()
+    loss = tape.cross_entropy(own.forward(Tensor(np.stack(x))), np.array(y))
+    loss.backward()
+    adam.step()
+    return float(loss.value[0, 0])
+
+
+def _batches(frames: Iterator[pd.DataFrame], batch: int) -> Iterator[tuple[int, list, list]]:
+    """The number, rows and labels of each batch of frames (n_th, x, label), which have whole batches in the order of n_th."""
+    x, y = [], []
+    for f in frames:
+        for n, row, label in zip(f.n_th, f.x, f.label):
+            x.append(row)
+            y.append(label)
+            if len(x) == batch:
+                yield int(n) // batch, x, y
+                x, y = [], []
+
+
+def _meet(secret: bytes) -> list[Connection]:
+    """In a task of a barrier stage: the first task's connections to the others, or another's to the first."""
+    own = BarrierTaskContext.get()
+    tasks = own.getTaskInfos()
+    if own.partitionId() == 0:
+        with Listener(("", 0), backlog=len(tasks), authkey=secret) as door:
+            own.allGather(str(door.address[1]))
+            ends = [door.accept() for _ in tasks[1:]]
+    else:
+        port = int(own.allGather("")[0])
+        ends = [Client((tasks[0].address.rsplit(":", 1)[0], port), authkey=secret)]
+    for end in ends:
+        with socket.fromfd(end.fileno(), socket.AF_INET, socket.SOCK_STREAM) as line:
+            line.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
+    return ends
+
+
+def _average(done: np.ndarray) -> np.ndarray:
+    """done: a row for each shard that took batches: its number, batches, loss and its state times its batches. The most batches of one, the loss, the average state."""
+    total = np.zeros(done.shape[1])
+    for row in done[done[:, 0].argsort()]:  # in the order of shards, whichever task has them
+        total += row
+    return np.concatenate([[done[:, 1].max(), total[2]], total[3:] / total[1]])
+
+
+def _stage(context, df: DataFrame, model: MLP, optimizer: Adam, batch: int, shards: int, batches: int, turns: range) -> list[float]:
+    """All rounds of turns over df (n_th, x, label), whose partitions hold whole shards in the order of n_th, in one barrier stage: sets model and optimizer; each round's sum of losses."""
+    shipped, secret = _shipped(context, model, optimizer), secrets.token_bytes(32)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, adam = _start(shipped.value)
+        first, ends, todo = BarrierTaskContext.get().partitionId() == 0, _meet(secret), groupby(_batches(frames, batch), lambda b: b[0] // batches)
+        state, clock, losses, at = packed(own, adam), adam.t, [], next(todo, None)
+        for k in turns:
+            done = []
+            while at is not None and at[0] // shards == k:
+                unpack(own, adam, state)
+                adam.t, taken, lost = clock, 0, 0.0
+                for _, x, y in at[1]:
+                    taken, lost = taken + 1, lost + _step(own, adam, x, y)
+                done.append(np.concatenate([[at[0], taken, lost], packed(own, adam) * taken]))
+                at = next(todo, None)
+            if first:
+                done = np.concatenate([*done, *(np.frombuffer(e.recv_bytes()) for e in ends)])
+                told = _average(done.reshape(-1, 3 + len(state)))
+                for e in ends:
+                    e.send_bytes(told)
+            else:
+                ends[0].send_bytes(np.concatenate([np.empty(0), *done]))
+                told = np.frombuffer(ends[0].recv_bytes())
+            clock, state = clock + int(told[0]), told[2:]
+            losses.append(float(told[1]))
+        for e in ends:
+            e.close()
+        if first:
+            yield pd.DataFrame({"clock": [clock], "losses": [losses], "state": [state]})
+
+    (found,) = df.select("n_th", "x", "label").mapInPandas(run, STAGED, barrier=True).collect()
+    shipped.unpersist()
+    unpack(model, optimizer, np.array(found["state"]))
+    optimizer.t = found["clock"]
+    return found["losses"]
+
+
 def _round(context, df: DataFrame, model: MLP, optimizer: Adam, batch: int, shards: int) -> tuple[float, int]:
     """One round over df (shard, n_th, x, label), whose partitions hold whole shards in the order of n_th: sets model and optimizer to the average of the shards; the sum of losses, and the batches."""
-    shipped = context.broadcast(pickle.dumps((model, optimizer.lr, optimizer.t, packed(model, optimizer))))
-
-    def start() -> tuple[MLP, Adam]:
-        own, rate, t, flat_state = pickle.loads(shipped.value)
-        adam = Adam(own.params(), rate)
-        adam.t = t
-        unpack(own, adam, flat_state)
-        return own, adam
+    shipped = _shipped(context, model, optimizer)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, own, adam, x, y, taken, lost = None, None, None, [], [], 0, 0.0
@@ -172,15 +287,11 @@ def _round(context, df: DataFrame, model: MLP, optimizer: Adam, batch: int, shar
                 if s != shard:
                     if taken:
                         yield pd.DataFrame({"shard": [shard], "batches": [taken], "loss": [lost], "state": [packed(own, adam) * taken]})
-                    shard, (own, adam), x, y, taken, lost = s, start(), [], [], 0, 0.0
+                    shard, (own, adam), x, y, taken, lost = s, _start(shipped.value), [], [], 0, 0.0
                 x.append(row)
                 y.append(label)
                 if len(x) == batch:
-                    adam.zero_grad()
-                    loss = tape.cross_entropy(own.forward(Tensor(np.stack(x))), np.array(y))
-                    loss.backward()
-                    adam.step()
-                    x, y, taken, lost = [], [], taken + 1, lost + float(loss.value[0, 0])
+                    x, y, taken, lost = [], [], taken + 1, lost + _step(own, adam, x, y)
         if taken:
             yield pd.DataFrame({"shard": [shard], "batches": [taken], "loss": [lost], "state": [packed(own, adam) * taken]})
 

@@ -321,3 +321,30 @@ def test_one_state_a_round_reaches_the_driver(spark, monkeypatch):
     df = spark.createDataFrame([(i, rng.standard_normal(2).tolist(), i % 2) for i in range(100)], "id long, x array<double>, label int")
     assert np.isfinite(fit_mlp_batches(df, MLP(2, 4, 2, Rng(2)), 1, 2, shards=10, batches=1)).all()
     assert seen == [1] * 5
+
+
+@pytest.mark.parametrize("shards, batches, rows", [(4, 2, 103), (7, 1, 103), (8, 3, 9), (1, 2, 41)])
+def test_rounds_of_a_stage_are_one_job(spark, monkeypatch, shards, batches, rows):
+    """The same digits as with a job a round; also for more shards than slots, tasks without rows and a last round that isn't full."""
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+
+    from quernel.models import training
+
+    monkeypatch.setattr(training, "STAGE", 4)
+    seen, real = [], Frame.collect
+
+    def collect(self):
+        out = real(self)
+        if "state" in self.columns:
+            seen.append(len(out))
+        return out
+
+    monkeypatch.setattr(Frame, "collect", collect)
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i * 3, rng.standard_normal(2).tolist(), i % 2) for i in range(rows)], "id long, x array<double>, label int")
+    rounds, got, want = -(-(rows // 4) // (shards * batches)), MLP(2, 4, 2, Rng(2)), MLP(2, 4, 2, Rng(2))
+    losses = fit_mlp_batches(df, got, 2, 4, shards=shards, batches=batches)
+    assert seen == [1] * (2 * -(-rounds // 4))
+    monkeypatch.setattr(training, "gang", lambda context, shards: 0)
+    assert losses == fit_mlp_batches(df, want, 2, 4, shards=shards, batches=batches)
+    assert all((p.value == q.value).all() for p, q in zip(got.params(), want.params()))
